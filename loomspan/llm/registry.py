@@ -1,10 +1,13 @@
 """The queries of this subpackage, one for each operator, and SQL for those that SQL can express."""
 
-from loomspan.llm import langid, mixing, packing
+from loomspan.llm import html, langid, media, mixing, ngram_join, packing
 
 QUERIES = {
+    "op1_media": media.op1_media,
+    "op2_html_extraction": html.op2_html_extraction,
     "op3_mixing": mixing.op3_mixing,
     "op7_packing": packing.op7_packing,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_language_id": langid.op10_language_id,
 }
-SQL = {"op3_mixing": mixing.OP3_SQL}
+SQL = {"op3_mixing": mixing.OP3_SQL, "op8_ngram_join": ngram_join.OP8_SQL}
