@@ -45,6 +45,7 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # shuffle files of finished steps go when the driver finds them unreferenced
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

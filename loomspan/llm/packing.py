@@ -25,33 +25,87 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one group packs on average. Groups are dealt by a hash, so their sizes differ by a few hundredths.
 GROUP_PIECES = 16_384
-#: Words whose ids a worker remembers; the memory starts anew when it is full.
+#: Words, and letter runs, whose ids a worker remembers; either memory starts anew when it is full.
 REMEMBERED_WORDS = 400_000
+REMEMBERED_RUNS = 800_000
+_ENDS = b".,;:!?|"
+#: Stands between words that are encoded together; its ids come from no other text.
+_MARK = "\u00a7"
 
 
 class WordTokenizer:
     """Token ids of whole texts from ids of their words.
 
     The vocabulary's splitter never joins characters across ASCII white space, so a text's ids are those of its words
-    one after the other; most words come again and are looked up. `tests/llm` compares with encoding whole texts.
+    one after the other; most words come again and are looked up. A word of ASCII letters with closing punctuation is a
+    run of letters and a run of signs for the splitter; its letters go to the model directly, in lower case as its
+    normaliser has them. Other new words are encoded many at a time. `tests/llm` compares with encoding whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+        self.mark = self._encode(_MARK).tobytes()
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _run(self, letters: bytes) -> bytes:
+        found = self.runs.get(letters)
+        if found is None:
+            found = self.runs[letters] = np.array([t.id for t in self.tokenizer.model.tokenize(letters.decode())], "<u4").tobytes()
+        return found
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, rest = self.known, []
+        for w in words:
+            letters = w.rstrip(_ENDS)
+            if letters.isalpha():
+                signs = w[len(letters) :]
+                if signs and signs not in known:
+                    known[signs] = self._encode(signs.decode()).tobytes()
+                known[w] = self._run(letters.lower()) + (known[signs] if signs else b"")
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 100):
+            some = rest[at : at + 100]
+            texts = [w.decode() for w in some]
+            joined = f" {_MARK} ".join(texts)
+            parts = _split(self._encode(joined).tobytes(), self.mark) if len(joined) < 10_000 and not any(_MARK in x or "<|" in x for x in texts) else []
+            if len(parts) != len(some):
+                parts = [self._encode(x).tobytes() for x in texts]
+            known.update(zip(some, parts, strict=True))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known.clear()
+        if len(self.runs) > REMEMBERED_RUNS:
+            self.runs.clear()
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        get = self.known.get
+        out = []
+        for words in split:
+            found = list(map(get, words))
+            if None in found:
+                self._learn({w for w, f in zip(words, found, strict=True) if f is None})
+                found = list(map(get, words))
+            out.append(np.frombuffer(b"".join(found), "<u4"))
+        return out
+
+
+def _split(ids: bytes, mark: bytes) -> list[bytes]:
+    """Parts between marks that stand at a whole id."""
+    parts, start, at = [], 0, 0
+    while (at := ids.find(mark, at)) >= 0:
+        if at % 4:
+            at += 1
+            continue
+        parts.append(ids[start:at])
+        at = start = at + len(mark)
+    return [*parts, ids[start:]]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
