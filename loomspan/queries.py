@@ -1,4 +1,896 @@
-"""Registered queries of the reference's operators and their SQL."""
+"""Registered queries of the reference's operators over the fixture tables, with the same in SQL where SQL can say it.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Roles of the tables: a document is a file (repository: source, path: source/lang/doc_id); every document with a line is a
+completion task whose hole is its middle non-blank line; neighbouring turns of a conversation are target and prediction.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomspan.functions import python_code, scores
+from loomspan.functions import text as tx
+from loomspan.functions import tokens as tk
+from loomspan.operators import benchmark, chunking, evaluation, labels, retrieval, sampling
+from loomspan.operators import queries as qb
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Ids of the marks in token queries; word tokens have the ids of their lengths plus 100.
+IDS = {"fim_prefix": 1, "fim_middle": 2, "fim_suffix": 3, "cfc_info": 10, "end_cfc_info": 11, "end_rc": 11, "neg_cfc_info": 12}
+PAD = 0
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- inputs ----------------------------------------------------------------------------------------------------------
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", F.col("source").alias("repo"), path.alias("filepath"), F.col("text").alias("content"), tx.nonblank_lines(F.col("text")).alias("lines"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).where(F.size("lines") > 0).withColumn("h", F.floor(F.size("lines") / 2).cast("int"))
+    return f.select(
+        "doc_id",
+        F.concat("filepath", F.lit("/"), F.col("h"), F.lit("_"), F.col("h") + 1).alias("task_id"),
+        "repo",
+        "filepath",
+        F.array_join(F.slice("lines", 1, F.col("h")), "\n").alias("prompt"),
+        F.get("lines", F.col("h")).alias("groundtruth"),
+        F.array_join(F.slice("lines", F.col("h") + 2, F.greatest(F.size("lines") - F.col("h") - 1, F.lit(0))), "\n").alias("right_context"),
+    )
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the next one of its conversation: task_id, target, pred."""
+    c = table(spark, sf_dir, "conversations")
+    a, b = c.alias("a"), c.alias("b")
+    joined = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
+    return joined.select(F.concat(F.col("a.conv_id"), F.lit("/"), F.col("a.turn")).alias("task_id"), F.coalesce("a.text", F.lit("")).alias("target"), F.coalesce("b.text", F.lit("")).alias("pred"))
+
+
+def task_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of left and right context, target and, as the crossfile context, the whole text."""
+    ids = lambda c: F.transform(tx.word_tokens(F.col(c)), lambda w: F.length(w) + 100)
+    f = tasks(spark, sf_dir).join(files(spark, sf_dir).select("filepath", "content"), "filepath")
+    return f.select("doc_id", "task_id", ids("prompt").alias("lc"), ids("right_context").alias("rc"), ids("groundtruth").alias("tgt"), tx.head(ids("content"), 512).alias("cfc"))
+
+
+_FILES = r"""files AS (SELECT doc_id, source AS repo, source || '/' || lang || '/doc_' || doc_id AS filepath, text AS content,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '\S')) AS lines FROM documents)"""
+_TASKS = (
+    _FILES
+    + r""",
+hole AS (SELECT *, CAST(len(lines) // 2 AS BIGINT) AS h FROM files WHERE len(lines) > 0),
+tasks AS (SELECT doc_id, filepath || '/' || h || '_' || (h + 1) AS task_id, repo, filepath,
+  array_to_string(lines[1:h], chr(10)) AS prompt, lines[h + 1] AS groundtruth, array_to_string(lines[h + 2:], chr(10)) AS right_context FROM hole)"""
+)
+_NB = r"list_filter(string_split({0}, chr(10)), lambda x: regexp_matches(x, '\S'))"
+_WORDS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+')"
+_TURNS = r"""turns AS (SELECT a.conv_id || '/' || a.turn AS task_id, coalesce(a.text, '') AS target, coalesce(b.text, '') AS pred
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+def _windows_sql(window: int, stride: int, name: str = "chunks") -> str:
+    return rf"""cut AS (SELECT repo, filepath, unnest(range(0, len(lines), {stride})) AS i, lines FROM files),
+texts AS (SELECT repo, filepath, i, array_to_string(lines[i + 1:i + {window}], chr(10)) AS text FROM cut),
+{name} AS (SELECT repo, filepath, CAST(row_number() OVER (PARTITION BY filepath ORDER BY i) - 1 AS INTEGER) AS chunk_no,
+  CAST(i AS INTEGER) AS start_i, CAST(i + {window} AS INTEGER) AS end_i, text FROM texts WHERE regexp_matches(text, '[\p{{L}}\p{{N}}_]'))"""
+
+
+# ---- lines, tokens, windows ------------------------------------------------------------------------------------------
+
+
+@register("nonblank_lines", f"WITH {_FILES} SELECT doc_id, CAST(unnest(range(len(lines))) AS INTEGER) AS line_no, unnest(lines) AS line FROM files")
+def nonblank_lines(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+
+
+@register("word_tokens", f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct, array_to_string(w, ' ') AS words FROM (SELECT doc_id, {_WORDS.format('coalesce(text, chr(10))')} AS w FROM documents)")
+def word_tokens(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"), F.array_join("w", " ").alias("words"))
+
+
+def _register_windows(window: int, stride: int) -> None:
+    @register(f"chunk_windows_{window}_{stride}", f"WITH {_FILES}, {_windows_sql(window, stride)} SELECT * FROM chunks")
+    def run(spark, sf_dir):
+        return chunking.windows(files(spark, sf_dir).select("repo", "filepath", "lines"), window, stride).select("repo", "filepath", "chunk_no", "start_i", "end_i", "text")
+
+
+for _w, _s in ((10, 5), (10, 10), (20, 10)):
+    _register_windows(_w, _s)
+
+
+@register(
+    "chunk_multi_config",
+    f"""WITH {_FILES}, cfg AS (SELECT CAST(10 * k AS INTEGER) AS win, CAST(5 * k AS INTEGER) AS stride FROM range(1, 10) t(k)),
+cut AS (SELECT filepath, win, stride, unnest(range(0, len(lines), stride)) AS i, lines FROM files, cfg)
+SELECT filepath, win AS "window", stride, CAST(row_number() OVER (PARTITION BY filepath, win ORDER BY i) - 1 AS INTEGER) AS chunk_no,
+  CAST(i AS INTEGER) AS start_i, CAST(i + win AS INTEGER) AS end_i
+FROM cut WHERE regexp_matches(array_to_string(lines[i + 1:i + win], chr(10)), '[\\p{{L}}\\p{{N}}_]')""",
+)
+def chunk_multi_config(spark, sf_dir):
+    return chunking.multi_windows(files(spark, sf_dir).select("filepath", "lines"), chunking.window_configs()[1:]).select("filepath", "window", "stride", "chunk_no", "start_i", "end_i")
+
+
+@register(
+    "function_chunks",
+    f"""WITH {_FILES}, raw AS (SELECT filepath, string_split(coalesce(content, ''), chr(10)) AS ls FROM files),
+cut AS (SELECT filepath, ls[2:least(len(ls), 30)] AS body FROM raw)
+SELECT filepath, 1 AS start_i, CAST(len(body) + 1 AS INTEGER) AS end_i, array_to_string(body, chr(10)) AS text FROM cut
+WHERE len(body) BETWEEN 3 AND 30 AND regexp_matches(array_to_string(body, chr(10)), '\\S')""",
+)
+def function_chunks(spark, sf_dir):
+    """Each document as one function whose head is its first line and whose body ends with the 30th line at most."""
+    f = files(spark, sf_dir).select("filepath", tx.lines(F.col("content")).alias("lines"))
+    spans = F.array(F.struct(F.lit(0).alias("start_row"), (F.least(F.size("lines"), F.lit(30)) - 1).alias("end_row")))
+    return chunking.function_chunks(f.withColumn("spans", spans)).select("filepath", "start_i", "end_i", "text")
+
+
+# ---- query builders --------------------------------------------------------------------------------------------------
+
+
+def _pred(spark, sf_dir) -> DataFrame:
+    """Tasks with a guess of two lines: the target's line twice."""
+    return tasks(spark, sf_dir).withColumn("pred", F.concat("groundtruth", F.lit("\n"), "groundtruth"))
+
+
+_QUERY_SQL = {
+    "groundtruth": f"list_concat({_NB.format('prompt')}, {_NB.format('groundtruth')})[-10:]",
+    "last_n_lines": f"{_NB.format('prompt')}[-10:]",
+    "first_n_lines": f"{_NB.format('right_context')}[1:10]",
+    "left_last_and_right_first": f"list_concat({_NB.format('prompt')}[-5:], {_NB.format('right_context')}[1:5])",
+    "repocoder": f"list_concat({_NB.format('prompt')}[-8:], [groundtruth, groundtruth])",
+}
+
+
+def _register_query(query_type: str, name: str) -> None:
+    @register(name, f"WITH {_TASKS} SELECT task_id, array_to_string({_QUERY_SQL[query_type]}, chr(10)) AS query FROM tasks")
+    def run(spark, sf_dir):
+        return _pred(spark, sf_dir).select("task_id", qb.build_query(query_type, F.col("prompt"), F.col("groundtruth"), F.col("right_context"), F.col("pred")).alias("query"))
+
+
+for _t, _n in (("last_n_lines", "query_last_n"), ("first_n_lines", "query_first_n"), ("groundtruth", "query_groundtruth"), ("left_last_and_right_first", "query_left_right"), ("repocoder", "query_repocoder")):
+    _register_query(_t, _n)
+
+_STAGE_C = _FILES + ", t AS (SELECT filepath, lines, CAST(len(lines) // 2 AS BIGINT) AS h FROM files WHERE len(lines) > 0)"
+
+
+def _hole(spark, sf_dir) -> DataFrame:
+    f = files(spark, sf_dir).where(F.size("lines") > 0).withColumn("h", F.floor(F.size("lines") / 2).cast("int"))
+    return f.withColumns({"left": F.slice("lines", 1, F.col("h")), "hit": F.slice("lines", F.col("h") + 1, 1), "right": F.slice("lines", F.col("h") + 2, F.greatest(F.size("lines") - F.col("h") - 1, F.lit(0)))})
+
+
+@register("stage_c_query_chunk", f"WITH {_STAGE_C} SELECT filepath, array_to_string(list_concat(lines[1:h][-5:], lines[h + 2:][1:5]), chr(10)) AS query, array_to_string(list_concat(lines[1:h][-5:], list_concat([lines[h + 1]], lines[h + 2:][1:5])), chr(10)) AS oracle_query FROM t")
+def stage_c_query_chunk(spark, sf_dir):
+    q = lambda oracle: qb.chunk_query(F.col("left"), F.col("hit"), F.col("right"), oracle)
+    return _hole(spark, sf_dir).select("filepath", q(False).alias("query"), q(True).alias("oracle_query"))
+
+
+@register("stage_c_query_func", f"WITH {_STAGE_C} SELECT filepath, array_to_string(list_concat(lines[1:h][-3:], lines[h + 2:][1:3]), chr(10)) AS query, array_to_string(list_concat(lines[1:h][-1:], list_concat([lines[h + 1]], lines[h + 2:][1:1])), chr(10)) AS oracle_query FROM t")
+def stage_c_query_func(spark, sf_dir):
+    q = lambda oracle: qb.function_query(F.col("left"), F.col("hit"), F.col("right"), oracle)
+    return _hole(spark, sf_dir).select("filepath", q(False).alias("query"), q(True).alias("oracle_query"))
+
+
+@register(
+    "chunk_task",
+    f"""WITH {_STAGE_C} SELECT filepath, CASE WHEN h > 0 THEN array_to_string(lines[1:h], chr(10)) || chr(10) ELSE '' END AS prompt, lines[h + 1] AS groundtruth,
+CASE WHEN len(lines) > h + 1 THEN chr(10) || array_to_string(lines[h + 2:], chr(10)) ELSE '' END AS right_context FROM t""",
+)
+def chunk_task(spark, sf_dir):
+    return _hole(spark, sf_dir).withColumn("t", qb.chunk_task(F.col("lines"), F.col("h"), F.col("h") + 1)).select("filepath", "t.*")
+
+
+@register(
+    "function_task",
+    f"""WITH {_STAGE_C}, i AS (SELECT *, regexp_extract(lines[h + 1] || chr(10), '^(\\s*)', 1) AS indent FROM t)
+SELECT filepath, CASE WHEN h > 0 THEN array_to_string(lines[1:h], chr(10)) || chr(10) ELSE '' END || indent AS prompt,
+substr(lines[h + 1] || chr(10), length(indent) + 1) AS groundtruth, array_to_string(lines[h + 2:], chr(10)) AS right_context FROM i""",
+)
+def function_task(spark, sf_dir):
+    return _hole(spark, sf_dir).withColumn("t", qb.function_task(F.col("lines"), F.col("h"), F.col("h") + 1)).select("filepath", "t.*")
+
+
+@register(
+    "split_context",
+    f"""WITH {_FILES}, raw AS (SELECT filepath, string_split(coalesce(content, ''), chr(10)) AS ls FROM files),
+t AS (SELECT *, CAST(len(ls) // 2 AS BIGINT) AS h FROM raw), i AS (SELECT *, regexp_extract(ls[h + 1], '^(\\s*)', 1) AS indent FROM t)
+SELECT filepath, CASE WHEN h > 0 THEN array_to_string(ls[1:h], chr(10)) || chr(10) ELSE '' END || indent AS prompt, substr(ls[h + 1], length(indent) + 1) AS groundtruth,
+chr(10) || array_to_string(ls[h + 2:h + 51], chr(10)) AS right_context, chr(10) || array_to_string(ls[h + 2:], chr(10)) AS full_right_context FROM i""",
+)
+def split_context(spark, sf_dir):
+    f = files(spark, sf_dir).select("repo", "filepath", tx.lines(F.col("content")).alias("lines"))
+    prompts = f.select("repo", "filepath", F.col("filepath").alias("task_id"), F.floor(F.size("lines") / 2).cast("int").alias("line_no"), F.lit(1).alias("n_lines"))
+    return benchmark.completion_tasks(prompts, f, "line").select("filepath", "prompt", "groundtruth", "right_context", "full_right_context")
+
+
+@register(
+    "split_violations",
+    f"""WITH {_FILES}, raw AS (SELECT filepath, coalesce(content, '') AS content, string_split(coalesce(content, ''), chr(10)) AS ls FROM files), t AS (SELECT *, CAST(len(ls) // 2 AS BIGINT) AS h FROM raw)
+SELECT filepath FROM t WHERE NOT contains(content, CASE WHEN h > 0 THEN array_to_string(ls[1:h], chr(10)) || chr(10) ELSE '' END || ls[h + 1] || chr(10) || array_to_string(ls[h + 2:h + 51], chr(10)))""",
+)
+def split_violations(spark, sf_dir):
+    """Here: documents that end with the target, as the right context's new line then stands in no file."""
+    f = files(spark, sf_dir).select("repo", "filepath", tx.lines(F.col("content")).alias("lines"))
+    prompts = f.select("repo", "filepath", F.col("filepath").alias("task_id"), F.floor(F.size("lines") / 2).cast("int").alias("line_no"), F.lit(1).alias("n_lines"))
+    return benchmark.violations(benchmark.completion_tasks(prompts, f, "line")).select("filepath")
+
+
+# ---- retrieval -------------------------------------------------------------------------------------------------------
+
+
+def _asked(spark, sf_dir, query_type="last_n_lines") -> DataFrame:
+    t = tasks(spark, sf_dir)
+    return t.select("task_id", "repo", "filepath", qb.build_query(query_type, F.col("prompt"), F.col("groundtruth"), F.col("right_context")).alias("query"))
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    return chunking.windows(files(spark, sf_dir).select("repo", "filepath", "lines"), 10, 5).select("repo", "filepath", "chunk_no", "text")
+
+
+def _rank_sql(score: str, k: int = 3) -> str:
+    return f"""WITH {_TASKS}, {_windows_sql(10, 5)},
+q AS (SELECT task_id, repo, filepath, list_distinct({_WORDS.format("array_to_string(" + _QUERY_SQL["last_n_lines"] + ", chr(10))")}) AS w FROM tasks),
+c AS (SELECT repo, filepath, chunk_no, list_distinct({_WORDS.format("text")}) AS w FROM chunks),
+s AS (SELECT q.task_id, c.filepath AS chunk_filepath, c.chunk_no AS chunk_chunk_no, len(list_intersect(q.w, c.w)) AS x, len(q.w) AS n, len(c.w) AS m
+  FROM q JOIN c ON q.repo = c.repo AND q.filepath <> c.filepath),
+r AS (SELECT *, coalesce(CAST(x AS DOUBLE) / nullif(CAST({score} AS DOUBLE), 0), 0) AS score FROM s)
+SELECT task_id, chunk_filepath, chunk_chunk_no, score, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, chunk_filepath, chunk_chunk_no) AS INTEGER) AS rank
+FROM r QUALIFY rank <= {k}"""
+
+
+@register("jaccard_topk", _rank_sql("n + m - x"))
+def jaccard_topk(spark, sf_dir):
+    return retrieval.rank_sets(_asked(spark, sf_dir), _chunks(spark, sf_dir), 3).select("task_id", "chunk_filepath", "chunk_chunk_no", "score", "rank")
+
+
+@register("containment_topk", _rank_sql("n"))
+def containment_topk(spark, sf_dir):
+    return retrieval.rank_sets(_asked(spark, sf_dir), _chunks(spark, sf_dir), 3, "containment").select("task_id", "chunk_filepath", "chunk_chunk_no", "score", "rank")
+
+
+def _bm25_rank(spark, sf_dir, version: int) -> DataFrame:
+    """Version 0 weighs all lines alike; 1 and 2 by the distance to the hole."""
+    asked = tasks(spark, sf_dir).select("task_id", "repo", "filepath", tx.tail(tx.nonblank_lines(F.col("prompt")), 5).alias("l"), tx.head(tx.nonblank_lines(F.col("right_context")), 5).alias("r"))
+    weights = scores.line_weights(F.size("l"), F.size("r"), version) if version else F.array_repeat(F.lit(1.0), 10)
+    lined = asked.select("task_id", F.explode(F.arrays_zip(F.concat("l", "r").alias("line"), weights.alias("weight"))).alias("x")).where("x.line IS NOT NULL AND x.weight IS NOT NULL")
+    terms = lined.select("task_id", F.explode(tx.word_tokens(F.col("x.line"))).alias("term"), F.col("x.weight").alias("weight"))
+    chunks = _chunks(spark, sf_dir).withColumn("tokens", tx.word_tokens(F.col("text"))).drop("text")
+    near = retrieval.pairs(asked.select("task_id", "repo", "filepath"), chunks)
+    near = near.select("task_id", F.struct("chunk_filepath", "chunk_chunk_no").alias("chunk_id"), F.col("chunk_tokens").alias("tokens"))
+    scored = retrieval.bm25(near, terms).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(scored, 3, [F.desc("score"), F.col("chunk_id")]).select("task_id", "chunk_id.*", "score", "rank")
+
+
+def _bm25_sql(version: int) -> str:
+    fall = {0: "1", 1: "CAST(1 AS DOUBLE) / (d + 1)", 2: "exp(-CAST(d AS DOUBLE))"}[version]
+    return f"""WITH {_TASKS}, {_windows_sql(10, 5)},
+q AS (SELECT task_id, repo, filepath, {_NB.format("prompt")}[-5:] AS l, {_NB.format("right_context")}[1:5] AS r FROM tasks),
+side AS (SELECT task_id, unnest(l) AS line, unnest(range(len(l))) + 1 AS place, greatest(len(l), 1) AS nl FROM q
+  UNION ALL SELECT task_id, unnest(r), len(l) + unnest(range(len(r))) + 1, greatest(len(l), 1) FROM q),
+weighed AS (SELECT task_id, line, CASE WHEN place <= nl THEN nl - place ELSE place - nl - 1 END AS d FROM side),
+terms AS (SELECT task_id, term, sum(CAST({fall} AS DOUBLE)) AS weight FROM (SELECT task_id, d, unnest({_WORDS.format("line")}) AS term FROM weighed) GROUP BY ALL),
+c AS (SELECT repo, filepath, chunk_no, {_WORDS.format("text")} AS tokens FROM chunks),
+cand AS (SELECT q.task_id, c.filepath AS chunk_filepath, c.chunk_no AS chunk_chunk_no, tokens, CAST(len(tokens) AS DOUBLE) AS len FROM q JOIN c ON q.repo = c.repo AND q.filepath <> c.filepath),
+per AS (SELECT task_id, CAST(count(*) AS DOUBLE) AS n, avg(len) AS avg_len FROM cand GROUP BY task_id),
+tf AS (SELECT task_id, chunk_filepath, chunk_chunk_no, len, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT task_id, chunk_filepath, chunk_chunk_no, len, unnest(tokens) AS term FROM cand) GROUP BY ALL),
+df AS (SELECT task_id, term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY ALL),
+raw AS (SELECT df.task_id, term, avg_len, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN per USING (task_id)),
+idf AS (SELECT task_id, term, avg_len, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY task_id) ELSE raw END AS idf FROM raw),
+hit AS (SELECT tf.task_id, chunk_filepath, chunk_chunk_no, sum(weight * idf * tf * CAST(2.5 AS DOUBLE) / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score
+  FROM tf JOIN idf USING (task_id, term) JOIN terms USING (task_id, term) GROUP BY ALL),
+s AS (SELECT cand.task_id, cand.chunk_filepath, cand.chunk_chunk_no, round(coalesce(hit.score, 0), 6) AS score FROM cand LEFT JOIN hit USING (task_id, chunk_filepath, chunk_chunk_no))
+SELECT task_id, chunk_filepath, chunk_chunk_no, score, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, chunk_filepath, chunk_chunk_no) AS INTEGER) AS rank
+FROM s QUALIFY rank <= 3"""
+
+
+def _register_bm25(name: str, version: int) -> None:
+    @register(name, _bm25_sql(version))
+    def run(spark, sf_dir):
+        return _bm25_rank(spark, sf_dir, version)
+
+
+for _n, _v in (("bm25_lines", 0), ("bm25_w1", 1), ("bm25_w2", 2)):
+    _register_bm25(_n, _v)
+
+
+@register("cosine_topk", "SELECT a.vec_id AS task_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id QUALIFY rank <= 3")
+def cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.select(F.col("vec_id").alias("task_id"), F.col("label").alias("repo"), F.col("embedding").alias("vector"))
+    d = e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("repo"), F.col("embedding").alias("vector"))
+    return retrieval.rank_vectors(q, d, 3).withColumn("score", F.round("score", 6)).select("task_id", "doc_id", "score", "rank")
+
+
+_NEIGHBOUR = f"WITH {_FILES}, {_windows_sql(10, 5)} SELECT filepath, chunk_no, coalesce(FN(text) OVER (PARTITION BY filepath ORDER BY chunk_no), text) AS shown FROM chunks"
+
+
+@register("next_chunk", _NEIGHBOUR.replace("FN", "lead"))
+def next_chunk(spark, sf_dir):
+    return retrieval.with_neighbours(_chunks(spark, sf_dir)).select("filepath", "chunk_no", F.col("next_text").alias("shown"))
+
+
+@register("prev_chunk", _NEIGHBOUR.replace("FN", "lag"))
+def prev_chunk(spark, sf_dir):
+    return retrieval.with_neighbours(_chunks(spark, sf_dir)).select("filepath", "chunk_no", F.col("previous_text").alias("shown"))
+
+
+@register(
+    "path_distance",
+    """WITH p AS (SELECT page_id, string_split(url, '/') AS a, lead(string_split(url, '/')) OVER (ORDER BY page_id) AS b FROM pages),
+c AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[1:k] = b[1:k])) AS n FROM p WHERE b IS NOT NULL)
+SELECT page_id, CAST(greatest(len(a) - n - 1, 0) + greatest(len(b) - n - 1, 0) AS INTEGER) AS distance FROM c""",
+)
+def path_distance(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    nxt = p.withColumn("other", F.lead("url").over(Window.orderBy("page_id"))).where("other IS NOT NULL")
+    return nxt.select("page_id", tx.path_distance(F.col("url"), F.col("other")).alias("distance"))
+
+
+_NEAR = (
+    _TASKS
+    + """,
+pair AS (SELECT t.task_id, t.repo, f.filepath, string_split(t.filepath, '/') AS a, string_split(f.filepath, '/') AS b FROM tasks t JOIN files f ON t.repo = f.repo AND t.filepath <> f.filepath),
+dist AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[1:k] = b[1:k])) AS n FROM pair),
+ranked AS (SELECT task_id, repo, filepath, CAST(greatest(len(a) - n - 1, 0) + greatest(len(b) - n - 1, 0) AS INTEGER) AS distance FROM dist),
+near AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY distance, filepath) AS INTEGER) AS place FROM ranked WHERE distance BETWEEN 0 AND 100 QUALIFY place <= 1000)"""
+)
+
+
+@register("files_within_k", f"WITH {_NEAR} SELECT task_id, filepath, distance, place FROM near")
+def files_within_k(spark, sf_dir):
+    return retrieval.files_within(tasks(spark, sf_dir), files(spark, sf_dir)).select("task_id", "filepath", "distance", "place")
+
+
+@register("candidate_cap", f"WITH {_NEAR}, {_windows_sql(10, 5)} SELECT task_id, c.filepath, chunk_no, CAST(row_number() OVER (PARTITION BY task_id ORDER BY place, chunk_no) AS INTEGER) AS place FROM near JOIN chunks c ON near.filepath = c.filepath QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY near.place, chunk_no) <= 1000")
+def candidate_cap(spark, sf_dir):
+    near = retrieval.files_within(tasks(spark, sf_dir), files(spark, sf_dir))
+    return retrieval.first_candidates(near, _chunks(spark, sf_dir).drop("text")).select("task_id", "filepath", "chunk_no", "place")
+
+
+def _selected(spark, sf_dir) -> DataFrame:
+    ranked = retrieval.rank_sets(_asked(spark, sf_dir), _chunks(spark, sf_dir), 10)
+    return ranked.select("task_id", "rank", F.col("chunk_filepath").alias("filepath"), F.col("chunk_chunk_no").alias("chunk_no"), F.col("chunk_text").alias("text"))
+
+
+_SELECTED = f"sel AS (SELECT s.task_id, s.rank, s.chunk_filepath AS filepath, s.chunk_chunk_no AS chunk_no, c.text FROM ({_rank_sql('n + m - x', 10)}) s JOIN chunks c ON c.filepath = s.chunk_filepath AND c.chunk_no = s.chunk_chunk_no)"
+
+
+@register("dedupe_selected", f"WITH {_FILES}, {_windows_sql(10, 5)}, {_SELECTED} SELECT task_id, rank, filepath, chunk_no FROM sel QUALIFY row_number() OVER (PARTITION BY task_id, text ORDER BY rank) = 1")
+def dedupe_selected(spark, sf_dir):
+    return retrieval.distinct_texts(_selected(spark, sf_dir)).select("task_id", "rank", "filepath", "chunk_no")
+
+
+_CFC = rf"""parts AS (SELECT task_id, rank, '# the below code fragment can be found in:' || chr(10) || '# ' || filepath || chr(10) ||
+  array_to_string(list_transform(regexp_split_to_array(regexp_replace(text, '^\n+|\n+$', '', 'g'), '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: '# ' || x), chr(10)) || chr(10) || chr(10) AS part FROM sel WHERE rank <= 3),
+cfc AS (SELECT task_id, '# Here are some relevant code fragments from other files of the repo:' || chr(10) || chr(10) || string_agg(part, '' ORDER BY rank) AS crossfile_context FROM parts GROUP BY task_id)"""
+
+
+@register("cfc_text", f"WITH {_FILES}, {_windows_sql(10, 5)}, {_SELECTED}, {_CFC} SELECT * FROM cfc")
+def cfc_text(spark, sf_dir):
+    return retrieval.context_text(_selected(spark, sf_dir).where("rank <= 3"))
+
+
+@register(
+    "retrieval_status",
+    f"""WITH {_TASKS}, {_windows_sql(10, 5)}, odd AS (SELECT task_id, CASE WHEN doc_id % 7 = 0 THEN 'none' ELSE repo END AS repo, CASE WHEN doc_id % 5 = 0 THEN 'none' ELSE filepath END AS filepath, repo AS r, filepath AS f FROM tasks)
+SELECT task_id, CASE WHEN repo = 'none' THEN 'project_not_found' WHEN filepath = 'none' THEN 'file_not_found_in_project'
+  WHEN NOT EXISTS (SELECT 1 FROM chunks c WHERE c.repo = odd.r AND c.filepath <> odd.f) THEN 'no_crossfile_context' ELSE 'success' END AS status FROM odd""",
+)
+def retrieval_status(spark, sf_dir):
+    """Some tasks name a repository or a file that doesn't exist."""
+    odd = tasks(spark, sf_dir).withColumns({"repo": F.when(F.col("doc_id") % 7 == 0, "none").otherwise(F.col("repo")), "filepath": F.when(F.col("doc_id") % 5 == 0, "none").otherwise(F.col("filepath"))})
+    with_context = retrieval.pairs(tasks(spark, sf_dir).select("task_id", "repo", "filepath"), _chunks(spark, sf_dir).select("repo", "filepath").distinct()).select("task_id")
+    return retrieval.retrieval_status(odd, files(spark, sf_dir), with_context)
+
+
+@register("status_counts", f"SELECT status, count(*) AS n FROM ({SQL['retrieval_status']}) GROUP BY status")
+def status_counts(spark, sf_dir):
+    return evaluation.status_counts(retrieval_status(spark, sf_dir))
+
+
+@register("repository_url", "SELECT DISTINCT source AS repo, CAST(NULL AS VARCHAR) AS url FROM documents")
+def repository_url(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct().withColumn("url", benchmark.repository_url(benchmark.canonical_repository(F.col("repo"))))
+
+
+@register("task_numbers", f"WITH {_TASKS} SELECT task_id, repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY task_id) - 1 AS INTEGER) AS number FROM tasks")
+def task_numbers(spark, sf_dir):
+    return benchmark.renumbered(tasks(spark, sf_dir).select("task_id", "repo"), "task_id")
+
+
+# ---- predictions and labels ------------------------------------------------------------------------------------------
+
+_FOLD = r"trim(regexp_replace({0}, '[^\x20-\x7E]', '', 'g'))"
+
+
+def _folded(spark, sf_dir) -> DataFrame:
+    """Turn pairs in plain ASCII, where both engines measure distances in the same units."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"[^\x20-\x7E]", ""))
+    return turns(spark, sf_dir).select("task_id", plain("pred").alias("pred"), plain("target").alias("target"))
+
+
+_ES = f"""{_TURNS}, es AS (SELECT task_id, CASE WHEN greatest(length(p), length(t)) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(p, t) / greatest(length(p), length(t))::DOUBLE END AS es
+FROM (SELECT task_id, {_FOLD.format("pred")} AS p, {_FOLD.format("target")} AS t FROM turns))"""
+
+
+def _es(spark, sf_dir) -> DataFrame:
+    return _folded(spark, sf_dir).select("task_id", scores.edit_similarity(F.col("pred"), F.col("target")).alias("es"))
+
+
+@register("edit_sim", f"WITH {_ES} SELECT task_id, round(es, 6) AS es FROM es")
+def edit_sim(spark, sf_dir):
+    return _es(spark, sf_dir).withColumn("es", F.round("es", 6))
+
+
+@register("edit_sim_summary", f"WITH {_ES} SELECT round(100 * avg(es), 6) AS es, count(*) AS total FROM es")
+def edit_sim_summary(spark, sf_dir):
+    return evaluation.summary(_es(spark, sf_dir), {"es": "es"}).withColumn("es", F.round("es", 6))
+
+
+_CODE = r"list_filter(string_split(translate(regexp_replace(regexp_replace(regexp_replace({0}, '([^A-Za-z0-9_])', ' \1 ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '\s+', ' ', 'g'), '\"''', '``'), ' '), lambda x: x <> '')"
+
+
+@register("code_tokens", f"""SELECT page_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT page_id, {_CODE.format("html")} AS t FROM pages)""")
+def code_tokens(spark, sf_dir):
+    t = table(spark, sf_dir, "pages").select("page_id", tx.code_tokens(F.col("html")).alias("t"))
+    return t.select("page_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@register("exact_match", f"""WITH {_TURNS} SELECT task_id, CAST({_CODE.format("pred")} = {_CODE.format("target")} AS INTEGER) AS em FROM turns""")
+def exact_match(spark, sf_dir):
+    return turns(spark, sf_dir).select("task_id", scores.exact_match(F.col("pred"), F.col("target")).cast("int").alias("em"))
+
+
+_CLEAN = r"regexp_replace(regexp_replace({0}, '#[^\n]*', '', 'g'), '//[^\n]*', '', 'g')"
+_LINES = r"list_transform(list_filter(string_split({0}, chr(10)), lambda x: regexp_matches(x, '\S')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+
+
+@register("exact_match_lines", f"""WITH {_TURNS} SELECT task_id, CAST({_LINES.format(_CLEAN.format("pred"))} = {_LINES.format(_CLEAN.format("target"))} AS INTEGER) AS em FROM turns""")
+def exact_match_lines(spark, sf_dir):
+    return turns(spark, sf_dir).select("task_id", scores.exact_match_lines(F.col("pred"), F.col("target")).cast("int").alias("em"))
+
+
+@register("strip_comments", f"""SELECT page_id, {_CLEAN.format("html")} AS code, regexp_replace(html, '#[^\\n]*', '', 'g') AS hash_only FROM pages""")
+def strip_comments(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_comments(F.col("html")).alias("code"), tx.strip_hash_comments(F.col("html")).alias("hash_only"))
+
+
+_STRINGS = r"""regexp_replace({0}, '"([^"\\]*(\\.[^"\\]*)*)"|''([^''\\]*(\\.[^''\\]*)*)''', '', 'g')"""
+_KEYS = ", ".join(f"'{k}'" for k in tx.KEYWORDS["java"])
+
+
+def _ids_sql(code: str) -> str:
+    return f"list_filter({_WORDS.format(_STRINGS.format(code))}, lambda x: regexp_matches(x, '^[_a-zA-Z]') AND NOT list_contains([{_KEYS}], x))"
+
+
+@register("identifiers", f"""SELECT page_id, CAST(len(i) AS INTEGER) AS n_ids, array_to_string(i, ' ') AS ids FROM (SELECT page_id, {_ids_sql("html")} AS i FROM pages)""")
+def identifiers(spark, sf_dir):
+    i = table(spark, sf_dir, "pages").select("page_id", tx.identifiers(F.col("html"), "java").alias("i"))
+    return i.select("page_id", F.size("i").alias("n_ids"), F.array_join("i", " ").alias("ids"))
+
+
+@register("identifier_parts")
+def identifier_parts(spark, sf_dir):
+    w = table(spark, sf_dir, "pages").select("page_id", F.posexplode(tx.identifiers(F.col("html"))).alias("pos", "name"))
+    return w.select("page_id", "pos", F.array_join(tx.identifier_parts(F.col("name")), " ").alias("parts"), F.array_join(tx.identifier_parts_keeping_case(F.col("name")), " ").alias("cased"))
+
+
+_ID_ROWS = f"""{_TURNS}, i AS (SELECT task_id, {_ids_sql("pred")} AS a, {_ids_sql("target")} AS b FROM turns),
+m AS (SELECT task_id, CAST(a = b AS INTEGER) AS id_em, len(list_distinct(a)) AS p, len(list_distinct(b)) AS t, len(list_intersect(list_distinct(a), list_distinct(b))) AS tp FROM i),
+ids AS (SELECT task_id, id_em, CASE WHEN p = 0 THEN 0 ELSE tp / p::DOUBLE END AS id_precision, CASE WHEN t = 0 THEN 0 ELSE tp / t::DOUBLE END AS id_recall, CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (p + t)::DOUBLE END AS id_f1 FROM m)"""
+
+
+@register("id_metrics", f"WITH {_ID_ROWS} SELECT * FROM ids")
+def id_metrics(spark, sf_dir):
+    return evaluation.id_detail(turns(spark, sf_dir), "java")
+
+
+@register("id_summary", f"WITH {_ID_ROWS} SELECT round(100 * avg(id_em), 6) AS id_em, round(100 * avg(id_precision), 6) AS id_precision, round(100 * avg(id_recall), 6) AS id_recall, round(100 * avg(id_f1), 6) AS id_f1, count(*) AS total FROM ids")
+def id_summary(spark, sf_dir):
+    names = ("id_em", "id_precision", "id_recall", "id_f1")
+    found = evaluation.summary(evaluation.id_detail(turns(spark, sf_dir), "java"), {n: n for n in names})
+    return found.select(*(F.round(n, 6).alias(n) for n in names), "total")
+
+
+@register("bracket_statement", r"SELECT page_id, CASE WHEN regexp_matches(html, '^[^;{}]+[;{}]') THEN regexp_extract(html, '^[^;{}]+[;{}]') ELSE html END AS statement FROM pages")
+def bracket_statement(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.bracket_statement(F.col("html")).alias("statement"))
+
+
+@register("comment_signs", "SELECT doc_id, CASE WHEN lang = 'en' THEN '#' WHEN lang = 'de' THEN '//' END AS sign FROM documents")
+def comment_signs(spark, sf_dir):
+    language = F.when(F.col("lang") == "en", "python").when(F.col("lang") == "de", "java").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.comment_sign(language).alias("sign"))
+
+
+@register("truncate_pred", f"""WITH {_TURNS} SELECT task_id, array_to_string({_NB.format("pred")}[1:len({_NB.format("target")})], chr(10)) AS pred FROM turns""")
+def truncate_pred(spark, sf_dir):
+    return turns(spark, sf_dir).select("task_id", evaluation.truncated(F.col("pred"), F.col("target")).alias("pred"))
+
+
+_SCORED = f"""{_ES}, first AS (SELECT task_id, CASE WHEN greatest(length(p), length(t)) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(p, t) / greatest(length(p), length(t))::DOUBLE END AS es
+FROM (SELECT task_id, {_FOLD.format("split_part(pred, chr(10), 1)")} AS p, {_FOLD.format("split_part(target, chr(10), 1)")} AS t FROM turns)),
+joined AS (SELECT turns.*, es.es AS es_infile, first.es AS es_rg1 FROM turns JOIN es USING (task_id) JOIN first USING (task_id))"""
+
+
+def _two_scores(spark, sf_dir) -> DataFrame:
+    plain = lambda c: F.trim(F.regexp_replace(c, r"[^\x20-\x7E]", ""))
+    one = lambda c: F.get(F.split(c, "\n"), F.lit(0))
+    t = turns(spark, sf_dir)
+    first = t.select("task_id", scores.edit_similarity(plain(one("pred")), plain(one("target"))).alias("es"))
+    return labels.score_join(t, _es(spark, sf_dir), first)
+
+
+@register("score_join_label", f"WITH {_SCORED} SELECT task_id, round(es_infile, 6) AS es_infile, round(es_rg1, 6) AS es_rg1, es_rg1 - es_infile > 0 AS positive, es_infile - es_rg1 > 0.1 AS neg_retrieval FROM joined")
+def score_join_label(spark, sf_dir):
+    return labels.gain_labels(_two_scores(spark, sf_dir)).select("task_id", F.round("es_infile", 6).alias("es_infile"), F.round("es_rg1", 6).alias("es_rg1"), "positive", "neg_retrieval")
+
+
+_STAT = "round(avg(len(string_split({0}, chr(10)))), 6) AS {1}_mean, round(stddev_pop(len(string_split({0}, chr(10)))), 6) AS {1}_std"
+
+
+@register("label_stats", f"""WITH {_SCORED} SELECT {_STAT.format("pred", "left")}, {_STAT.format("target", "right")}, {_STAT.format("target", "target")}, count(*) FILTER (es_rg1 > es_infile) AS n_improved,
+(SELECT count(*) FROM es) AS n_baseline, round(count(*) FILTER (es_rg1 > es_infile) / (SELECT count(*) FROM es)::DOUBLE, 6) AS improved_ratio FROM joined""")
+def label_stats(spark, sf_dir):
+    rows = _two_scores(spark, sf_dir).withColumns({"prompt": F.col("pred"), "right_context": F.col("target"), "groundtruth": F.col("target")})
+    found = labels.label_stats(rows, _es(spark, sf_dir))
+    return found.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in found.dtypes))
+
+
+@register("dedupe_first_wins", "SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id")
+def dedupe_first_wins(spark, sf_dir):
+    return labels.first_rows(table(spark, sf_dir, "conversations"), "conv_id", [F.col("turn")]).select("conv_id", "turn", "text")
+
+
+@register("dedupe_last_wins", "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def dedupe_last_wins(spark, sf_dir):
+    return labels.first_rows(table(spark, sf_dir, "conversations"), "conv_id", [F.desc("turn")]).select("conv_id", "turn", "text")
+
+
+@register("anchor_semi_join", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def anchor_semi_join(spark, sf_dir):
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("task_id"))
+    return evaluation.in_ids(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "task_id"), ids).select(F.col("task_id").alias("doc_id"), "source")
+
+
+@register("missing_predictions", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_predictions(spark, sf_dir):
+    name = lambda t: table(spark, sf_dir, t).select(F.col("doc_id").alias("task_id"))
+    return evaluation.missing(name("documents"), name("labels")).select(F.col("task_id").alias("doc_id"))
+
+
+@register("focused_repo", f"WITH {_TASKS} SELECT task_id FROM tasks WHERE contains(replace(task_id, '/', '_'), 'src1_') OR contains(replace(task_id, '/', '_'), 'src3_de')")
+def focused_repo(spark, sf_dir):
+    return evaluation.focused(tasks(spark, sf_dir).select("task_id"), ["src1/", "src3/de"])
+
+
+# ---- sampling --------------------------------------------------------------------------------------------------------
+
+_BUCKET = "CAST('0x' || substr(md5({0} || '|42'), 1, 8) AS BIGINT) % 10000"
+
+
+@register("repo_split", f"SELECT doc_id, source, CASE WHEN {_BUCKET.format('source')} < 1000 THEN 'valid' WHEN {_BUCKET.format('source')} < 2000 THEN 'test' ELSE 'train' END AS split FROM documents")
+def repo_split(spark, sf_dir):
+    return sampling.group_split(table(spark, sf_dir, "documents"), F.col("source"), 0.2).select("doc_id", "source", "split")
+
+
+@register("split_counts", f"SELECT split, count(*) AS n, count(DISTINCT source) AS n_repos FROM ({SQL['repo_split']}) GROUP BY split")
+def split_counts(spark, sf_dir):
+    return repo_split(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_repos"))
+
+
+@register("distinct_repos", "SELECT DISTINCT source FROM documents")
+def distinct_repos(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("source").distinct()
+
+
+@register(
+    "tfidf",
+    f"""WITH t AS (SELECT source, doc_id, unnest({_WORDS.format("text")}) AS term FROM documents), tf AS (SELECT source, doc_id, term, count(*)::DOUBLE AS tf FROM t GROUP BY ALL),
+df AS (SELECT source, term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL HAVING count(*) >= 5), n AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
+raw AS (SELECT source, doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (source, term) JOIN n USING (source))
+SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY source, doc_id)), 6) AS weight FROM raw""",
+)
+def tfidf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("group"), "doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
+    return sampling.tfidf(docs).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+_KEYED = f"WITH {_FILES}, {_windows_sql(10, 10)}, k AS (SELECT repo, filepath || '|' || start_i AS key FROM chunks)"
+
+
+def _sampled(spark, sf_dir) -> DataFrame:
+    c = chunking.windows(files(spark, sf_dir).select("repo", "filepath", "lines"), 10, 10)
+    return c.select("repo", "filepath", "lines" if "lines" in c.columns else "text", F.concat_ws("|", "filepath", "start_i").alias("key"))
+
+
+@register("sample_cap", f"{_KEYED} SELECT repo, key FROM k QUALIFY row_number() OVER (PARTITION BY repo ORDER BY md5(key || '|42'), key) <= 20")
+def sample_cap(spark, sf_dir):
+    return sampling.capped(_sampled(spark, sf_dir), "repo", F.col("key"), 20).select("repo", "key")
+
+
+@register("cluster_sample", f"{_KEYED} SELECT repo, cluster, key FROM (SELECT *, CAST('0x' || substr(md5(key || '|7'), 1, 8) AS BIGINT) % 5 AS cluster FROM k) QUALIFY row_number() OVER (PARTITION BY repo, cluster ORDER BY md5(key || '|42'), key) = 1")
+def cluster_sample(spark, sf_dir):
+    rows = _sampled(spark, sf_dir).withColumn("cluster", sampling.bucket(F.col("key"), 7, 5))
+    return sampling.one_per_cluster(rows, ["repo", "cluster"], F.col("key")).select("repo", "cluster", "key")
+
+
+@register("poisson_windows")
+def poisson_windows(spark, sf_dir):
+    rows = _sampled(spark, sf_dir).select("repo", "key", F.split("text", "\n").alias("lines"))
+    return sampling.poisson_windows(rows, F.col("key")).select("repo", "key", "n_lines", "offset")
+
+
+@register("shard_assign", "SELECT doc_id, CAST(ceil(dense_rank() OVER (ORDER BY source) / 3.0) AS INTEGER) AS shard FROM documents")
+def shard_assign(spark, sf_dir):
+    return sampling.shards(table(spark, sf_dir, "documents"), "source", 3).select("doc_id", "shard")
+
+
+@register("kmeans_clusters")
+def kmeans_clusters(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return sampling.kmeans(sampling.capped(e, "group", F.col("doc_id").cast("string"))).select(F.col("doc_id").alias("vec_id"), "cluster")
+
+
+# ---- tokens and prompts ----------------------------------------------------------------------------------------------
+
+_TOK = (
+    _TASKS
+    + f""",
+tok AS (SELECT t.doc_id, t.task_id, list_transform({_WORDS.format("prompt")}, lambda w: CAST(length(w) + 100 AS INTEGER)) AS lc, list_transform({_WORDS.format("right_context")}, lambda w: CAST(length(w) + 100 AS INTEGER)) AS rc,
+  list_transform({_WORDS.format("groundtruth")}, lambda w: CAST(length(w) + 100 AS INTEGER)) AS tgt, list_transform({_WORDS.format("content")}, lambda w: CAST(length(w) + 100 AS INTEGER))[1:512] AS cfc FROM tasks t JOIN files USING (filepath)),
+bud AS (SELECT *, 2048 - len(tgt) - len(cfc) - 5 AS lr, CAST(trunc((2048 - len(tgt) - len(cfc) - 5) / 3.0) AS BIGINT) AS rb FROM tok),
+cutl AS (SELECT *, CASE WHEN 2 * rb > 0 THEN lc[-least(2 * rb, greatest(len(lc), 1)):] ELSE lc[1 - 2 * rb:] END AS left_ids, CASE WHEN rb >= 0 THEN rc[1:rb] ELSE rc[1:greatest(len(rc) + rb, 0)] END AS right_ids, doc_id % 3 AS kind FROM bud),
+seq AS (SELECT doc_id, task_id, list_concat(CASE kind
+  WHEN 0 THEN list_concat([1], list_concat(left_ids, list_concat([3], list_concat(right_ids, list_concat([11, 10], list_concat(cfc, list_concat([2], tgt)))))))
+  WHEN 1 THEN list_concat([1], list_concat(left_ids, list_concat([3], list_concat(right_ids, list_concat([11, 12, 2], tgt)))))
+  ELSE list_concat([1], list_concat(left_ids, list_concat([3], list_concat(right_ids, list_concat([11, 2], tgt))))) END, list_transform(range(2048), lambda i: 0))[1:greatest(2048, 0)] AS padded,
+  len(left_ids) + len(right_ids) + len(tgt) + 4 + CASE kind WHEN 0 THEN len(cfc) + 1 WHEN 1 THEN 1 ELSE 0 END AS n FROM cutl)"""
+)
+_SEQ = _TOK + ", ok AS (SELECT doc_id, task_id, padded AS ids FROM seq WHERE n <= 2048)"
+_JOINED = "array_to_string({0}, ' ')"
+
+
+def _sequences(spark, sf_dir) -> DataFrame:
+    rows = task_tokens(spark, sf_dir).withColumns({"positive": F.col("doc_id") % 3 == 0, "neg_retrieval": F.col("doc_id") % 3 == 1})
+    return labels.training_rows(rows, IDS, 2048, 2.0, PAD)
+
+
+@register("token_budget", f"WITH {_TOK} SELECT task_id, CAST(lr AS INTEGER) AS lr, CAST(rb AS INTEGER) AS rc, CAST(2 * rb AS INTEGER) AS lc FROM bud")
+def token_budget(spark, sf_dir):
+    return task_tokens(spark, sf_dir).withColumn("b", tk.context_budget(2048, F.col("tgt"), F.col("cfc"), 2.0)).select("task_id", "b.*")
+
+
+@register("pad_tokens", f"WITH {_TOK}, p AS (SELECT task_id, list_concat(lc[1:256], list_transform(range(greatest(256 - len(lc), 0)), lambda i: 0)) AS ids FROM tok) SELECT task_id, {_JOINED.format('ids')} AS ids, CAST(list_sum(list_transform(ids, lambda x: CAST(x <> 0 AS INTEGER))) AS BIGINT) AS mask FROM p")
+def pad_tokens(spark, sf_dir):
+    p = task_tokens(spark, sf_dir).select("task_id", tk.to_length(F.col("lc"), 256, PAD).alias("ids"))
+    return p.select("task_id", F.array_join("ids", " ").alias("ids"), F.aggregate(tk.attention_mask(F.col("ids"), PAD), F.lit(0).cast("long"), lambda s, x: s + x).alias("mask"))
+
+
+@register("train_layout", f"WITH {_SEQ} SELECT task_id, {_JOINED.format('ids')} AS ids FROM ok")
+def train_layout(spark, sf_dir):
+    return _sequences(spark, sf_dir).select("task_id", F.array_join("token_ids", " ").alias("ids"))
+
+
+_LBL = _SEQ + ", lbl AS (SELECT task_id, list_transform(ids[2:], lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS l FROM ok)"
+
+
+@register("label_mask_code", f"WITH {_LBL}, p AS (SELECT task_id, l, list_position(l, 2) AS m FROM lbl) SELECT task_id, {_JOINED.format('list_transform(l, lambda x, i: CASE WHEN m IS NULL OR m = 0 OR (i > m AND x <> 2) THEN x ELSE -100 END)')} AS labels FROM p")
+def label_mask_code(spark, sf_dir):
+    return _sequences(spark, sf_dir).select("task_id", F.array_join(tk.completion_labels(F.col("token_ids"), PAD, IDS["fim_middle"], IDS["end_rc"]), " ").alias("labels"))
+
+
+@register("label_mask_cfc", f"WITH {_LBL} SELECT task_id, {_JOINED.format('list_transform(l, lambda x, i: CASE WHEN (CASE WHEN i = 1 THEN l[len(l)] ELSE l[i - 1] END) = 11 AND x <> 12 THEN x ELSE -100 END)')} AS labels FROM lbl")
+def label_mask_cfc(spark, sf_dir):
+    return _sequences(spark, sf_dir).select("task_id", F.array_join(tk.retrieval_labels(F.col("token_ids"), PAD, IDS["end_rc"], True), " ").alias("labels"))
+
+
+@register("label_mask_single")
+def label_mask_single(spark, sf_dir):
+    return _sequences(spark, sf_dir).select("task_id", F.array_join(tk.single_loss_labels(F.col("token_ids"), PAD, IDS["fim_middle"], IDS["cfc_info"], IDS["end_rc"]), " ").alias("labels"))
+
+
+_PROMPT_TOK = _TASKS + f", p AS (SELECT task_id, {_WORDS.format('prompt')} AS l, {_WORDS.format('right_context')} AS r, {_WORDS.format('content')} AS c FROM tasks JOIN files USING (filepath))"
+_TAIL = "array_to_string({0}[-{1}:], ' ')"
+_HEAD = "array_to_string({0}[1:{1}], ' ')"
+_PROMPT_SQL = {
+    "left": _TAIL.format("l", 1998),
+    "left_fim": f"'<fim_prefix>' || {_TAIL.format('l', 1988)} || '<fim_suffix><fim_middle>'",
+    "cfc_fim": f"'<fim_prefix>' || {_TAIL.format('l', 1481)} || '<fim_suffix>' || {_HEAD.format('c', 507)} || '<fim_middle>'",
+    "cfc_left": "array_to_string(list_concat(c[1:512], l[-1486:]), ' ')",
+    "left_right_fim": f"'<fim_prefix>' || {_TAIL.format('l', 1476)} || '<fim_suffix>' || {_HEAD.format('r', 502)} || '<fim_middle>'",
+    "right_left": "array_to_string(list_concat(r[1:512], l[-1486:]), ' ')",
+    "right_cfc_left": "array_to_string(list_concat(r[1:512], list_concat(c[1:512], l[-974:])), ' ')",
+    "right_cfc_left_fim": f"'<fim_prefix>' || {_HEAD.format('c', 502)} || {_TAIL.format('l', 964)} || '<fim_suffix>' || {_HEAD.format('r', 502)} || '<fim_middle>'",
+    "served_left_right": f"'<fim_prefix>' || {_TAIL.format('l', 1486)} || '<fim_suffix>' || {_HEAD.format('r', 512)} || '<fim_middle>'",
+    "served_right_cfc": f"'<fim_prefix>' || {_TAIL.format('l', 974)} || '<fim_suffix>' || {_HEAD.format('r', 512)} || chr(10) || chr(10) || {_HEAD.format('c', 512)} || '<fim_middle>'",
+    "selective_left_right": f"'<fim_prefix>' || {_TAIL.format('l', 1486)} || '<fim_suffix>' || {_HEAD.format('r', 512)} || '<eof><fim_middle>'",
+    "selective_right_cfc": f"'<fim_prefix>' || {_TAIL.format('l', 974)} || '<fim_suffix>' || {_HEAD.format('r', 512)} || '<eof><cc>' || chr(10) || chr(10) || {_HEAD.format('c', 512)} || '<fim_middle>'",
+    "decision": f"'<fim_prefix>' || {_TAIL.format('l', 1486)} || '<fim_suffix>' || {_HEAD.format('r', 512)} || '<eof>'",
+}
+
+
+def _register_prompt(kind: str) -> None:
+    @register(f"prompt_{kind}", f"WITH {_PROMPT_TOK} SELECT task_id, {_PROMPT_SQL[kind]} AS prompt FROM p")
+    def run(spark, sf_dir):
+        t = tasks(spark, sf_dir).join(files(spark, sf_dir).select("filepath", "content"), "filepath")
+        made = tk.prompt(kind, tx.word_tokens(F.col("prompt")), tx.word_tokens(F.col("right_context")), tx.word_tokens(F.col("content")))
+        return t.select("task_id", (F.array_join(made, " ") if kind in ("left", "cfc_left", "right_left", "right_cfc_left") else made).alias("prompt"))
+
+
+for _k in tk.PROMPT_KINDS:
+    _register_prompt(_k)
+
+
+@register("generated_tail", "SELECT doc_id, array_to_string(string_split(split_part(text, 'the', 1), ' ')[-50:], ' ') AS tail FROM documents")
+def generated_tail(spark, sf_dir):
+    """What stands before a separator, and its last 50 tokens; "the" stands for the separator."""
+    head = tx.file_separator_head(F.col("text"), "the")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.tail(F.split(head, " "), 50), " ").alias("tail"))
+
+
+@register("length_mode_filter", f"WITH n AS (SELECT doc_id, CAST(len({_WORDS.format('text')}) AS INTEGER) AS n FROM documents), m AS (SELECT n AS modal FROM n GROUP BY n ORDER BY count(*) DESC, n LIMIT 1) SELECT doc_id, n, modal FROM n, m WHERE n <= modal")
+def length_mode_filter(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").select("doc_id", F.size(tx.word_tokens(F.col("text"))).alias("n"))
+    return evaluation.modal_length(n, F.col("n"))
+
+
+# ---- model outputs ---------------------------------------------------------------------------------------------------
+
+
+@register("latency_stats", "SELECT user_id AS batch, round(avg(value), 6) AS sample_latency, round(avg(value) / 50, 6) AS sample_latency_per_token FROM events GROUP BY user_id")
+def latency_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("batch"), F.col("value").alias("latency"))
+    return evaluation.latency(e, 50).select("batch", F.round("sample_latency", 6).alias("sample_latency"), F.round("sample_latency_per_token", 6).alias("sample_latency_per_token"))
+
+
+_SOFT = "SELECT vec_id, label, embedding::DOUBLE[] AS x, list_sum(list_transform(embedding::DOUBLE[], lambda y: exp(y))) AS z FROM embeddings"
+
+
+@register("softmax_prob", f"SELECT vec_id, round(exp(x[label + 1]) / z, 6) AS prob FROM ({_SOFT})")
+def softmax_prob(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scores.softmax_at(F.col("embedding"), F.col("label")), 6).alias("prob"))
+
+
+@register("uncertainty", f"""WITH s AS ({_SOFT}), p AS (SELECT vec_id, label, list_transform(x, lambda y: exp(y) / z) AS p FROM s),
+u AS (SELECT vec_id, label, list_max(p) AS m, -list_sum(list_transform(p, lambda y: y * ln(y))) AS e FROM p)
+SELECT label, round(arg_min(m, vec_id), 6) AS max_prob_first_token, round(min(m), 6) AS max_prob_lower_bound, round(avg(m), 6) AS max_prob_all_tokens, round(arg_min(e, vec_id), 6) AS entropy_first_token, round(avg(e), 6) AS entropy_all_tokens FROM u GROUP BY label""")
+def uncertainty(spark, sf_dir):
+    """The vectors of a label as the logits of a sequence's tokens, by id."""
+    u = table(spark, sf_dir, "embeddings").select("label", F.struct("vec_id", scores.token_uncertainty(F.col("embedding")).alias("u")).alias("t"))
+    seq = u.groupBy("label").agg(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["u"]).alias("ts"))
+    found = seq.select("label", scores.sequence_uncertainty(F.col("ts")).alias("s")).select("label", "s.*")
+    return found.select("label", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
+
+
+@register("mean_log_prob", "SELECT vec_id, round(list_sum(embedding::DOUBLE[][1:label + 1]) / (label + 1), 6) AS mean_logp FROM embeddings")
+def mean_log_prob(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scores.mean_log_prob(F.col("embedding"), F.col("label") + 1), 6).alias("mean_logp"))
+
+
+_ROUTE = f"""WITH {_TURNS}, r AS (SELECT task_id, pred, target, (CAST('0x' || substr(md5(task_id || '|1'), 1, 8) AS BIGINT) % 1000) / 1000.0::DOUBLE AS prob FROM turns)"""
+
+
+def _routed(spark, sf_dir) -> DataFrame:
+    t = turns(spark, sf_dir).withColumn("retrieval_prob", sampling.bucket(F.col("task_id"), 1, 1000) / F.lit(1000.0))
+    return evaluation.route(t.withColumnsRenamed({"pred": "pred_plain", "target": "pred_context"}), 0.2)
+
+
+@register("selective_route", f"{_ROUTE} SELECT task_id, prob > 0.2 AS do_retrieval, CASE WHEN prob > 0.2 THEN target ELSE pred END AS pred FROM r")
+def selective_route(spark, sf_dir):
+    return _routed(spark, sf_dir).select("task_id", "do_retrieval", "pred")
+
+
+@register("rag_ratio", f"{_ROUTE} SELECT round(avg(CAST(prob > 0.2 AS INTEGER)), 6) AS rag_ratio FROM r")
+def rag_ratio(spark, sf_dir):
+    return evaluation.rag_ratio(_routed(spark, sf_dir)).select(F.round("rag_ratio", 6).alias("rag_ratio"))
+
+
+_BATCHES = """b AS (SELECT doc_id % 8 AS batch, quality = 1 AS has_cfc, toxic = 0 AS pred_cfc, doc_id % 5 + 1 AS rank FROM labels),
+h AS (SELECT batch, count(*) FILTER (has_cfc AND pred_cfc)::DOUBLE AS hit, count(*) FILTER (pred_cfc) AS np, count(*) FILTER (has_cfc) AS na, coalesce(avg(1 / rank::DOUBLE) FILTER (has_cfc), 0) AS mrr FROM b GROUP BY batch),
+pr AS (SELECT batch, coalesce(hit / nullif(np, 0), 0) AS precision, coalesce(hit / nullif(na, 0), 0) AS recall, mrr FROM h),
+f AS (SELECT batch, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, mrr FROM pr)"""
+
+
+@register("cfc_prf_batches", f"WITH {_BATCHES} SELECT batch, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(mrr, 6) AS mrr FROM f")
+def cfc_prf_batches(spark, sf_dir):
+    b = table(spark, sf_dir, "labels").select((F.col("doc_id") % 8).alias("batch"), (F.col("quality") == 1).alias("has_cfc"), (F.col("toxic") == 0).alias("pred_cfc"), (F.col("doc_id") % 5 + 1).alias("rank"))
+    return evaluation.batch_retrieval_metrics(b).select("batch", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mrr")))
+
+
+@register("cfc_prf_mrr", f"WITH {_BATCHES}, r AS (SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(mrr, 6) AS mrr FROM f) SELECT round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(f1), 5) AS f1, round(avg(mrr), 5) AS mrr FROM r")
+def cfc_prf_mrr(spark, sf_dir):
+    return evaluation.mean_retrieval_metrics(cfc_prf_batches(spark, sf_dir)).select(*(F.round(c, 5).alias(c) for c in ("precision", "recall", "f1", "mrr")))
+
+
+@register("logit_rank", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > embedding[label + 1])) + 1 AS INTEGER) AS rank FROM embeddings")
+def logit_rank(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", scores.rank_of(F.col("embedding"), F.col("label")).alias("rank"))
+
+
+@register("losses", "SELECT round(avg(coalesce(value, 0)), 6) AS loss_cfc, round(avg(coalesce(ln(value), 0)), 6) AS loss_code, round(2 * avg(coalesce(value, 0)) + avg(coalesce(ln(value), 0)), 6) AS loss, round(exp(avg(coalesce(ln(value), 0))), 6) AS perplexity FROM events")
+def losses(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("value").alias("loss_cfc"), F.ln("value").alias("loss_code"))
+    return evaluation.losses(rows, 2.0).select(*(F.round(c, 6).alias(c) for c in ("loss_cfc", "loss_code", "loss", "perplexity")))
+
+
+@register("token_counts", f"WITH {_TOK}, b AS (SELECT doc_id % 8 AS batch, unnest(lc) AS id FROM tok) SELECT batch, count(DISTINCT id) AS unique_tokens, count(*) AS all_tokens FROM b GROUP BY batch")
+def token_counts(spark, sf_dir):
+    rows = task_tokens(spark, sf_dir).select((F.col("doc_id") % 8).alias("batch"), F.col("lc").alias("ids"), tk.attention_mask(F.col("lc"), PAD).alias("mask"))
+    return evaluation.token_counts(rows)
+
+
+# ---- without an equivalent in SQL ------------------------------------------------------------------------------------
+
+
+@register("fuzz_ratio")
+def fuzz_ratio(spark, sf_dir):
+    return turns(spark, sf_dir).select("task_id", python_code.fuzz_ratio("pred", "target").alias("es"))
+
+
+@register("valid_prefix")
+def valid_prefix(spark, sf_dir):
+    return turns(spark, sf_dir).select("task_id", python_code.valid_prefix(F.lit(""), F.get(F.split("pred", "\n"), F.lit(0))).alias("v")).select("task_id", "v.*")
+
+
+@register("function_body")
+def function_body(spark, sf_dir):
+    code = F.concat(F.lit("def f():\n    x = 1\n    return x\n\n# "), F.regexp_replace("text", "\n", "\n# "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(python_code.function_bodies(code), "\n").alias("bodies"))
+
+
+@register("function_example")
+def function_example(spark, sf_dir):
+    pred = F.concat(F.lit("x = 1\n    return x\n# "), F.get(F.split("pred", "\n"), F.lit(0)))
+    return turns(spark, sf_dir).select("task_id", python_code.function_example(F.lit("def f():\n    "), pred, F.lit("return 2\n")).alias("e")).select("task_id", "e.*")
+
+
+@register("python_statement")
+def python_statement(spark, sf_dir):
+    code = F.concat(F.lit("x = 1\n"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", python_code.statement(F.lit(""), code, F.lit("python")).alias("statement"))
+
+
+@register("ngram_match")
+def ngram_match(spark, sf_dir):
+    return turns(spark, sf_dir).select("task_id", python_code.weighted_ngram_match("target", "pred").alias("score"))
+
+
+def _token_vectors(column: str):
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col(column), i * 8 + 1, 8))
+
+
+@register("maxsim")
+def maxsim(spark, sf_dir):
+    """Each vector as eight token vectors, against the next vector of its label."""
+    e = table(spark, sf_dir, "embeddings").withColumn("other", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("other IS NOT NULL")
+    return e.select("vec_id", F.round(scores.max_similarity(_token_vectors("embedding"), _token_vectors("other")), 6).alias("score"))
+
+
+@register("masked_mean")
+def masked_mean(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", scores.masked_mean(_token_vectors("embedding"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i < F.col("label")).cast("int"))).alias("v"))
+    return e.select("vec_id", F.posexplode("v").alias("pos", "value")).withColumn("value", F.round("value", 6))
