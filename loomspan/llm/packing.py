@@ -26,20 +26,30 @@ END_ID = 1
 #: Pieces that one group packs on average. Groups are dealt by a hash, so their sizes differ by a few hundredths.
 GROUP_PIECES = 16_384
 #: Words, and letter runs, whose ids a worker remembers; either memory starts anew when it is full.
-REMEMBERED_WORDS = 400_000
-REMEMBERED_RUNS = 800_000
-_ENDS = b".,;:!?|"
+REMEMBERED_WORDS = 800_000
+REMEMBERED_RUNS = 1_000_000
+_ENDS = ".,;:!?|"
 #: Stands between words that are encoded together; its ids come from no other text.
 _MARK = "\u00a7"
 
 
+def _shown_bytes() -> dict[int, str]:
+    """Byte-level BPE's characters for bytes: printable ones stand for themselves, the others for U+0100 and up, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+_SHOWN = _shown_bytes()
+
+
 class WordTokenizer:
     """Token ids of whole texts from ids of their words.
 
     The vocabulary's splitter never joins characters across ASCII white space, so a text's ids are those of its words
-    one after the other; most words come again and are looked up. A word of ASCII letters with closing punctuation is a
-    run of letters and a run of signs for the splitter; its letters go to the model directly, in lower case as its
-    normaliser has them. Other new words are encoded many at a time. `tests/llm` compares with encoding whole texts.
+    one after the other; most words come again and are looked up. A word of Latin letters with closing punctuation is a
+    run of letters and a run of signs for the splitter; its letters go to the model directly, in lower case and with the
+    splitter's characters for bytes. Other new words are encoded many at a time. `tests/llm` compares with encoding whole texts.
     """
 
     def __init__(self, path: str):
@@ -47,27 +57,33 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.mark = self._encode(_MARK).tobytes()
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _run(self, letters: bytes) -> bytes:
+    def _run(self, letters: str) -> bytes:
         found = self.runs.get(letters)
         if found is None:
-            found = self.runs[letters] = np.array([t.id for t in self.tokenizer.model.tokenize(letters.decode())], "<u4").tobytes()
+            shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SHOWN)
+            found = self.runs[letters] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
         return found
 
     def _learn(self, words: set[bytes]) -> None:
         known, rest = self.known, []
         for w in words:
-            letters = w.rstrip(_ENDS)
-            if letters.isalpha():
-                signs = w[len(letters) :]
-                if signs and signs not in known:
-                    known[signs] = self._encode(signs.decode()).tobytes()
-                known[w] = self._run(letters.lower()) + (known[signs] if signs else b"")
+            text = w.decode()
+            letters = text.rstrip(_ENDS)
+            # Letters before U+0130 have one lower-case form and no other composition.
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0130"):
+                signs = text[len(letters) :]
+                end = b""
+                if signs:
+                    end = known.get(raw := signs.encode())
+                    if end is None:
+                        end = known[raw] = self._encode(signs).tobytes()
+                known[w] = self._run(letters.lower()) + end
             else:
                 rest.append(w)
         for at in range(0, len(rest), 100):
