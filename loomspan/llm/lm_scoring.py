@@ -128,5 +128,6 @@ def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Target: documents that `labels` calls of good quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("d")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", F.col("d").isNotNull().alias("target"))
+    # One plan at any size: the labels grow with the documents, and a broadcast would suit small inputs only.
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", F.col("d").isNotNull().alias("target"))
     return score(marked, count_models(marked))
