@@ -36,7 +36,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-_CONTAINER = frozenset("article blockquote body center div main section table tbody td tr ul ol dl html".split())
+_CONTAINER = frozenset("article body center div main section table td html".split())
 _DROPPED = frozenset("head script style noscript template iframe object svg canvas math audio video nav header footer aside form button select textarea input menu dialog noembed noframes map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class names and ids that mark what isn't the article.
@@ -158,7 +158,7 @@ class Page:
                 classes = sorted({re.sub(r"\d+", "N", c) for c in attributes.get("class", "").split()})
                 self.steps.append(".".join([tag, *classes[:6]]))
                 self.parents.append(own)
-                self.weights.append(1.5 if tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody" else 1.0)
+                self.weights.append(3.0 if tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody" else 1.0)
                 own = len(self.steps) - 1
             stack.append((tag, own, out))
             depth_of_links += tag == "a"
@@ -174,15 +174,25 @@ class Page:
         return ">".join(reversed(steps)) or "#"
 
     def best(self) -> tuple[int, float]:
-        """The container with the highest score: text outside links, whole in a block's container, half in the one above, and so on."""
-        scores = [0.0] * len(self.steps)
+        """The container with the highest score: text outside links, whole in a block's container, half in the one above, and so on.
+
+        Then up to a container around it (not the whole body) that adds at most a third, hardly any of it links.
+        """
+        scores, texts, linked = ([0.0] * len(self.steps) for _ in range(3))
         for k, text, links in self.blocks:
             worth = (len(text) - links) * (1 - links / len(text))
-            while k >= 0 and worth >= 1:
+            while k >= 0:
                 scores[k] += worth
+                texts[k] += len(text)
+                linked[k] += links
                 k, worth = self.parents[k], worth / 2
         scores = [s * w for s, w in zip(scores, self.weights, strict=True)]
         k = max(range(len(scores)), key=lambda i: (scores[i], -i))
+        while (up := self.parents[k]) > 0 and self.steps[up].partition(".")[0] not in ("body", "html"):
+            more = texts[up] - texts[k]
+            if 3 * more > texts[k] or 5 * (linked[up] - linked[k]) > more:
+                break
+            k = up
         return k, scores[k]
 
     def text_of(self, chosen: set[int]) -> str:

@@ -1,10 +1,16 @@
-"""The stages of the corpus pipeline: each applies one operator and keeps the columns of documents."""
+"""The stages of the corpus pipeline: each applies one operator, and all but the last keep the columns of documents.
+
+Defined results: rows that share a doc_id are copies of one document until mixing, which takes each by itself; after it a
+document stands once for each round that took it, cut to the words that the round took. Null texts are rejected by the
+first stage. An empty table stays empty through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspan.llm import langid, packing
+from loomspan.llm import langid, line_dedup, mixing, ngram_join, packing
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,19 +19,31 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.identify(docs, dictionaries).where("NOT rejected").select(docs.columns)
 
 
-def without_repeated_lines(spark, docs, sf_dir):
-    return docs
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the lines that repeat earlier ones; a document that has nothing left but white space goes."""
+    kept = line_dedup.without_lines(docs).where(r"__removed = 0 OR text RLIKE '\\S'")
+    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
-def one_of_each_group(spark, docs, sf_dir):
-    return docs
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest id."""
+    first = ngram_join.jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
 
 
-def mixed(spark, docs, sf_dir):
-    return docs
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document once for each round of the mix that takes it, cut to the words that the round takes."""
+    draws, _ = mixing.mix(docs)
+    taken = draws.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("words").alias("__rounds"))
+    rows = docs.join(taken, F.col("doc_id") == F.col("__doc")).withColumn("__words", F.explode("__rounds"))
+    whole = F.regexp_count("text", F.lit(mixing.WORD)) <= F.col("__words")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORD})")), 1, F.col("__words").cast("int")), " ")
+    text = F.when(whole, F.col("text")).otherwise(cut)
+    return rows.withColumn("__text", text).select(*(F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their places in the sequences."""
     import public_tokenizers
 
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
