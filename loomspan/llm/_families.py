@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import sigtree
-from loomspan.llm._shared import Forest, Scratch, components
+from loomspan.llm._shared import Forest, Scratch
 
 BLOCK = 2_048
 
@@ -44,14 +44,17 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _links(rows: DataFrame, token_set: Callable[[str], np.ndarray], num: int, den: int) -> DataFrame:
-    """Spanning links (a, b) inside each `task` of rows (task, id, part, text); equal parts count as linked already."""
+    """Links (a, b) inside each `task` of rows (task, id, part, text); rows of a part count as linked already.
+
+    Between parts that a chain of links joins, as many links as it takes; b is the smallest id of all of them.
+    """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "task"):
+            table = table.sort_by("id")
             ids = table["id"].to_numpy()
-            _, part = np.unique(table["part"].to_numpy(), return_inverse=True)
+            _, first, part = np.unique(table["part"].to_numpy(), return_index=True, return_inverse=True)
             forest = Forest(len(ids))
-            first = np.unique(part, return_index=True)[1]
             forest.up = first[part]
             sets = [token_set(t) for t in table["text"].to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -62,9 +65,11 @@ def _links(rows: DataFrame, token_set: Callable[[str], np.ndarray], num: int, de
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 return (num + den) * shared >= num * (sizes[i] + sizes[j])
 
-            found = sigtree.links(sizes, maps, num, den, same, forest)
-            if found:
-                yield _edges([(int(ids[i]), int(ids[j])) for i, j in found])
+            if sigtree.links(sizes, maps, num, den, same, forest):
+                roots = forest.roots()
+                heads = np.unique(first)
+                moved = heads[roots[heads] != heads]
+                yield _edges([(int(ids[i]), int(ids[roots[i]])) for i in moved.tolist()])
 
     return rows.select("task", "id", "part", "text").repartition("task").sortWithinPartitions("task").mapInArrow(link, "a long, b long")
 
@@ -86,14 +91,16 @@ def family_links(scratch: Scratch, members: DataFrame, token_set: Callable[[str]
     two = _links(blocked.select(task("family", "block").alias("task"), "id", F.col("id").alias("part"), "text"), token_set, num, den)
     found = scratch.keep(two, "block_links")
 
-    def labelled(edges: DataFrame) -> DataFrame:
-        return blocked.join(components(scratch, edges).withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").withColumn("part", F.coalesce("component_id", "id")).drop("i", "component_id")
-
-    leaders = scratch.keep(labelled(found).where("id = part").select("id", "family", "text"), "leaders")
+    # Inside a block a link's b is its component's smallest id, so one join names the components.
+    named = blocked.join(found.select(F.col("a").alias("i"), F.col("b").alias("part")), F.col("id") == F.col("i"), "left").withColumn("part", F.coalesce("part", "id")).drop("i")
+    named = scratch.keep(named, "named_blocks")
+    leaders = named.where("id = part")
     per = leaders.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     spread = leaders.join(per, "family").withColumn("task", task("family", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))))
-    found = scratch.keep(found.unionByName(_links(spread.select("task", "id", F.col("id").alias("part"), "text"), token_set, num, den)), "leader_links")
-    marked = scratch.keep(labelled(found), "labelled")
+    met = scratch.keep(_links(spread.select("task", "id", F.col("id").alias("part"), "text"), token_set, num, den), "leader_links")
+    found = found.unionByName(met)
+    marked = named.join(met.select(F.col("a").alias("i"), F.col("b").alias("to")), F.col("part") == F.col("i"), "left").withColumn("part", F.coalesce("to", "part")).drop("i", "to")
+    marked = scratch.keep(marked, "labelled")
     parts = marked.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("family").agg(F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m")).select("family", (-F.col("m.p")).alias("main"))
     minor = scratch.keep(marked.join(main, "family").where("part <> main").drop("main"), "minor")

@@ -211,7 +211,7 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, num: int = NUM, den: int =
     first = scratch.keep(first.select("id", F.col("m.doc").alias("d"), F.col("m.line").alias("line")), "first")
     wanted = first.join(families, F.col("id") == F.col("i")).groupBy("d").agg(F.collect_list(F.struct("line", "id", "family")).alias("at"))
     wanted = scratch.keep(wanted, "wanted")
-    members = scratch.keep(_members(docs.join(wanted, F.col("doc") == F.col("d"))).dropDuplicates(["id"]), "members")
+    members = scratch.keep(_members(docs.join(wanted.hint("merge"), F.col("doc") == F.col("d"))).dropDuplicates(["id"]), "members")
     links = family_links(scratch, members, char_shingles, num, den)
     linked = scratch.keep(components(scratch, links).select(F.col("id").alias("i"), "component_id"), "linked")
     scratch.drop("members", "wanted", "first", "families")
@@ -227,7 +227,7 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     gone = scratch.keep(repeated_lines(scratch, plain, num, den).select(F.col("doc").alias("__doc"), F.col("lines").alias("__gone")), "gone")
     scratch.drop("named", "kept", "lines")
-    both = docs.join(gone, docs[id_col].cast("long") == F.col("__doc"), "left")
+    both = docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("__doc"), "left")
     lines = F.split(docs[text_col], "\n")
     text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("__gone"), k)), "\n"))
     return both.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"))
