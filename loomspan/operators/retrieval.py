@@ -19,6 +19,11 @@ from loomspan.functions import text as tx
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {"jaccard_sim": scores.jaccard, "containment": scores.containment}
 
 
+def word_ids(text: Column) -> Column:
+    """The word set as 64-bit hashes: sets of numbers intersect several times faster than sets of strings."""
+    return F.array_distinct(F.transform(tx.word_tokens(text), lambda w: F.xxhash64(w)))
+
+
 def pairs(queries: DataFrame, chunks: DataFrame, salts: int = 1, cross_file_only: bool = True) -> DataFrame:
     """Each query with the chunks of its repository's other files. queries: task_id, repo, filepath, ...; chunks: repo, filepath, ..."""
     right = chunks.select(*(F.col(c).alias(f"chunk_{c}") for c in chunks.columns))
@@ -43,8 +48,8 @@ def rank_sets(queries: DataFrame, chunks: DataFrame, k: int, scorer: str = "jacc
 
     ties: "path" (file, then chunk number) or "text_desc" (chunk text, descending).
     """
-    q = queries.withColumn("query_words", tx.word_set(F.col("query"))).drop("query")
-    c = chunks.withColumn("words", tx.word_set(F.col("text")))
+    q = queries.withColumn("query_words", word_ids(F.col("query"))).drop("query")
+    c = chunks.withColumn("words", word_ids(F.col("text")))
     scored = pairs(q, c, salts).withColumn("score", F.coalesce(SCORERS[scorer](F.col("query_words"), F.col("chunk_words")), F.lit(0.0))).drop("query_words", "chunk_words")
     order = [F.desc("score"), *([F.desc("chunk_text")] if ties == "text_desc" else [F.col("chunk_filepath"), F.col("chunk_chunk_no")])]
     return top_k(scored, k, order, threshold=threshold)
@@ -72,6 +77,48 @@ def bm25(candidates: DataFrame, query_terms: DataFrame, k1: float = K1, b: float
     return candidates.select("task_id", "chunk_id").join(hits, ["task_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def rank_bm25(query_terms: DataFrame, tasks: DataFrame, chunks: DataFrame, k: int, digits: int = 6, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+    """Top k of `bm25` where the candidates are all chunks of the repository's other files: task_id, filepath, chunk_no, score, rank.
+
+    query_terms: task_id, term, weight. tasks: task_id, repo, filepath. chunks: repo, filepath, chunk_no, tokens. Nothing is
+    computed for pairs without a common term: counts of a repository less those of the own file give each task's document
+    frequencies, and a histogram of them its mean inverse frequency. Only tasks with fewer than k hits meet all chunks.
+    """
+    one = F.count(F.lit(1))
+    length = F.size("tokens").cast("double")
+    tf = chunks.select("repo", "filepath", "chunk_no", length.alias("len"), F.explode("tokens").alias("term")).groupBy("repo", "filepath", "chunk_no", "len", "term").agg(one.cast("double").alias("tf"))
+    by_file = tf.groupBy("repo", "filepath", "term").agg(one.alias("df_file"))
+    by_repo = by_file.groupBy("repo", "term").agg(F.sum("df_file").alias("df_repo"))
+    size_file = chunks.groupBy("repo", "filepath").agg(one.alias("n_file"), F.sum(length).alias("len_file"))
+    size_repo = size_file.groupBy("repo").agg(F.sum("n_file").alias("n_repo"), F.sum("len_file").alias("len_repo"))
+    own = tasks.select("repo", "filepath").distinct().join(size_repo, "repo").join(size_file, ["repo", "filepath"], "left")
+    own = own.select("repo", "filepath", (F.col("n_repo") - F.coalesce("n_file", F.lit(0))).cast("double").alias("n"), (F.col("len_repo") - F.coalesce("len_file", F.lit(0.0))).alias("total")).where("n > 0").withColumn("avg_len", F.col("total") / F.col("n"))
+
+    # How many terms have each document frequency, for each file left out.
+    histogram = by_repo.groupBy("repo", F.col("df_repo").alias("df")).agg(one.alias("terms"))
+    less = own.select("repo", "filepath").join(by_file, ["repo", "filepath"]).join(by_repo, ["repo", "term"])
+    change = less.select("repo", "filepath", F.explode(F.array(F.struct(F.col("df_repo").alias("df"), F.lit(-1).cast("long").alias("terms")), F.struct((F.col("df_repo") - F.col("df_file")).alias("df"), F.lit(1).cast("long").alias("terms")))).alias("c")).select("repo", "filepath", "c.*")
+    left = own.select("repo", "filepath").join(histogram, "repo").select("repo", "filepath", "df", "terms").unionByName(change).groupBy("repo", "filepath", "df").agg(F.sum("terms").alias("terms")).where("df > 0 AND terms > 0")
+    raw = lambda: F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    mean = left.join(own, ["repo", "filepath"]).groupBy("repo", "filepath").agg((F.sum(F.col("terms") * raw()) / F.sum("terms")).alias("mean"))
+
+    weights = query_terms.groupBy("task_id", "term").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    asked = weights.join(tasks.select("task_id", "repo", "filepath"), "task_id").join(own.drop("total"), ["repo", "filepath"]).join(mean, ["repo", "filepath"])
+    asked = asked.join(by_repo, ["repo", "term"]).join(by_file, ["repo", "filepath", "term"], "left").withColumn("df", (F.col("df_repo") - F.coalesce("df_file", F.lit(0))).cast("double")).where("df > 0")
+    asked = asked.withColumn("idf", F.when(raw() < 0, epsilon * F.col("mean")).otherwise(raw())).select("task_id", "repo", "term", "weight", "idf", "avg_len", F.col("filepath").alias("own"))
+    part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    hits = asked.join(tf, ["repo", "term"]).where("filepath <> own").groupBy("task_id", "filepath", "chunk_no").agg(F.round(F.sum(part), digits).alias("score"))
+
+    order = [F.desc("score"), F.col("filepath"), F.col("chunk_no")]
+    best = top_k(hits, k, order).select("task_id", "filepath", "chunk_no", "score")
+    # Chunks without a common term score 0, which beats a negative score too.
+    fewer = best.groupBy("task_id").agg(F.count_if(F.col("score") > 0).alias("found"))
+    short = tasks.join(fewer, "task_id", "left").where(F.coalesce("found", F.lit(0)) < k).select("task_id", "repo", "filepath")
+    near = pairs(short, chunks.select("repo", "filepath", "chunk_no")).select("task_id", F.col("chunk_filepath").alias("filepath"), F.col("chunk_chunk_no").alias("chunk_no"))
+    rest = near.join(hits.select("task_id", "filepath", "chunk_no"), ["task_id", "filepath", "chunk_no"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.unionByName(rest), k, order)
+
+
 def with_neighbours(chunks: DataFrame) -> DataFrame:
     """chunks with next_text and previous_text of the same file, the own text where there is none."""
     w = Window.partitionBy("repo", "filepath").orderBy("chunk_no")

@@ -64,8 +64,8 @@ def attach_context(tasks: DataFrame, files: DataFrame, task: str = "line", query
     pred = F.col("pred") if "pred" in tasks.columns else F.lit(None).cast("string")
     query = queries.build_query(query_type, F.col("prompt"), F.col("groundtruth"), F.col("right_context"), pred, length)
     near = retrieval.files_within(tasks, files, most=1000)
-    candidates = retrieval.first_candidates(near, chunks.withColumn("words", tx.word_set(F.col("text"))), most_chunks)
-    asked = tasks.select("task_id", tx.word_set(query).alias("query_words"))
+    candidates = retrieval.first_candidates(near, chunks.withColumn("words", retrieval.word_ids(F.col("text"))), most_chunks)
+    asked = tasks.select("task_id", retrieval.word_ids(query).alias("query_words"))
     scored = candidates.join(asked, "task_id").withColumn("score", F.coalesce(retrieval.SCORERS[scorer](F.col("query_words"), F.col("words")), F.lit(0.0)))
     best = retrieval.top_k(scored.drop("words", "query_words"), k, [F.desc("score"), F.desc("text"), F.desc("filepath"), F.col("chunk_no")])
     shown = {"same": "text", "next": "next_text", "previous": "previous_text"}[queries.neighbour_mode(query_type)]
@@ -85,8 +85,8 @@ def training_examples(files: DataFrame, oracle: bool = False, k: int = 3, mean:
     tasks = held.join(files, ["repo", "filepath"]).withColumn("window", chunking.config_for(F.col("n_lines"), span)).where("window IS NOT NULL")
     left, right = F.slice("lines", 1, F.col("start")), F.slice("lines", F.col("end") + 1, F.greatest(F.size("lines") - F.col("end"), F.lit(0)))
     query = queries.chunk_query(left, F.slice("lines", F.col("start") + 1, F.col("n_lines")), right, oracle)
-    tasks = tasks.withColumn("task_id", F.concat(F.col("filepath"), F.lit("/"), F.col("start"), F.lit("_"), F.col("end"))).withColumn("t", queries.chunk_task(F.col("lines"), F.col("start"), F.col("end"))).withColumn("query_words", tx.word_set(query))
-    chunks = chunking.multi_windows(files, chunking.window_configs(oracle)[1:]).select("repo", "window", "filepath", "chunk_no", "text", tx.word_set(F.col("text")).alias("words"))
+    tasks = tasks.withColumn("task_id", F.concat(F.col("filepath"), F.lit("/"), F.col("start"), F.lit("_"), F.col("end"))).withColumn("t", queries.chunk_task(F.col("lines"), F.col("start"), F.col("end"))).withColumn("query_words", retrieval.word_ids(query))
+    chunks = chunking.multi_windows(files, chunking.window_configs(oracle)[1:]).select("repo", "window", "filepath", "chunk_no", "text", retrieval.word_ids(F.col("text")).alias("words"))
     other = chunks.select(*(F.col(c).alias(f"c_{c}") for c in chunks.columns))
     scored = tasks.select("task_id", "repo", "filepath", "window", "query_words").join(other, (F.col("repo") == F.col("c_repo")) & (F.col("window") == F.col("c_window")) & (F.col("filepath") != F.col("c_filepath")))
     scored = scored.withColumn("score", F.coalesce(scores.jaccard(F.col("query_words"), F.col("c_words")), F.lit(0.0))).select("task_id", "score", F.col("c_filepath").alias("filepath"), F.col("c_chunk_no").alias("chunk_no"), F.col("c_text").alias("text"))
@@ -105,3 +105,9 @@ def evaluate(preds: DataFrame, truths: DataFrame, language: str | None = None) -
 
 def label(tasks: DataFrame, baseline: DataFrame, augmented: DataFrame) -> DataFrame:
     return labels.gain_labels(labels.score_join(tasks, baseline, augmented))
+
+
+def run_name(model: str, dataset: str, learning_rate: float, batch_size: int, seq_length: int, **more: object) -> str:
+    """The name of an experiment's folder: its settings, joined by underscores."""
+    parts = [model.rstrip("/").rpartition("/")[2], dataset, f"lr{learning_rate:g}", f"bs{batch_size}", f"len{seq_length}", *(f"{k}{v}" for k, v in more.items())]
+    return "_".join(parts)

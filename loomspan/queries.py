@@ -278,10 +278,8 @@ def _bm25_rank(spark, sf_dir, version: int) -> DataFrame:
     lined = asked.select("task_id", F.explode(F.arrays_zip(F.concat("l", "r").alias("line"), weights.alias("weight"))).alias("x")).where("x.line IS NOT NULL AND x.weight IS NOT NULL")
     terms = lined.select("task_id", F.explode(tx.word_tokens(F.col("x.line"))).alias("term"), F.col("x.weight").alias("weight"))
     chunks = _chunks(spark, sf_dir).withColumn("tokens", tx.word_tokens(F.col("text"))).drop("text")
-    near = retrieval.pairs(asked.select("task_id", "repo", "filepath"), chunks)
-    near = near.select("task_id", F.struct("chunk_filepath", "chunk_chunk_no").alias("chunk_id"), F.col("chunk_tokens").alias("tokens"))
-    scored = retrieval.bm25(near, terms).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, 3, [F.desc("score"), F.col("chunk_id")]).select("task_id", "chunk_id.*", "score", "rank")
+    found = retrieval.rank_bm25(terms, asked.select("task_id", "repo", "filepath"), chunks, 3)
+    return found.select("task_id", F.col("filepath").alias("chunk_filepath"), F.col("chunk_no").alias("chunk_chunk_no"), "score", "rank")
 
 
 def _bm25_sql(version: int) -> str:
@@ -786,7 +784,7 @@ def uncertainty(spark, sf_dir):
     return found.select("label", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
 
 
-@register("mean_log_prob", "SELECT vec_id, round(list_sum(embedding::DOUBLE[][1:label + 1]) / (label + 1), 6) AS mean_logp FROM embeddings")
+@register("mean_log_prob", "SELECT vec_id, round(list_sum((embedding::DOUBLE[])[1:label + 1]) / (label + 1), 6) AS mean_logp FROM embeddings")
 def mean_log_prob(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scores.mean_log_prob(F.col("embedding"), F.col("label") + 1), 6).alias("mean_logp"))
 

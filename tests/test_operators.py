@@ -202,3 +202,26 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.em, r.n) for r in spark.table("means").collect()] == [(0.5, 2)]
+
+
+def test_generation_hook(spark):
+    from loomspan.operators import generation
+
+    prompts = spark.createDataFrame([(str(k), f"p{k}") for k in range(5)], "task_id string, prompt string")
+    got = generation.generate(prompts, lambda: lambda batch: [t.upper() for t in batch], batch=2)
+    assert {r.task_id: r.pred for r in got.collect()} == {str(k): f"P{k}" for k in range(5)}
+    twice = got.unionByName(got)
+    assert generation.one_per_task(twice, [F.col("sample_latency")]).count() == 5
+    assert generation.warm_up(twice, 3).count() == 3
+    assert experiments.run_name("a/b/", "d", 2e-5, 128, 2048, seed=1) == "b_d_lr2e-05_bs128_len2048_seed1"
+
+
+def test_bm25_of_a_repository_is_bm25_of_its_candidates(spark, files):
+    chunks = chunking.windows(files.select("repo", "filepath", "lines"), 3, 2).withColumn("tokens", tx.word_tokens(F.col("text"))).drop("text", "start_i", "end_i")
+    tasks = files.select(F.col("filepath").alias("task_id"), "repo", "filepath")
+    terms = files.select(F.col("filepath").alias("task_id"), F.explode(tx.word_tokens(F.col("content"))).alias("term"), F.lit(0.5).alias("weight"))
+    near = retrieval.pairs(tasks, chunks).select("task_id", F.struct("chunk_filepath", "chunk_chunk_no").alias("chunk_id"), F.col("chunk_tokens").alias("tokens"))
+    plain = retrieval.top_k(retrieval.bm25(near, terms).withColumn("score", F.round("score", 6)), 4, [F.desc("score"), F.col("chunk_id")])
+    want = {(r.task_id, r["rank"]): (*r.chunk_id, r.score) for r in plain.collect()}
+    got = {(r.task_id, r["rank"]): (r.filepath, r.chunk_no, r.score) for r in retrieval.rank_bm25(terms, tasks, chunks, 4).collect()}
+    assert want and got == want
