@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm._shared import Scratch
@@ -45,6 +45,8 @@ _NOT_ARTICLE = frozenset(
     "sidebar sidebars aside widget widgets rail menu menus nav navbar navigation breadcrumb breadcrumbs toc pager pagination footer foot colophon copyright header masthead topbar toolbar "
     "comment comments commentlist disqus respond replies reply share sharing social follow subscribe subscription newsletter signup login related recommended recommendations teaser teasers outbrain taboola hidden skip".split()
 )
+#: A name with one of these, as "has-sidebar", is of a layout around all, not of the part named.
+_LAYOUT = frozenset("has with no without".split())
 _CLOSES_P = _BLOCK - {"li", "dd", "dt", "tr", "td", "th", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend", "summary", "body", "html", "head"}
 #: An opening tag ends an open one of these, looking no further up than to the third set.
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
@@ -54,8 +56,11 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 def _marks(attributes: dict[str, str]) -> bool:
     if attributes.get("role", "").lower() in _ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(n.lower() in _NOT_ARTICLE for n in _NAME.findall(names))
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        names = {n.lower() for n in _NAME.findall(token)}
+        if names & _NOT_ARTICLE and not names & _LAYOUT:
+            return True
+    return False
 
 
 class Page:
@@ -222,7 +227,7 @@ def extract(source: str | None, paths: list[str]) -> str:
     return page.text_of({k}) if score > 0 else page.text_of({0})
 
 
-def host(url: str) -> F.Column:
+def host(url: str) -> Column:
     """The url's host in lower case without www., a port or a user; "" if there is none."""
     found = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return F.regexp_replace(found, r"^www\.", "")

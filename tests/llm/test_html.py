@@ -35,6 +35,11 @@ def test_odd_markup():
     assert html.extract("<p>" * 5000 + "deep", []) == "deep"
 
 
+def test_names_of_layouts_and_of_parts():
+    assert html.extract('<div class="layout with-sidebar"><div class="text"><p>The article.</p></div><div class="sidebar">Side</div></div>', []) == "The article."
+    assert html.extract('<body><main><p>One.</p><section class="readerComments"><p>Me too!</p></section><div id="newsletter2">Join</div></main>', []) == "One."
+
+
 def test_host_consensus_beats_one_page(spark):
     """One page of the host has a longer side box; the host's votes still take its article."""
     body = "<html><body><div class='a'><p>{}</p></div><div class='b'><p>{}</p></div></body></html>"
