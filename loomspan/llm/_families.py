@@ -43,6 +43,13 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _links(rows: DataFrame, token_set: Callable[[str], np.ndarray], num: int, den: int) -> DataFrame:
     """Links (a, b) inside each `task` of rows (task, id, part, text); rows of a part count as linked already.
 
@@ -51,27 +58,31 @@ def _links(rows: DataFrame, token_set: Callable[[str], np.ndarray], num: int, de
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "task"):
-            table = table.sort_by("id")
+            if table.num_rows < 2:
+                continue
             ids = table["id"].to_numpy()
             _, first, part = np.unique(table["part"].to_numpy(), return_index=True, return_inverse=True)
             forest = Forest(len(ids))
             forest.up = first[part]
             sets = [token_set(t) for t in table["text"].to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
-            bits = sigtree.bits_for(int(np.median(sizes)))
-            maps = np.stack([sigtree.bitmap(s, bits) for s in sets])
 
             def same(i: int, j: int) -> bool:
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                shared = common(sets[i], sets[j])
                 return (num + den) * shared >= num * (sizes[i] + sizes[j])
 
-            if sigtree.links(sizes, maps, num, den, same, forest):
+            if len(ids) == 2:
+                found = same(0, 1) and forest.join(0, 1)
+            else:
+                bits = sigtree.bits_for(int(np.median(sizes)))
+                found = sigtree.links(sizes, np.stack([sigtree.bitmap(s, bits) for s in sets]), num, den, same, forest)
+            if found:
                 roots = forest.roots()
                 heads = np.unique(first)
                 moved = heads[roots[heads] != heads]
                 yield _edges([(int(ids[i]), int(ids[roots[i]])) for i in moved.tolist()])
 
-    return rows.select("task", "id", "part", "text").repartition("task").sortWithinPartitions("task").mapInArrow(link, "a long, b long")
+    return rows.select("task", "id", "part", "text").repartition("task").sortWithinPartitions("task", "id").mapInArrow(link, "a long, b long")
 
 
 def family_links(scratch: Scratch, members: DataFrame, token_set: Callable[[str], np.ndarray], num: int, den: int, block: int = BLOCK) -> DataFrame:
