@@ -25,6 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Lowers the session's bytes in an Arrow batch, so that a Python worker holds few long texts at a time."""
+    now = spark.conf.get(ARROW_BATCH).lower().rstrip("b")
+    scale = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    size = int(now.rstrip("kmg") or 0) << scale
+    if not 0 < size <= limit:
+        spark.conf.set(ARROW_BATCH, str(limit))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt anew if they come in fewer splits than tasks run at once, as one small file does; else as they are."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(least) if rows.rdd.getNumPartitions() < least else rows
+
+
 class Scratch:
     """Tables written to the shared folder; each one cuts lineage and survives lost executors.
 
@@ -33,6 +51,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.base, self.paths, self.written = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}, 0
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:

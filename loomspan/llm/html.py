@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._shared import Scratch
+from loomspan.llm._shared import Scratch, spread
 
 #: Paths with at least this share of a host's votes win; so a host has at most 20.
 WINNING_SHARE = 0.05
@@ -279,4 +279,4 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:
-    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_pages(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._shared import mix64
+from loomspan.llm._shared import mix64, small_batches
 from loomspan.llm.ngram_join import word_hashes
 
 WORD_BITS = 16
@@ -81,6 +81,7 @@ def count_models(marked: DataFrame) -> np.ndarray:
         for at, counts in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([counts.tobytes()])], names=["at", "counts"])
 
+    small_batches(marked.sparkSession)
     slices = _KINDS * sum(_CELLS) // SLICE
     summed = marked.select("text", "target").mapInArrow(count, "at long, counts binary").repartition(min(slices, int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "at").mapInArrow(add, "at long, counts binary")
     out = np.zeros(_KINDS * sum(_CELLS), np.int64)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomspan.llm import jpeg
+from loomspan.llm._shared import small_batches, spread
 
 #: Texts and images handled together in a worker.
 BATCH_BYTES = 4 << 20
@@ -43,6 +44,7 @@ def store_payload(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 media = [jpeg.store(t + b"\xff" * (jpeg.UNIT - len(t) % jpeg.UNIT if len(t) % jpeg.UNIT or not t else 0)) for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(map(len, texts[a:b])), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(store, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
@@ -73,9 +75,10 @@ def media_features(images: DataFrame, keep: list[str], media_col: str = "media")
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *columns], names=[*keep, *names])
 
     schema = ", ".join(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in keep) + ", width int, height int, feature string, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long"
+    small_batches(images.sparkSession)
     return images.select(*keep, media_col).mapInArrow(read, schema)
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
-    stored = store_payload(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    stored = store_payload(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return media_features(stored, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

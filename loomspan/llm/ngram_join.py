@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import sigtree
 from loomspan.llm._families import _edges, family_links, groups
-from loomspan.llm._shared import Scratch, components, mix64
+from loomspan.llm._shared import Scratch, components, mix64, spread
 
 WORDS = 4
 NUM, DEN = 85, 100
@@ -127,7 +127,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 OP8_SQL = r"""

@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._shared import Scratch
+from loomspan.llm._shared import Scratch, small_batches, spread
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces that one group packs on average. Groups are dealt by a hash, so their sizes differ by a few hundredths.
 GROUP_PIECES = 16_384
 #: Words, and letter runs, whose ids a worker remembers; either memory starts anew when it is full.
-REMEMBERED_WORDS = 800_000
-REMEMBERED_RUNS = 1_000_000
+REMEMBERED_WORDS = 500_000
+REMEMBERED_RUNS = 700_000
 _ENDS = ".,;:!?|"
 #: Stands between words that are encoded together; its ids come from no other text.
 _MARK = "\u00a7"
@@ -144,6 +144,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     columns.append(pa.array(out[5], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
@@ -204,4 +205,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 def op7_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(token_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")))
+    return pack(token_pieces(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json")))

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import langid, line_dedup, mixing, ngram_join, packing
+from loomspan.llm._shared import spread
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the dictionaries settle."""
     dictionaries = langid.train_dictionaries(docs.where(~langid.held_out("doc_id")))
-    return langid.identify(docs, dictionaries).where("NOT rejected").select(docs.columns)
+    return langid.identify(spread(docs), dictionaries).where("NOT rejected").select(docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

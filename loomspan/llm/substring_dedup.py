@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._shared import Scratch, mix64
+from loomspan.llm._shared import Scratch, mix64, spread
 from loomspan.llm.ngram_join import word_hashes
 
 WINDOW = 50
@@ -179,7 +179,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, window: int, result: str
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return _apply(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", WINDOW, "kept_sha256")
+    return _apply(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "doc_id", "text", WINDOW, "kept_sha256")
 
 
 OP4_SQL = r"""
