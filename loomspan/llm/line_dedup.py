@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm._families import _edges, family_links
-from loomspan.llm._shared import Scratch, components, mix64
+from loomspan.llm._shared import Scratch, components, mix64, spread
 
 CHARS = 8
 NUM, DEN = 80, 100
@@ -207,14 +207,14 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, num: int = NUM, den: int =
     candidates = _candidates(_bands(docs.where("doc IS NOT NULL")))
     families = scratch.keep(components(scratch, candidates).select(F.col("id").alias("i"), F.col("component_id").alias("family")), "families")
     lines = scratch.keep(_occurrences(docs), "lines")
-    first = lines.join(families, F.col("id") == F.col("i"), "left_semi").groupBy("id").agg(F.min(F.struct("doc", "line")).alias("m"))
-    first = scratch.keep(first.select("id", F.col("m.doc").alias("d"), F.col("m.line").alias("line")), "first")
-    wanted = first.join(families, F.col("id") == F.col("i")).groupBy("d").agg(F.collect_list(F.struct("line", "id", "family")).alias("at"))
+    # One place of each line to read its text at, by partial sums before any join: a line may stand in a third of all documents.
+    place = lines.groupBy("id").agg(F.min("doc").alias("d"), F.min_by("line", "doc").alias("line"))
+    wanted = place.join(families, F.col("id") == F.col("i")).groupBy("d").agg(F.collect_list(F.struct("line", "id", "family")).alias("at"))
     wanted = scratch.keep(wanted, "wanted")
     members = scratch.keep(_members(docs.join(wanted.hint("merge"), F.col("doc") == F.col("d"))).dropDuplicates(["id"]), "members")
     links = family_links(scratch, members, char_shingles, num, den)
     linked = scratch.keep(components(scratch, links).select(F.col("id").alias("i"), "component_id"), "linked")
-    scratch.drop("members", "wanted", "first", "families")
+    scratch.drop("members", "wanted", "families")
     named = scratch.keep(lines.join(linked, F.col("id") == F.col("i"), "left").select("doc", "line", F.coalesce("component_id", "id").alias("part")), "named")
     kept = named.groupBy("part").agg(F.min(F.struct("doc", "line")).alias("m"), F.max(F.struct("doc", "line")).alias("last"))
     kept = scratch.keep(kept.where("m <> last").select(F.col("part").alias("p"), "m"), "kept")
@@ -235,5 +235,5 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256): lines of the text, how many go, and the digest of what stays."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return without_lines(docs).select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
