@@ -11,6 +11,7 @@ are packed as separate documents; an empty table gives no pieces; other columns
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -59,6 +60,7 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.mark = self._encode(_MARK).tobytes()
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -67,7 +69,8 @@ class WordTokenizer:
         found = self.runs.get(letters)
         if found is None:
             shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SHOWN)
-            found = self.runs[letters] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+            ids = [t.id for t in self.tokenize(shown)]
+            found = self.runs[letters] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def _learn(self, words: set[bytes]) -> None:
