@@ -5,8 +5,11 @@ tables, keyed by a selection of its bits; codes that share a key and differ in f
 together is a family. The family's original vectors meet once and are compared in double precision, block by block.
 
 Fit (the documented bound): centring, principal axes and rotation from the `SAMPLE` vectors of least hash. Every vector is
-indexed. A key has about log2 of the vectors per label in bits, so that tables keep short lists at any size, and there are
-as many tables as bring a pair at the threshold, whose codes differ in 12 % of the bits, together with a chance of 99.9 %.
+indexed. How many bits the codes of a pair at the threshold differ in is measured, after centring, on partners made for the
+sample's vectors, in random directions and in directions of the data. All tables select from one code, so a pair's tables
+miss it together: there are as many as bring the measured pairs, each with its own number of bits, together with a chance
+of 99.95 % on the mean, and candidates may differ in as many bits as 99.95 % of them. The key's width is the one for which
+tables and the lists of a label cost least; at no bits, a label is one list.
 
 Equal vectors of a label form one class and are not compared with each other. Links are counted, not listed; a spanning
 part of them goes on to the components.
@@ -33,7 +36,7 @@ from loomspan.llm._shared import Forest, Scratch, components, mix64
 THRESHOLD = 0.93
 SAMPLE = 8_192
 ITERATIONS = 40
-#: Candidates differ in at most this share of the code's bits; at the threshold it is 12 %, at random 50 %.
+#: Candidates may differ in this share of the code's bits, or in more if the sample's pairs do; at random it is 50 %.
 MOST_BITS = 0.28
 MISS = 0.001
 BLOCK = 1_024
@@ -53,13 +56,56 @@ def fit_rotation(sample: np.ndarray, bits: int, iterations: int = ITERATIONS, se
     return mean, axes @ rotation
 
 
-def table_bits(bits: int, vectors_per_label: float, angle_share: float, miss: float = MISS, seed: int = 11) -> np.ndarray:
-    """Selections of code bits, one row for each table."""
-    width = int(min(bits, max(8, math.ceil(math.log2(max(2.0, vectors_per_label))))))
-    met = (1 - angle_share) ** width
-    tables = max(1, math.ceil(math.log(miss) / math.log(1 - met))) if met < 1 else 1
+def bit_differences(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float, seed: int = 7) -> list[np.ndarray]:
+    """Numbers of bits in which codes of unit vectors and of partners at the threshold differ: partners in random directions, and in directions of other vectors."""
     random = np.random.default_rng(seed)
-    return np.stack([np.sort(random.permutation(bits)[:width]) for _ in range(tables)])
+    code = (sample - mean) @ projection >= 0
+    out = []
+    for _ in range(max(1, math.ceil(2_048 / len(sample)))):
+        for kind, to in enumerate((random.standard_normal(sample.shape), sample[random.permutation(len(sample))] - sample)):
+            to = to - (to * sample).sum(1, keepdims=True) * sample
+            size = np.sqrt((to * to).sum(1, keepdims=True))
+            some = size[:, 0] > 1e-6
+            partner = threshold * sample[some] + math.sqrt(max(0.0, 1 - threshold * threshold)) * to[some] / size[some]
+            out.append((kind, (code[some] != ((partner - mean) @ projection >= 0)).sum(1)))
+    found = [np.concatenate([d for k, d in out if k == kind]) for kind in (0, 1)]
+    return [d for d in found if len(d)]
+
+
+#: A row of a table costs as much as comparing it with so many others.
+ROW_COST = 256
+
+
+def table_bits(bits: int, vectors_per_label: float, angle_share: float | np.ndarray, miss: float = MISS, seed: int = 11) -> np.ndarray:
+    """Selections of code bits, one row for each table, for pairs that differ in `angle_share` of the bits, one value or one for each pair."""
+    differ, times = np.unique(np.atleast_1d(angle_share) * float(bits), return_counts=True)
+    met, best = np.ones(len(differ)), (math.inf, 0, 1)
+    for width in range(min(bits, 32) + 1):
+        if width:
+            met = met * np.maximum(0.0, bits - differ - (width - 1)) / (bits - (width - 1))
+        missed = lambda n: ((1 - met) ** n) @ times / times.sum()  # noqa: B023, E731
+        low, high = 0, 1
+        while missed(high) > miss and high < 1 << 20:
+            low, high = high, high * 2
+        if missed(high) > miss:
+            break
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if missed(middle) > miss else (low, middle)
+        best = min(best, (high * (ROW_COST + vectors_per_label / 2.0**width), width, high))
+    random = np.random.default_rng(seed)
+    return np.stack([np.sort(random.permutation(bits)[: best[1]]) for _ in range(best[2])])
+
+
+def index_for(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, vectors_per_label: float, threshold: float) -> tuple[np.ndarray, int]:
+    """The tables, and in how many bits candidates may differ, by the worse of the measured kinds of pairs."""
+    bits = projection.shape[1]
+    kinds = bit_differences(sample, mean, projection, threshold)
+    if not kinds:
+        return table_bits(bits, vectors_per_label, math.acos(threshold) / math.pi), int(MOST_BITS * bits)
+    worst = max(kinds, key=lambda d: len(table_bits(bits, vectors_per_label, d / bits, MISS / 2)) * 1000.0 + d.mean())
+    most = max(int(np.quantile(d, 1 - MISS / 2, method="higher")) for d in kinds)
+    return table_bits(bits, vectors_per_label, worst / bits, MISS / 2), max(int(MOST_BITS * bits), most)
 
 
 def _vector(values) -> np.ndarray | None:
@@ -114,10 +160,11 @@ def _links(scratch: Scratch, reps: DataFrame, threshold: float) -> tuple[DataFra
         return none, none.select(F.col("a").alias("c"), F.col("b").alias("others"))
     dim = max({len(x) for x in sample}, key=[len(x) for x in sample].count)
     bits = min(64, dim)
-    mean, projection = fit_rotation(_unit(np.array([x for x in sample if len(x) == dim])), bits)
-    shape = reps.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).first()
-    tables = table_bits(bits, shape.n / max(1, shape.labels), math.acos(threshold) / math.pi)
-    most = int(MOST_BITS * bits)
+    units = _unit(np.array([x for x in sample if len(x) == dim]))
+    mean, projection = fit_rotation(units, bits)
+    # The size of the label that a vector has on the mean: large labels make the long lists.
+    size = reps.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+    tables, most = index_for(units, mean, projection, size, threshold)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
