@@ -8,7 +8,9 @@ links. Spark joins the links to components; of each component's lines the first
 Equal lines have one id (a 63-bit hash of the trimmed line), so a line that stands in a third of all documents travels
 once for each task that read it. A pair at the threshold 0.8 misses all bands with a chance of 0.5 %, at 0.9 of 2e-5.
 
-Defined results: lines shorter than `MIN_CHARS` after trimming are no lines to compare and stay; a null text stays null;
+A line under 8 characters is one shingle, which no other line has: equal ones repeat, and it needs no bands.
+
+Defined results: blank lines are no lines to compare and stay; a null text stays null;
 rows of one id count as copies of one row: what goes from one goes from the other; ties can't be, as id and line number
 order all lines; an empty table gives none; with a null id nothing goes. Other columns are kept by `without_lines`.
 """
@@ -28,7 +30,6 @@ from loomspan.llm._shared import Scratch, components, mix64, spread
 
 CHARS = 8
 NUM, DEN = 80, 100
-MIN_CHARS = 20
 BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
 #: Of the sketch's bits so many may differ. Expected at the threshold: 4 (standard deviation 1.9); at random: 20 (3.2).
@@ -63,12 +64,12 @@ def line_id(line: str) -> int:
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
-    """Number and trimmed text of each line that is long enough."""
-    return [(k, line) for k, line in enumerate(map(str.strip, (text or "").split("\n"))) if len(line) >= MIN_CHARS]
+    """Number and trimmed text of each line that isn't blank."""
+    return [(k, line) for k, line in enumerate(map(str.strip, (text or "").split("\n"))) if line]
 
 
 def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (line, band) and a sketch of 40 bits for each line."""
+    """Band keys (line, band) and a sketch of 40 bits for each line, of 8 characters or more."""
     n = len(lines)
     least = np.full(n * BINS, _EMPTY, np.uint32)
     lengths = np.array([len(x) for x in lines])
@@ -110,7 +111,7 @@ def _bands(docs: DataFrame) -> DataFrame:
                 new: dict[int, str] = {}
                 for text in batch.column(0).slice(at, 512).to_pylist():
                     for _, line in lines_of(text):
-                        if (k := line_id(line)) not in seen:
+                        if len(line) >= CHARS and (k := line_id(line)) not in seen:
                             seen.add(k)
                             new[k] = line
                 if new:

@@ -62,3 +62,18 @@ def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     want = brute.lines_removed(docs)
     assert {r.doc_id: r.n_removed for r in got.itertuples()} == {i: len(w) for i, w in want.items()}
+
+
+def test_short_lines(spark, make_docs):
+    """Lines of any length but none go: exact repeats, and similar ones of 8 characters or more."""
+    some = ["ab\n\nthe end\nlast one", "x\n  \nab \n\nthe end.", "昨日は雨が降りました。\nab\naaaaaaaa", "昨日は雨が降りました。\nnew\naaaaaaaaa\n1234567", "1234568\n123456789012345678\n0", "1234567890123456789\n0", None, ""]
+    got = removed(make_docs(some))
+    assert got == {1: {2}, 2: {1}, 3: {0, 2}, 5: {0, 1}}
+    assert {i: got.get(i, set()) for i in range(len(some))} == brute.lines_removed(dict(enumerate(some)), least=1)
+
+
+def test_short_lines_of_the_table(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = brute.lines_removed(docs, least=1)
+    assert sum(map(len, want.values())) > sum(map(len, brute.lines_removed(docs).values()))
+    assert {r.doc_id: r.n_removed for r in line_dedup.op9_line_dedup(spark, sf_dir).collect()} == {i: len(w) for i, w in want.items()}
