@@ -26,9 +26,13 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
+#: The stage's shingles and threshold; four words and 0.85 are those of the query of op8.
+WORDS, NUM, DEN = 5, 80, 100
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id."""
-    first = ngram_join.jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    first = ngram_join.jaccard_components(docs, words=WORDS, num=NUM, den=DEN).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
 
 

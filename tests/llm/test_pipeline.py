@@ -105,3 +105,11 @@ def test_null_texts_and_repeated_rows(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, sf_dir)
     assert rows.count() > 0
+
+
+def test_groups_by_five_words_and_0_8(spark, make_docs):
+    """A copy with a block of new text at Jaccard 0.82 of 5-word shingles goes."""
+    words = [f"w{k}" for k in range(400)]
+    some = [" ".join(words), " ".join(words + [f"n{k}" for k in range(87)]), " ".join(words + [f"m{k}" for k in range(140)])]
+    assert {i: c for i, (_, c) in brute.ngram_components(dict(enumerate(some)), n=5, num=80).items()} == {0: 0, 1: 0, 2: 2}
+    assert sorted(r.doc_id for r in stages.one_of_each_group(spark, make_docs(some), "").collect()) == [0, 2]
