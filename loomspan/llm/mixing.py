@@ -115,15 +115,17 @@ def split_quotas(scratch: Scratch, quotas: DataFrame, shards: int, seed: int) ->
     return nodes.select("shard", F.posexplode("quotas").alias("at", "quota")).select("shard", (F.col("at") + 1).alias("nth"), "quota")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block_docs: int = BLOCK_DOCS, shards: int = SHARDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block_docs: int = BLOCK_DOCS, shards: int = SHARDS, seed: int = 17, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(draws, documents).
 
     documents: doc_id, copy_no (tells equal rows apart), source, size, source_size, target, taken.
-    draws: doc_id, copy_no, round, words (the first so many of the document), shard, position (order inside the shard).
+    draws: doc_id, copy_no, round, words (the first so many of the document), shard, position (order inside the shard),
+    and, with a `row_col` that tells all rows apart, row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
+    row = ["row"] if row_col else []
     # 60 bits of MD5 as the random order: the same in any SQL engine. Equal rows are counted, not told apart, here.
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
     sized = scratch.keep(rows.withColumn("random", order), "sized")
@@ -150,13 +152,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = drawn.join(F.broadcast(shares) if _few(targets) else shares, (F.col("place") == F.col("p")) & (F.col("rank") > F.col("after")) & (F.col("rank") <= F.col("to"))).select("place", "block", "round", "shard")
     plan = blocks.join(dealt.groupBy("place", "block").agg(F.array_sort(F.collect_list(F.struct("round", "shard"))).alias("draws")), ["place", "block"]).select("place", "block", "extra", "draws")
 
-    inside = Window.partitionBy("place", "block").orderBy("random", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = placed.withColumn("end", F.sum("size").over(inside)).withColumn("copy_no", F.row_number().over(Window.partitionBy("place", "block").orderBy("random", "doc_id", "size")))
+    inside = Window.partitionBy("place", "block").orderBy("random", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = placed.withColumn("end", F.sum("size").over(inside)).withColumn("copy_no", F.row_number().over(Window.partitionBy("place", "block").orderBy("random", "doc_id", "size", *row)))
     whole = ordered.join(plan.withColumnRenamed("place", "place2").withColumnRenamed("block", "block2"), (F.col("place") == F.col("place2")) & (F.col("block") == F.col("block2")), "left").drop("place2", "block2")
     part = F.least(F.greatest(F.coalesce("extra", F.lit(0)) - (F.col("end") - F.col("size")), F.lit(0)), F.col("size"))
     whole = whole.withColumn("part", part)
     documents = whole.select("doc_id", "copy_no", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"))
-    draws = whole.select("doc_id", "copy_no", "size", "passes", "part", F.explode("draws").alias("d")).select("doc_id", "copy_no", F.col("d.round").alias("round"), F.when(F.col("d.round") < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"), F.col("d.shard").alias("shard")).where("words > 0")
+    draws = whole.select("doc_id", "copy_no", *row, "size", "passes", "part", F.explode("draws").alias("d")).select("doc_id", "copy_no", *row, F.col("d.round").alias("round"), F.when(F.col("d.round") < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"), F.col("d.shard").alias("shard")).where("words > 0")
     draws = draws.withColumn("position", F.xxhash64(F.lit(seed + 1), "shard", "doc_id", "copy_no", "round"))
     return draws, documents
 

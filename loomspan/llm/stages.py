@@ -1,7 +1,9 @@
 """The stages of the corpus pipeline: each applies one operator, and all but the last keep the columns of documents.
 
 Defined results: rows that share a doc_id are copies of one document until mixing, which takes each by itself; after it a
-document stands once for each round that took it, cut to the words that the round took. Null texts are rejected by the
+document stands once for each round that took it, cut to the words that the round took. A row with a null doc_id is a
+document of its own: line dedup takes no line from it, the n-gram join keeps it if no similar document has an id or an
+earlier row, mixing takes it as any other. Null texts are rejected by the
 first stage. An empty table stays empty through all stages.
 """
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import langid, line_dedup, mixing, ngram_join, packing
-from loomspan.llm._shared import spread
+from loomspan.llm._shared import Scratch, spread
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +32,27 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 WORDS, NUM, DEN = 5, 80, 100
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a key of each row in __row, written, so that every reading has the same."""
+    return Scratch(docs.sparkSession, name).keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id."""
-    first = ngram_join.jaccard_components(docs, words=WORDS, num=NUM, den=DEN).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
+    """Of each component of similar rows the one with the smallest id, and the component's copies of that id."""
+    rows = _numbered(docs, "groups")
+    parts = ngram_join.jaccard_components(rows, id_col="__row", words=WORDS, num=NUM, den=DEN).select(F.col("doc_id").alias("row"), F.col("component_id").alias("part"))
+    named = rows.select("__row", F.col("doc_id").alias("id")).join(parts, F.col("__row") == F.col("row")).select("row", "part", "id")
+    first = named.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select(F.col("part").alias("p"), "m")
+    kept = named.join(first, F.col("part") == F.col("p")).where("id = m.id OR row = m.row").select("row")
+    return rows.join(kept, F.col("__row") == F.col("row"), "left_semi").drop("__row")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for each round of the mix that takes it, cut to the words that the round takes."""
-    draws, _ = mixing.mix(docs)
-    taken = draws.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("words").alias("__rounds"))
-    rows = docs.join(taken, F.col("doc_id") == F.col("__doc")).withColumn("__words", F.explode("__rounds"))
+    """Each row once for each round of the mix that takes it, cut to the words that the round takes."""
+    numbered = _numbered(docs, "mixed")
+    draws, _ = mixing.mix(numbered, row_col="__row")
+    taken = draws.groupBy(F.col("row").alias("__taken")).agg(F.collect_list("words").alias("__rounds"))
+    rows = numbered.join(taken, F.col("__row") == F.col("__taken")).withColumn("__words", F.explode("__rounds"))
     whole = F.regexp_count("text", F.lit(mixing.WORD)) <= F.col("__words")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORD})")), 1, F.col("__words").cast("int")), " ")
     text = F.when(whole, F.col("text")).otherwise(cut)

@@ -113,3 +113,16 @@ def test_groups_by_five_words_and_0_8(spark, make_docs):
     some = [" ".join(words), " ".join(words + [f"n{k}" for k in range(87)]), " ".join(words + [f"m{k}" for k in range(140)])]
     assert {i: c for i, (_, c) in brute.ngram_components(dict(enumerate(some)), n=5, num=80).items()} == {0: 0, 1: 0, 2: 2}
     assert sorted(r.doc_id for r in stages.one_of_each_group(spark, make_docs(some), "").collect()) == [0, 2]
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without an id, and rows of one id with other texts, are documents of their own in the join and the mix."""
+    text = lambda k, n: " ".join(f"t{k}w{j}" for j in range(n))
+    rows = [(None, text(1, 30)), (None, text(2, 40)), (3, text(3, 50)), (4, text(4, 20)), (4, text(5, 70)), (5, text(2, 40)), (3, text(3, 50)), (None, text(6, 25)), (None, text(6, 25))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [rows[0], *rows[2:8]]
+    key = lambda r: (r[0] or 0, r[1])
+    kept = stages.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    mixed = stages.mixed(spark, docs, "")
+    assert mixed.columns == docs.columns and sorted(((r.doc_id, r.text) for r in mixed.collect()), key=key) == sorted(rows, key=key)
