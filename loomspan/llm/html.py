@@ -178,10 +178,14 @@ class Page:
             k = self.parents[k]
         return ">".join(reversed(steps)) or "#"
 
+    def is_body(self, k: int) -> bool:
+        return self.steps[k].partition(".")[0] in ("#", "html", "body")
+
     def best(self) -> tuple[int, float]:
         """The container with the highest score: text outside links, whole in a block's container, half in the one above, and so on.
 
-        Then up to a container around it (not the whole body) that adds at most a third, hardly any of it links.
+        Then up to a container around it (not the whole body) as long as hardly any of what that adds is links, whatever its
+        length: parts left out by tag or name aren't in it.
         """
         scores, texts, linked = ([0.0] * len(self.steps) for _ in range(3))
         for k, text, links in self.blocks:
@@ -193,9 +197,9 @@ class Page:
                 k, worth = self.parents[k], worth / 2
         scores = [s * w for s, w in zip(scores, self.weights, strict=True)]
         k = max(range(len(scores)), key=lambda i: (scores[i], -i))
-        while (up := self.parents[k]) > 0 and self.steps[up].partition(".")[0] not in ("body", "html"):
+        while (up := self.parents[k]) > 0 and not self.is_body(up):
             more = texts[up] - texts[k]
-            if 3 * more > texts[k] or 5 * (linked[up] - linked[k]) > more:
+            if 5 * (linked[up] - linked[k]) > more:
                 break
             k = up
         return k, scores[k]
@@ -214,15 +218,17 @@ def vote(source: str | None) -> tuple[str, float] | None:
 
 
 def extract(source: str | None, paths: list[str]) -> str:
-    """The text below the first of `paths` that the page has with text, else below its own best container."""
+    """The text below the first of `paths` that the page has with text, and below those of the others that are siblings of it, in page order; else below its own best container."""
     page = Page(source or "")
     if paths:
         by_path: dict[str, set[int]] = {}
         for k in range(len(page.steps)):
             by_path.setdefault(page.path(k), set()).add(k)
         for path in paths:
-            if path in by_path and (text := page.text_of(by_path[path])):
-                return text
+            if path in by_path and page.text_of(by_path[path]):
+                around = {page.parents[k] for k in by_path[path]}
+                beside = [k for other in paths if other in by_path for k in by_path[other] if page.parents[k] in around and not page.is_body(page.parents[k])]
+                return page.text_of(by_path[path].union(beside))
     k, score = page.best()
     return page.text_of({k}) if score > 0 else page.text_of({0})
 

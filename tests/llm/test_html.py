@@ -67,3 +67,16 @@ def test_whole_table_against_the_markup(spark, sf_dir):
         inner = source[r.page_id].split("<article>")[1].split("</article>")[0]
         want = " ".join(h.unescape(re.sub(r"</?(p|h1|br)>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
         assert r.text == want
+
+
+def test_article_in_several_containers(spark):
+    """Without article or main: text in differently classed siblings is taken whole, by the page and by its host."""
+    lead, rest, third = "lead words " * 82, "rest of it " * 91, "a third part " * 100
+    source = f"<html><body><nav><a href='/'>Home</a></nav><div class='content'><div class='lead'><p>{lead}</p></div><div class='rest'><p>{rest}</p></div>{{}}</div><div class='links'>{'<a href=x>more to read</a> ' * 30}</div></body></html>"
+    two, three = source.format(""), source.format(f"<div class='third'><p>{third}</p></div>")
+    whole = " ".join(f"{lead}{rest}".split())
+    assert html.extract(two, []) == whole and html.extract(three, []) == " ".join(f"{lead}{rest}{third}".split())
+    rows = [(k, "http://h.org/", (two, three)[k % 2]) for k in range(10)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == whole and got[1].endswith("third part")
+    assert html.extract(two, ["html>body>div.content>div.rest", "html>body>div.content>div.lead"]) == whole
