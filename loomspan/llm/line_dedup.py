@@ -11,8 +11,9 @@ once for each task that read it. A pair at the threshold 0.8 misses all bands wi
 A line under 8 characters is one shingle, which no other line has: equal ones repeat, and it needs no bands.
 
 Defined results: blank lines are no lines to compare and stay; a null text stays null;
-rows of one id count as copies of one row: what goes from one goes from the other; ties can't be, as id and line number
-order all lines; an empty table gives none; with a null id nothing goes. Other columns are kept by `without_lines`.
+rows of one id and one text are copies of one row: what goes from one goes from the other; rows of one id with different
+texts are documents of their own, their lines ordered by line number, then by a hash of the text; so no ties are left; an
+empty table gives none; with a null id nothing goes. Other columns are kept by `without_lines`.
 """
 
 from __future__ import annotations
@@ -183,11 +184,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                rows = [(doc, k, line_id(line)) for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if doc is not None for k, line in lines_of(text)]
+                rows = [(doc, k, copy, line_id(line)) for doc, copy, text in zip(*(c.to_pylist() for c in part.columns), strict=True) if doc is not None for k, line in lines_of(text)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["doc", "line", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc", "line", "copy", "id"])
 
-    return docs.select("doc", "text").mapInArrow(list_lines, "doc long, line int, id long")
+    return docs.select("doc", "copy", "text").mapInArrow(list_lines, "doc long, line int, copy long, id long")
 
 
 def _members(wanted: DataFrame) -> DataFrame:
@@ -204,34 +205,43 @@ def _members(wanted: DataFrame) -> DataFrame:
 
 
 def repeated_lines(scratch: Scratch, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc, lines): the numbers of the lines that go from each of `docs(doc, text)`."""
+    """(doc, copy, lines): the numbers of the lines that go from each of `docs(doc, text)`; copy is the text's hash."""
+    docs = docs.select("doc", F.xxhash64("text").alias("copy"), "text")
     candidates = _candidates(_bands(docs.where("doc IS NOT NULL")))
     families = scratch.keep(components(scratch, candidates).select(F.col("id").alias("i"), F.col("component_id").alias("family")), "families")
     lines = scratch.keep(_occurrences(docs), "lines")
-    # One place of each line to read its text at, by partial sums before any join: a line may stand in a third of all documents.
-    place = lines.groupBy("id").agg(F.min("doc").alias("d"), F.min_by("line", "doc").alias("line"))
-    wanted = place.join(families, F.col("id") == F.col("i")).groupBy("d").agg(F.collect_list(F.struct("line", "id", "family")).alias("at"))
+    # First and last place of each line, by partial sums before any join: a line may stand in a third of all documents.
+    place = F.struct("doc", "line", "copy")
+    places = scratch.keep(lines.groupBy("id").agg(F.min(place).alias("m"), F.max(place).alias("last")), "places")
+    wanted = places.join(families, F.col("id") == F.col("i")).groupBy(F.col("m.doc").alias("d"), F.col("m.copy").alias("c")).agg(F.collect_list(F.struct("m.line", "id", "family")).alias("at"))
     wanted = scratch.keep(wanted, "wanted")
-    members = scratch.keep(_members(docs.join(wanted.hint("merge"), F.col("doc") == F.col("d"))).dropDuplicates(["id"]), "members")
+    members = scratch.keep(_members(docs.join(wanted.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("copy") == F.col("c")))).dropDuplicates(["id"]), "members")
     links = family_links(scratch, members, char_shingles, num, den)
-    linked = scratch.keep(components(scratch, links).select(F.col("id").alias("i"), "component_id"), "linked")
+    linked = scratch.keep(components(scratch, links).select(F.col("id").alias("i"), F.col("component_id").alias("part")), "linked")
     scratch.drop("members", "wanted", "families")
-    named = scratch.keep(lines.join(linked, F.col("id") == F.col("i"), "left").select("doc", "line", F.coalesce("component_id", "id").alias("part")), "named")
-    kept = named.groupBy("part").agg(F.min(F.struct("doc", "line")).alias("m"), F.max(F.struct("doc", "line")).alias("last"))
-    kept = scratch.keep(kept.where("m <> last").select(F.col("part").alias("p"), "m"), "kept")
-    return named.join(kept, F.col("part") == F.col("p")).where(F.struct("doc", "line") != F.col("m")).groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    # The place that stays: of a component's lines the first one, of a line without links its own; then one join with all lines.
+    joined = places.join(linked, F.col("id") == F.col("i"))
+    first = joined.groupBy(F.col("part").alias("p")).agg(F.min("m").alias("stays"))
+    stays = linked.join(first, F.col("part") == F.col("p")).select("i", "stays")
+    stays = stays.unionByName(places.where("m <> last").join(linked, F.col("id") == F.col("i"), "left_anti").select(F.col("id").alias("i"), F.col("m").alias("stays")))
+    stays = scratch.keep(stays, "stays")
+    return lines.join(stays.hint("merge"), F.col("id") == F.col("i")).where(place != F.col("stays")).groupBy("doc", "copy").agg(F.collect_set("line").alias("lines"))
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """`docs` with the text less its repeated lines, and __lines and __removed (numbers of lines before and gone)."""
     scratch = Scratch(docs.sparkSession, "lines")
+    names = docs.columns
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    gone = scratch.keep(repeated_lines(scratch, plain, num, den).select(F.col("doc").alias("__doc"), F.col("lines").alias("__gone")), "gone")
-    scratch.drop("named", "kept", "lines")
-    both = docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("__doc"), "left")
-    lines = F.split(docs[text_col], "\n")
-    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("__gone"), k)), "\n"))
-    return both.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"))
+    gone = scratch.keep(repeated_lines(scratch, plain, num, den).select(F.col("doc").alias("d"), F.col("copy").alias("c"), F.col("lines").alias("gone")), "gone")
+    scratch.drop("stays", "places", "lines")
+    # The caller's columns travel as one struct, so that none of their names meets ours.
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
+    text = F.col("row").getField(text_col)
+    both = rows.join(gone.hint("merge"), (F.col("row").getField(id_col).cast("long") == F.col("d")) & (F.xxhash64(text) == F.col("c")), "left")
+    lines = F.split(text, "\n")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("gone"), k)), "\n"))
+    return both.select(*(kept.alias(n) if n == text_col else F.col("row").getField(n).alias(n) for n in names), F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("__removed"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

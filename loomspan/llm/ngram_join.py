@@ -6,8 +6,9 @@ out; what that holds together is a family. The families' texts then meet once, a
 them. At a Jaccard similarity of 0.85, 24 keys of 3 values miss a pair with a chance of 1.2e-10; everything else is exact.
 
 Defined results: without words, null or empty: no shingles, linked with nothing, a component of its own; fewer words than
-a shingle has: the whole sequence is the one shingle; repeated rows of an id count as one document with each row returned;
-ties need no rule, components take the smallest id; an empty table gives none; other columns are ignored.
+a shingle has: the whole sequence is the one shingle; rows that share an id, or have none, are documents of their own, each
+returned with the component of its text; ties need no rule, components take the smallest id, null if none of their rows has
+one; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def word_hashes(text: str | None, lower: bool) -> np.ndarray:
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams."""
     w = word_hashes(text, True)
-    if len(w) <= words:
+    if len(w) < words:
         return mix64(np.array([xxhash.xxh3_64_intdigest(w.tobytes())], np.uint64)) if len(w) else w
     n = len(w) - words + 1
     h = w[:n]
@@ -62,24 +63,24 @@ def band_keys(tokens: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n_shingles, h1, h2, keys, bitmap); two independent hashes stand for the set."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(id, copy, n_shingles, h1, h2, keys, bitmap) of `docs(id, copy, text)`; two independent hashes stand for the set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows: list[list] = [[], [], [], [], []]
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     s = shingles(text, words)
                     raw = s.tobytes()
                     two = xxhash.xxh3_128_intdigest(raw)
                     keys = band_keys(s) if len(s) else None
                     for column, value in zip(rows, (len(s), (two >> 65), two & (2**63 - 1), keys, sigtree.bitmap(s, sigtree.bits_for(len(s))).tobytes() if len(s) else None), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.binary())], names=["id", "n_shingles", "h1", "h2", "keys", "bitmap"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.binary())], names=["id", "copy", "n_shingles", "h1", "h2", "keys", "bitmap"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(sign, "id long, n_shingles long, h1 long, h2 long, keys array<long>, bitmap binary")
+    return docs.select("id", "copy", "text").mapInArrow(sign, "id long, copy long, n_shingles long, h1 long, h2 long, keys array<long>, bitmap binary")
 
 
 def candidate_families(scratch: Scratch, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -107,20 +108,23 @@ def candidate_families(scratch: Scratch, classes: DataFrame, num: int, den: int)
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs`."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngrams")
-    signed = scratch.keep(signatures(docs, id_col, text_col, words), "signed")
-    by_set = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("id"))
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    # A text's hash tells rows of one id apart; a class of equal sets goes by the least row number, as ids can repeat.
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    signed = scratch.keep(signatures(texts, words).withColumn("row", F.monotonically_increasing_id()), "signed")
+    by_set = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("row").alias("rep"), F.min("id").alias("low"))
     by_set = scratch.keep(by_set, "classes")
-    classes = signed.select("id", "h1", "h2", "n_shingles", "keys", "bitmap").dropDuplicates(["id"]).join(by_set.select("id"), "id", "left_semi")
-    families = candidate_families(scratch, scratch.keep(classes.select("id", "n_shingles", "keys", "bitmap"), "representatives"), num, den)
+    first = signed.join(by_set.select("rep"), F.col("row") == F.col("rep"), "left_semi")
+    families = candidate_families(scratch, scratch.keep(first.select(F.col("row").alias("id"), "n_shingles", "keys", "bitmap"), "representatives"), num, den)
     families = scratch.keep(families, "families")
     scratch.drop("representatives", "shared_keys", "routed")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = scratch.keep(texts.join(families.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).dropDuplicates(["id"]).select("id", "family", "text"), "members")
-    links = family_links(scratch, members, lambda t: shingles(t, words), num, den)
-    linked = scratch.keep(components(scratch, links), "linked").withColumnRenamed("id", "i")
-    named = by_set.join(linked, F.col("id") == F.col("i"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n_shingles").alias("m"), F.coalesce("component_id", "id").alias("component_id"))
+    wanted = signed.select(F.col("id").alias("i"), F.col("copy").alias("c"), "row").join(families.withColumnRenamed("id", "r"), F.col("row") == F.col("r")).select("i", "c", "row", "family")
+    members = texts.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("copy") == F.col("c"))).dropDuplicates(["row"]).select(F.col("row").alias("id"), "family", "text")
+    links = family_links(scratch, scratch.keep(members, "members"), lambda t: shingles(t, words), num, den)
+    linked = scratch.keep(components(scratch, links).join(by_set.select("rep", "low"), F.col("id") == F.col("rep")).select("rep", "low", F.col("component_id").alias("part")), "linked")
+    least = linked.groupBy(F.col("part").alias("p")).agg(F.min("low").alias("least"))
+    moved = scratch.keep(linked.join(least, F.col("part") == F.col("p")).select(F.col("rep").alias("i"), "least"), "moved")
+    named = by_set.join(moved, F.col("rep") == F.col("i"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n_shingles").alias("m"), F.coalesce("least", "low").alias("component_id"))
     named = scratch.keep(named, "named")
     out = signed.select("id", "n_shingles", "h1", "h2").join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n_shingles") == F.col("m")), "left")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

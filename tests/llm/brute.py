@@ -62,7 +62,7 @@ def without_repeats(docs: dict, window=50) -> dict:
     return out
 
 
-def lines_removed(docs: dict, least=20, k=8, num=80, den=100) -> dict:
+def lines_removed(docs: dict, least=1, k=8, num=80, den=100) -> dict:
     """id -> numbers of the lines that go."""
     places = defaultdict(list)
     for i in sorted(docs):
@@ -70,7 +70,7 @@ def lines_removed(docs: dict, least=20, k=8, num=80, den=100) -> dict:
             if len(line.strip()) >= least:
                 places[line.strip()].append((i, n))
     texts = list(places)
-    sets = [{t[j : j + k] for j in range(len(t) - k + 1)} for t in texts]
+    sets = [{t[j : j + k] for j in range(max(1, len(t) - k + 1))} for t in texts]
     edges = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if similar(sets[a], sets[b], num, den)]
     part = components(range(len(texts)), edges)
     groups = defaultdict(list)

@@ -81,3 +81,17 @@ def test_components(spark):
     nodes = {n for e in edges for n in e if e[0] != e[1]}
     assert found == brute.components(nodes, [e for e in edges if e[0] != e[1]])
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_periodic_texts(spark, make_docs):
+    """A text of four words is one shingle, as is a longer one of the same word."""
+    some = ["a a a a", "A a a a a", "a a a", "a a a a a a a", "a a", "b a a a"]
+    assert got(ngram_join.jaccard_components(make_docs(some))) == brute.ngram_components(dict(enumerate(some)))
+
+
+def test_rows_of_one_id_and_none(spark):
+    """Each row has the component of its own text, named by the least id in it."""
+    t = [" ".join(f"t{k}w{j}" for j in range(40)) for k in range(4)]
+    rows = [(3, t[0]), (3, t[1]), (5, t[1] + " x"), (2, t[2]), (None, t[2]), (None, t[3]), (7, t[3] + " y"), (8, None), (9, t[0])]
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in found)) == [(0, 37, 2), (0, 37, 7), (2, 37, 2), (3, 37, 3), (3, 37, 3), (5, 38, 3), (7, 38, 7), (8, 0, 8), (9, 37, 3)]

@@ -28,7 +28,7 @@ def plain_run(docs: dict, accepted: set) -> dict:
         left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
         if not gone[i] or left.strip(" \t\n\r\f\v"):
             kept[i] = left
-    part = brute.ngram_components(kept)
+    part = brute.ngram_components(kept, n=5, num=80)
     return {i: t for i, t in kept.items() if part[i][1] == i}
 
 

@@ -55,3 +55,28 @@ def test_sql_with_nulls(spark, make_docs, texts, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert_same(substring_dedup.op4_substring_dedup(spark, str(tmp_path)), con, substring_dedup.OP4_SQL)
+
+
+def test_rows_of_one_id(spark, make_docs):
+    """Rows of one id with different texts are judged each by itself, and are no sources of each other."""
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(1, passage), (1, f"{passage} and so on"), (2, "short"), (2, f"a b c {passage} d"), (2, " ".join(f"u{i}" for i in range(200))), (None, passage), (2, f"a b c {passage} d")]
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in apply(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(0, 80, 0), (1, 80, 0), (1, 83, 0), (2, 1, 0), (2, 84, 80), (2, 84, 80), (2, 200, 0)]
+
+
+def test_runs_join_to_spans():
+    import numpy as np
+
+    runs = np.array([[5, 3, 1, 0, 15], [8, 2, 1, 0, 18], [10, 4, 2, 0, 0], [0, 2, 1, 0, 10], [9, 1, 1, 0, 19], [20, 1, 1, 0, 31], [100, 5, 0, 0, 50], [30, 1, 1, 0, 40]])
+    assert substring_dedup.joined(runs).tolist() == [[100, 5, 0, 0, 50], [0, 2, 1, 0, 10], [5, 5, 1, 0, 15], [30, 1, 1, 0, 40], [20, 1, 1, 0, 31], [10, 4, 2, 0, 0]]
+
+
+def test_a_span_whose_source_reads_otherwise_stays(spark, make_docs, monkeypatch):
+    """Coordinates are read: with wrong digests at the sources nothing goes."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = make_docs([passage, f"x {passage}"])
+    assert [n for _, n, _ in sorted((r.doc_id, r.n_removed, 0) for r in apply(docs).collect())] == [0, 60]
+    whole = substring_dedup.verified_spans
+    monkeypatch.setattr(substring_dedup, "verified_spans", lambda *a: whole(*a).withColumn("at", F.transform("at", lambda x: x.withField("digest", x["digest"] + 1))))
+    assert sum(r.n_removed for r in apply(docs).collect()) == 0
