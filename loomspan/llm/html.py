@@ -6,20 +6,26 @@ anew with its host's winning paths, in order of their votes, and with its own be
 
 Text: character references decoded; white space inside a block becomes one space, ends trimmed; blocks joined in page
 order by one space. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out, by tag, role, class or id.
+left out. Some tags, roles and names of classes or ids decide that alone (nav, advert, cookies, comments); other names
+(notice, related, share) and an article's own header are doubtful: inside an article, or the best container, such a part
+stays unless over half of it is links; elsewhere it goes. A form goes unless it holds an article or half of the page's text.
 
 Defined results: null or empty html, and html without text, give an empty text; a null url, and one without a host, is
 voted on together with others of the host ""; ties go to the more text, then to the path least in order; repeated rows
-vote each and give equal rows; an empty table gives none; other columns are ignored.
+vote each and give equal rows; an empty table gives none; other columns are ignored. Time and memory are linear in a page's
+length, however deep it is. An iframe, textarea, title, xmp, noembed or noframes that isn't closed hides nothing; a script
+or style that isn't closed ends at the next tag of the page's structure.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +34,8 @@ from loomspan.llm._shared import Scratch, spread
 
 #: Paths with at least this share of a host's votes win; so a host has at most 20.
 WINNING_SHARE = 0.05
-#: The winners' table is broadcast up to so many rows (some 200 bytes each); beyond, pages are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: The winners' table is broadcast up to so many bytes of paths; beyond, pages are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?:!|\?)[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -37,13 +43,18 @@ _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "styl
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINER = frozenset("article body center div main section table td html".split())
-_DROPPED = frozenset("head script style noscript template iframe object svg canvas math audio video nav header footer aside form button select textarea input menu dialog noembed noframes map".split())
+_DROPPED = frozenset("head script style noscript template iframe object svg canvas math audio video nav footer aside button select textarea input menu dialog noembed noframes map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class names and ids that mark what isn't the article.
+#: Words of class names and ids that mark what isn't the article, wherever it stands.
 _NOT_ARTICLE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices alert popup modal overlay lightbox "
-    "sidebar sidebars aside widget widgets rail menu menus nav navbar navigation breadcrumb breadcrumbs toc pager pagination footer foot colophon copyright header masthead topbar toolbar "
-    "comment comments commentlist disqus respond replies reply share sharing social follow subscribe subscription newsletter signup login related recommended recommendations teaser teasers outbrain taboola hidden skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo cookie cookies consent gdpr popup modal lightbox "
+    "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pager pagination footer colophon masthead topbar "
+    "comment comments commentlist disqus respond replies newsletter subscribe subscription signup login outbrain taboola".split()
+)
+#: Words that mark it unless it stands inside the article and is text rather than links.
+_DOUBTFUL = frozenset(
+    "promotion banner banners notice notices alert overlay aside widget widgets rail toc foot copyright header toolbar reply share sharing social follow "
+    "related recommended recommendations teaser teasers hidden skip".split()
 )
 #: A name with one of these, as "has-sidebar", is of a layout around all, not of the part named.
 _LAYOUT = frozenset("has with no without".split())
@@ -53,30 +64,53 @@ _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _marks(attributes: dict[str, str]) -> bool:
+_STRUCTURE = re.compile(r"<(?=/?(?:html|head|body|article|main|section|div|p|h[1-6]|nav|header|footer|aside|ul|ol|table|form)[\s/>])", re.I)
+
+
+def _marks(attributes: dict[str, str]) -> int:
+    """0: nothing against the part; 1: doubtful; 2: not of the article."""
     if attributes.get("role", "").lower() in _ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return 2
+    found = 0
     for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         names = {n.lower() for n in _NAME.findall(token)}
-        if names & _NOT_ARTICLE and not names & _LAYOUT:
-            return True
-    return False
+        if not names & _LAYOUT:
+            found = max(found, 2 if names & _NOT_ARTICLE else 1 if names & _DOUBTFUL else 0)
+    return found
+
+
+def _key(above: int, step: str) -> int:
+    return xxhash.xxh3_64_intdigest(above.to_bytes(8, "little") + step.encode("utf-8", "replace"))
+
+
+def path_key(path: str) -> int:
+    """A path as 64 bits, made step by step, so that a page's containers all have theirs without their paths."""
+    found = 0
+    for step in path.split(">") if path != "#" else ():
+        found = _key(found, step)
+    return found
 
 
 class Page:
     """Elements in page order, and the blocks of text that aren't left out."""
 
     def __init__(self, source: str):
-        #: Of each container: tag-class step, parent's number.
+        #: Of each container: tag-class step, parent's number, key of its path, weight.
         self.steps: list[str] = ["#"]
         self.parents: list[int] = [-1]
+        self.keys: list[int] = [0]
         self.weights: list[float] = [1.0]
-        #: Of each block: container, text, characters of links.
-        self.blocks: list[tuple[int, str, int]] = []
+        #: Of each block: container, text, characters of links, doubtful part (0: none).
+        self.blocks: list[tuple[int, str, int, int]] = []
+        #: Of each doubtful part: the part around it, container, whether it is a form, whether it is in or holds an article.
+        self.parts: list[list] = [[-1, 0, False, False]]
         self._read(source)
+        self._score()
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("#", 0, False)]  # tag, container, left out
+        stack: list[tuple[str, int, bool, int, bool]] = [("#", 0, False, 0, False)]  # tag, container, left out, part, inside an article
+        opened: Counter = Counter()
+        unclosed: set[str] = set()
         buffer: list[str] = []
         links = depth_of_links = 0
 
@@ -84,17 +118,17 @@ class Page:
             nonlocal links
             text = " ".join("".join(buffer).split())
             if text and not stack[-1][2]:
-                self.blocks.append((stack[-1][1], text, min(links, len(text))))
+                self.blocks.append((stack[-1][1], text, min(links, len(text)), stack[-1][3]))
             buffer.clear()
             links = 0
 
         def pop(to: int) -> None:
             nonlocal depth_of_links
             while len(stack) > to:
-                if stack[-1][0] in _BLOCK or stack[-1][2] != stack[-2][2]:
+                if stack[-1][0] in _BLOCK or stack[-1][2:4] != stack[-2][2:4]:
                     flush()
                 depth_of_links -= stack[-1][0] == "a"
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
 
         def text(part: str) -> None:
             nonlocal links
@@ -117,7 +151,7 @@ class Page:
             if found["end"]:
                 if tag == "br":
                     text(" ")
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
                         pop(k)
                         break
@@ -133,6 +167,18 @@ class Page:
                 continue
             if tag in _VOID:
                 continue
+            if tag in _RAW:
+                end = None if tag in unclosed else _RAW[tag].search(source, at)
+                if end is None:
+                    unclosed.add(tag)
+                    if tag in ("script", "style"):
+                        onward = _STRUCTURE.search(source, at)
+                        at = onward.start() if onward else len(source)
+                    continue
+                if tag != "script" and tag != "style":
+                    flush()
+                at = end.end()
+                continue
             if tag in _CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
@@ -143,7 +189,7 @@ class Page:
             if tag in _IMPLIED:
                 ends, stop = _IMPLIED[tag]
                 last = None
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
                     if stack[k][0] in stop:
                         break
                     if stack[k][0] in ends:
@@ -151,26 +197,84 @@ class Page:
                 if last:
                     pop(last)
             attributes = {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(found["more"])} if "=" in found["more"] else {}
-            out = stack[-1][2] or tag in _DROPPED or (bool(attributes) and tag not in ("html", "body", "article", "main") and _marks(attributes))
-            if tag in _BLOCK or out != stack[-1][2]:
+            _, own, left, part, inside = stack[-1]
+            is_article = tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody"
+            mark = _marks(attributes) if attributes and tag not in ("html", "body") else 0
+            if tag in ("article", "main"):
+                mark = mark if inside and mark == 2 else 0
+            elif tag == "header":
+                mark = max(mark, 1 if inside else 2)
+            elif tag in ("label", "legend") and self.parts[part][2]:
+                mark = 2
+            out = left or mark == 2 or tag in _DROPPED
+            new_part = not out and (mark == 1 or tag == "form")
+            if tag in _BLOCK or out != left or new_part:
                 flush()
-            if tag in _RAW:
-                end = _RAW[tag].search(source, at)
-                at = end.end() if end else len(source)
-                continue
-            own = stack[-1][1]
+            if new_part:
+                self.parts.append([part, own, tag == "form", inside])
+                part = len(self.parts) - 1
+            if is_article and not out:
+                inside = True
+                around = part
+                while around and not self.parts[around][3]:
+                    self.parts[around][3] = self.parts[around][2]
+                    around = self.parts[around][0]
             if tag in _CONTAINER and not out:
-                classes = sorted({re.sub(r"\d+", "N", c) for c in attributes.get("class", "").split()})
-                self.steps.append(".".join([tag, *classes[:6]]))
+                classes = sorted({re.sub(r"\d+", "N", c).replace(">", "_") for c in attributes.get("class", "").split()})
+                self.steps.append(".".join([tag, *classes]))
+                self.keys.append(_key(self.keys[own], self.steps[-1]))
                 self.parents.append(own)
-                self.weights.append(3.0 if tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody" else 1.0)
+                self.weights.append(3.0 if is_article else 1.0)
                 own = len(self.steps) - 1
-            stack.append((tag, own, out))
+            stack.append((tag, own, out, part, inside))
+            opened[tag] += 1
             depth_of_links += tag == "a"
         text(source[at:])
         pop(1)
         flush()
 
+    def _score(self) -> None:
+        """Scores, texts and links of containers, the container of the highest score, and the blocks that no doubt removes."""
+        length, linked = [0] * len(self.parts), [0] * len(self.parts)
+        for _, t, n, part in self.blocks:
+            length[part] += len(t)
+            linked[part] += n
+        for p in range(len(self.parts) - 1, 0, -1):
+            length[self.parts[p][0]] += length[p]
+            linked[self.parts[p][0]] += linked[p]
+        #: Of each part: 0 if it goes, 1 if it stays, 2 if it stays inside the best container only.
+        stays = [1]
+        for p, (around, _, is_form, article) in enumerate(self.parts[1:], 1):
+            if is_form:
+                own = 1 if article or 2 * length[p] >= length[0] else 0
+            else:
+                own = 0 if 2 * linked[p] > length[p] else 1 if article else 2
+            stays.append(0 if not own or not stays[around] else max(own, stays[around]))
+        scores, self.texts, self.linked = ([0.0] * len(self.steps) for _ in range(3))
+        for k, t, n, part in self.blocks:
+            if stays[part] == 1:
+                scores[k] += (len(t) - n) * (1 - n / len(t))
+                self.texts[k] += len(t)
+                self.linked[k] += n
+        for k in range(len(self.steps) - 1, 0, -1):
+            up = self.parents[k]
+            scores[up] += scores[k] / 2
+            self.texts[up] += self.texts[k]
+            self.linked[up] += self.linked[k]
+        self.scores = [s * w for s, w in zip(scores, self.weights, strict=True)]
+        self.top = max(range(len(scores)), key=lambda i: (self.scores[i], -i))
+        inside = self._below({self.top})
+        self.kept = [stays[part] == 1 or (stays[part] == 2 and self._owners_inside(part, inside)) for _, _, _, part in self.blocks]
+
+    def _owners_inside(self, part: int, inside: list[bool]) -> bool:
+        return not self.is_body(self.top) and inside[self.parts[part][1]]
+
+    def _below(self, chosen: set[int]) -> list[bool]:
+        inside = [k in chosen for k in range(len(self.parents))]
+        for k, parent in enumerate(self.parents):
+            inside[k] = inside[k] or (parent >= 0 and inside[parent])
+        return inside
+
     def path(self, k: int) -> str:
         steps = []
         while k > 0:
@@ -187,28 +291,16 @@ class Page:
         Then up to a container around it (not the whole body) as long as hardly any of what that adds is links, whatever its
         length: parts left out by tag or name aren't in it.
         """
-        scores, texts, linked = ([0.0] * len(self.steps) for _ in range(3))
-        for k, text, links in self.blocks:
-            worth = (len(text) - links) * (1 - links / len(text))
-            while k >= 0:
-                scores[k] += worth
-                texts[k] += len(text)
-                linked[k] += links
-                k, worth = self.parents[k], worth / 2
-        scores = [s * w for s, w in zip(scores, self.weights, strict=True)]
-        k = max(range(len(scores)), key=lambda i: (scores[i], -i))
+        k = self.top
         while (up := self.parents[k]) > 0 and not self.is_body(up):
-            more = texts[up] - texts[k]
-            if 5 * (linked[up] - linked[k]) > more:
+            if 5 * (self.linked[up] - self.linked[k]) > self.texts[up] - self.texts[k]:
                 break
             k = up
-        return k, scores[k]
+        return k, self.scores[k]
 
     def text_of(self, chosen: set[int]) -> str:
-        inside = [k in chosen for k in range(len(self.parents))]
-        for k, parent in enumerate(self.parents):
-            inside[k] = inside[k] or (parent >= 0 and inside[parent])
-        return " ".join(t for k, t, _ in self.blocks if inside[k])
+        inside = self._below(chosen)
+        return " ".join(t for (k, t, _, _), kept in zip(self.blocks, self.kept, strict=True) if kept and inside[k])
 
 
 def vote(source: str | None) -> tuple[str, float] | None:
@@ -221,14 +313,16 @@ def extract(source: str | None, paths: list[str]) -> str:
     """The text below the first of `paths` that the page has with text, and below those of the others that are siblings of it, in page order; else below its own best container."""
     page = Page(source or "")
     if paths:
-        by_path: dict[str, set[int]] = {}
-        for k in range(len(page.steps)):
-            by_path.setdefault(page.path(k), set()).add(k)
-        for path in paths:
-            if path in by_path and page.text_of(by_path[path]):
-                around = {page.parents[k] for k in by_path[path]}
-                beside = [k for other in paths if other in by_path for k in by_path[other] if page.parents[k] in around and not page.is_body(page.parents[k])]
-                return page.text_of(by_path[path].union(beside))
+        keys = [path_key(p) for p in paths]
+        by_path: dict[int, set[int]] = {k: set() for k in keys}
+        for k, key in enumerate(page.keys):
+            if key in by_path:
+                by_path[key].add(k)
+        for key in keys:
+            if by_path[key] and page.text_of(by_path[key]):
+                around = {page.parents[k] for k in by_path[key]}
+                beside = [k for other in keys for k in by_path[other] if page.parents[k] in around and not page.is_body(page.parents[k])]
+                return page.text_of(by_path[key].union(beside))
     k, score = page.best()
     return page.text_of({k}) if score > 0 else page.text_of({0})
 
@@ -257,11 +351,12 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", w
     return ranked.select("host", F.transform("r", lambda x: x["path"]).alias("paths"))
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", winning_share: float = WINNING_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", winning_share: float = WINNING_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page."""
     winners = Scratch(pages.sparkSession, "html").keep(host_paths(pages, url_col, html_col, winning_share), "winners")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(url_col).alias("host"), F.col(html_col).alias("html"))
-    packed = winners.count() > broadcast_rows
+    weight = winners.agg(F.sum(F.length("host") + 16 + F.aggregate("paths", F.lit(0), lambda n, p: n + F.octet_length(p) + 16))).first()[0] or 0
+    packed = weight > broadcast_bytes
     if packed:  # the shuffle carries compressed pages
         rows = rows.mapInArrow(_compressed, f"page_id {pages.schema[id_col].dataType.simpleString()}, url string, host string, html binary").join(winners, "host", "left")
     else:

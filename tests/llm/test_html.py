@@ -52,7 +52,7 @@ def test_host_consensus_beats_one_page(spark):
     assert got[99].text == "brief article" and got[100].text == "Only this." and got[101].text == "" and got[102].text == "t" and got[103].text == "u"
     assert got[5].n_chars == len(got[5].text) and got[5].text.startswith("long article")
     assert html.extract_pages(pages).count() == len(rows)
-    shuffled = html.extract_pages(pages, broadcast_rows=0)
+    shuffled = html.extract_pages(pages, broadcast_bytes=0)
     assert {r.page_id: r.text for r in shuffled.collect()} == {k: r.text for k, r in got.items()}
     assert html.extract_pages(pages.limit(0)).count() == 0
 
@@ -80,3 +80,80 @@ def test_article_in_several_containers(spark):
     got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0] == whole and got[1].endswith("third part")
     assert html.extract(two, ["html>body>div.content>div.rest", "html>body>div.content>div.lead"]) == whole
+
+
+def test_parts_inside_an_article_are_not_judged_by_names_alone():
+    whole = html.extract("<body><nav><a href=/>Home</a></nav><article><header><h1>The heading</h1></header><p>Text one.</p><p class='notice'>Important.</p><div class='related-work'><p>Others did this before.</p></div></article><div class='notice'>Elsewhere</div></body>", [])
+    assert whole == "The heading Text one. Important. Others did this before."
+    linked = html.extract("<article><p>Text one.</p><div class='related'><a href=1>More of this</a> <a href=2>and that</a></div><section class='comments'><p>I like it</p></section><article class='comment'>Me too</article><footer>By me</footer></article>", [])
+    assert linked == "Text one."
+    plain = "<body><div class='header'>The site</div><div class='content'><p>A long text of the article itself.</p><p class='alert'>Mind the gap.</p></div><div class='share'>Tell your friends about this page</div></body>"
+    assert html.extract(plain, []) == "A long text of the article itself. Mind the gap."
+    assert html.extract("<body><header><h1>Site</h1></header><main><p>One.</p></main></body>", []) == "One."
+
+
+def test_forms():
+    assert html.extract("<body><form id=aspnet><div class=menu>x</div><div><p>The whole page stands in a form.</p><label>Mail</label></div></form></body>", []) == "The whole page stands in a form."
+    assert html.extract("<body><form><article><p>Short.</p></article></form><p>Other text that is longer than it</p></body>", []) == "Short."
+    assert html.extract("<body><div><p>The article, longer than the form.</p><form><p>Search here</p></form></div></body>", []) == "The article, longer than the form."
+
+
+def test_tags_that_are_not_closed():
+    for tag in ("iframe", "textarea", "title", "noframes", "xmp", "noembed"):
+        assert html.extract(f"<body><{tag} src=x><article><p>The article.</p></article></body>", []) == "The article.", tag
+    for tag in ("script", "style"):
+        assert html.extract(f"<body><{tag}>var a = 1;<article><p>The article.</p></article></body>", []) == "The article.", tag
+    assert html.extract("<body><iframe>no frames</iframe><article><p>a<script>b</script>c</p></article></body>", []) == "ac"
+
+
+def test_all_classes_count():
+    """Containers that differ in the seventh class only have paths of their own."""
+    one, two = ("<body><div class='a b c d e f {}'><p>" + "word " * 50 + "</p></div></body>").format("g"), ("<body><div class='a b c d e f {}'><p>" + "word " * 50 + "</p></div></body>").format("h")
+    assert html.vote(one)[0] != html.vote(two)[0]
+
+
+def test_deep_and_long_pages():
+    """50,000 nested containers with text in each, and end tags that close nothing: linear time, with and without paths."""
+    import time
+    import tracemalloc
+
+    deep = "<body>" + "".join(f"<div class='c{k % 7}'>t{k}</section>" for k in range(50_000))
+    began = time.time()
+    tracemalloc.start()
+    assert html.extract("<p>x" + deep, ["html>body>div.cN", "body>div.cN"]).startswith("t0 t1 ")
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert html.vote(deep) is not None
+    assert time.time() - began < 60 and held < 200 << 20
+    assert html.extract("<iframe>" * 50_000 + "<p>end", []) == "end"
+
+
+def test_voting_against_a_plain_version(spark):
+    """A table of hosts with pages of several layouts: votes, winners and texts as a plain version finds them."""
+    import random
+    from collections import Counter, defaultdict
+
+    r = random.Random(8)
+    rows = []
+    for k in range(120):
+        boxes = [f"<div class='{c}{r.randint(1, 9)}'><p>{' '.join(r.choice(['alpha', 'beta', 'gamma']) for _ in range(r.randint(1, 60)))}</p></div>" for c in ("post", "side", "extra")]
+        r.shuffle(boxes)
+        rows.append((k, f"https://www.h{k % 4}.org/{k}", f"<html><body>{''.join(boxes)}</body></html>"))
+    votes = defaultdict(Counter)
+    scores = Counter()
+    for _, url, source in rows:
+        path, score = html.vote(source)
+        votes[url.split("/")[2][4:]][path] += 1
+        scores[url.split("/")[2][4:], path] += score
+    want = {}
+    for k, url, source in rows:
+        h = url.split("/")[2][4:]
+        whole = sum(votes[h].values())
+        paths = sorted((p for p, n in votes[h].items() if n >= html.WINNING_SHARE * whole), key=lambda p: (-votes[h][p], -round(scores[h, p], 3), p))
+        page = html.Page(source)
+        text = ""
+        for path in paths:
+            text = text or page.text_of({i for i in range(len(page.steps)) if page.path(i) == path})
+        want[k] = text
+    got = {x.page_id: x.text for x in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and len({html.vote(x[2])[0] for x in rows}) > 1
