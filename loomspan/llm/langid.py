@@ -6,7 +6,9 @@ the text. The whole text is compressed, in blocks that each start from the dicti
 itself in its own past and the dictionary would hardly matter.
 
 Training sample (the documented bound): of every language the `SAMPLE_DOCS` documents with the smallest hash in as many
-equal hash classes, and of these texts the first `DICT_BYTES` bytes together. Prediction never sees labels, ids or sources.
+equal hash classes, and of these texts the first `DICT_BYTES` bytes together; with more than `ALL_DICT_BYTES` / `DICT_BYTES`
+languages each has an equal part of `ALL_DICT_BYTES`, so that all dictionaries together stay below that. Prediction never
+sees labels, ids or sources.
 
 Defined results: null text or text without a letter is `und`, score 0, rejected; ties go to the code-point-least
 language; null labels don't train; without labelled documents every text is `und`; repeated rows are predicted each by
@@ -27,6 +29,7 @@ from loomspan.llm._shared import small_batches, spread
 
 SAMPLE_DOCS = 96
 DICT_BYTES = 112_640
+ALL_DICT_BYTES = 48 << 20
 #: zstandard's level and block: level 6 tells 99.0 % of held-out texts at sf0.1, levels 1 and 3 only 92.8 % and 95.2 %.
 LEVEL = 6
 BLOCK_BYTES = 1_024
@@ -41,8 +44,11 @@ def held_out(doc_id):
 
 
 def train_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionary content by language; `docs` holds training rows only. One pass over ids, one over the sampled texts."""
+    """Dictionary content by language; `docs` holds training rows only. A pass over labels, one over ids, one over the sampled texts."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL AND t <> ''")
+    langs = rows.select("l").distinct().count()
+    dict_bytes = min(dict_bytes, max(1_024, ALL_DICT_BYTES // max(1, langs)))
+    sample_docs = min(sample_docs, max(1, dict_bytes // 256))
     order = F.xxhash64("i")
     picked = rows.groupBy("l", F.pmod(order, F.lit(sample_docs)).alias("c")).agg(F.min(F.struct(order.alias("h"), F.col("i"))).alias("m")).select("l", F.col("m.i").alias("i"))
     # At most sample_docs ids for each language: a bound that the data's size doesn't move.
@@ -108,4 +114,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     dictionaries = train_dictionaries(docs.where(~held_out("doc_id")))
-    return identify(spread(docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))), dictionaries).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(spread(docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -94,7 +94,7 @@ def test_parts_inside_an_article_are_not_judged_by_names_alone():
 
 def test_forms():
     assert html.extract("<body><form id=aspnet><div class=menu>x</div><div><p>The whole page stands in a form.</p><label>Mail</label></div></form></body>", []) == "The whole page stands in a form."
-    assert html.extract("<body><form><article><p>Short.</p></article></form><p>Other text that is longer than it</p></body>", []) == "Short."
+    assert html.extract("<body><form><article><p>The article in it.</p></article></form><p>Other text that is longer than it</p></body>", []) == "The article in it."
     assert html.extract("<body><div><p>The article, longer than the form.</p><form><p>Search here</p></form></div></body>", []) == "The article, longer than the form."
 
 

@@ -38,3 +38,39 @@ def test_sample_is_bounded(spark, make_docs):
     found = langid.train_dictionaries(docs, sample_docs=8, dict_bytes=1000)
     assert len(found["en"]) <= 1000
     assert found == langid.train_dictionaries(docs.repartition(7), sample_docs=8, dict_bytes=1000)
+
+
+def test_against_a_plain_version(spark, sf_dir):
+    """The query over the whole table: dictionaries and predictions as a plain loop over rows finds them."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.collect()
+    dictionaries = langid.train_dictionaries(docs.where(~langid.held_out("doc_id")))
+    assert set(dictionaries) == {r.lang for r in rows if r.lang}
+    for lang, content in dictionaries.items():
+        own = "\n".join(r.text.lower() for r in rows if r.lang == lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5).encode()
+        assert len(content) <= langid.DICT_BYTES and all(part in own for part in content.split(b"\n") if len(part) > 40)
+
+    def size(text, content):
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=langid.LEVEL)
+        press = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw = text.lower().encode()
+        return sum(len(press.compress(raw[k : k + langid.BLOCK_BYTES])) for k in range(0, len(raw), langid.BLOCK_BYTES))
+
+    got = {r.doc_id: r for r in langid.op10_language_id(spark, sf_dir).collect()}
+    for r in rows:
+        found = got[r.doc_id]
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (found.lang_pred, found.score, found.rejected) == ("und", 0.0, True)
+            continue
+        (least, lang), (second, _) = sorted((size(r.text, content), lang) for lang, content in dictionaries.items())[:2]
+        assert found.lang_pred == lang and found.rejected == ((second - least) / least < langid.REJECT_MARGIN)
+
+
+def test_many_languages_share_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ALL_DICT_BYTES", 64 << 10)
+    docs = spark.createDataFrame([(k, f"words of language {k} " * 200, f"l{k % 40}") for k in range(400)], "doc_id long, text string, lang string")
+    found = langid.train_dictionaries(docs)
+    assert len(found) == 40 and sum(map(len, found.values())) <= 64 << 10

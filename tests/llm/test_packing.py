@@ -71,3 +71,23 @@ def test_operator(spark, make_docs, texts):
     assert packing.pack(packing.token_pieces(docs.limit(0), PATH)).count() == 0
     ids = packing.token_pieces(docs.where("doc_id = 0"), PATH, with_ids=True).first()
     assert zlib.crc32(np.array(ids.ids, "<u4").tobytes()) == ids.ids_crc32
+
+
+def test_other_vocabularies_are_encoded_whole():
+    """A tokenizer that isn't of the kind read word by word gives the ids of whole texts all the same."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    assert packing.WordTokenizer(PATH).by_words and not words.by_words
+    for t in [*ODD, "two  spaces and Capitals"]:
+        assert words.ids([t or ""])[0].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
+def test_many_repeated_rows_are_dealt_to_all_groups(spark):
+    """Copies of one row don't meet in one group."""
+    docs = spark.createDataFrame([(1, "the same words in each row")] * 400, "doc_id long, text string")
+    rows = packing.pack(packing.token_pieces(docs, PATH), group_pieces=50).collect()
+    groups = {}
+    for r in rows:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(rows) == 400 and max(groups.values()) < 120
+    check(rows, 4096)
