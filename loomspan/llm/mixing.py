@@ -2,9 +2,15 @@
 
 A source's documents stand in a seeded random order, cut into blocks of a narrow range of that order. The mix takes
 whole passes over a source's blocks, then as many more blocks in that order as its target still wants, the last one
-(and its last document) in part. These exact block quotas are split among the output shards by a binary tree: at each
-node the quotas of its left half are one multivariate-hypergeometric draw. A source's block draws, in a second random
-order, then go to the shards by those quotas, so shards hold disjoint draws, and each shard orders what it has anew.
+(and its last document) in part: exact quotas of block draws. The tree splits the quotas of all sources among the output
+shards, whose sizes halve down a binary tree: a group of sources gets, at each node, one hypergeometric draw of the node's
+places for the left child, out of what the groups before it left; a group is split again among its sources in the same way,
+`FANOUT` at a time, so that no row holds more than `FANOUT` sources. A source's block draws, in a second random order, then
+go to the shards by its quotas: shards hold disjoint draws, and each shard orders what it has anew. What a document is
+taken for is the sum of its dealt draws.
+
+Orders inside a source are found in two steps, over ranges and inside a range, so that no task orders more than about the
+square root of a source's blocks.
 
 Defined results: a null, empty or blank text has 0 words and is taken 0 times; a null source is a source of its own,
 last in order; repeated rows (same id, source and text) are separate documents of equal place, told apart by a row
@@ -26,7 +32,10 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: Documents that a block holds on average.
 BLOCK_DOCS = 512
+#: Output shards, rounded up to a power of two.
 SHARDS = 16
+#: Sources, or groups of them, that one row of the tree splits.
+FANOUT = 64
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -61,10 +70,11 @@ def _unit(*parts: Column) -> Column:
 def _ln_factorial(n: Column) -> Column:
     """Stirling's series after a shift by 8; n a double of 0 or more."""
     x = n + 9.0
-    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12.0 * x) - 1 / (360.0 * x * x * x) + 1 / (1260.0 * F.pow(x, F.lit(5.0)))
-    for k in range(1, 9):
-        series = series - F.ln(n + float(k))
-    return series
+    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12.0 * x) - 1 / (360.0 * x * x * x) + 1 / (1260.0 * x * x * x * x * x)
+    shift = n + 1.0
+    for k in range(2, 9):
+        shift = shift * (n + float(k))
+    return series - F.ln(shift)
 
 
 def _ln_choose(n: Column, k: Column) -> Column:
@@ -74,12 +84,12 @@ def _ln_choose(n: Column, k: Column) -> Column:
 def hypergeometric(total: Column, good: Column, draws: Column, unit: Column) -> Column:
     """The number of good ones among `draws` of `total` without replacement, by inverting its distribution at `unit`.
 
-    The sum runs over all values within 40 standard deviations of the mean (chance beyond: below 1e-300).
+    The sum runs over all values within 10 standard deviations and 25 of the mean (chance beyond: below 1e-16, the unit's step).
     """
     t, g, d = (c.cast("double") for c in (total, good, draws))
     safe = F.greatest(t, F.lit(1.0))
     mean = d * g / safe
-    wide = 40.0 * F.sqrt(F.greatest(mean * (1 - g / safe) * (t - d) / F.greatest(t - 1.0, F.lit(1.0)), F.lit(0.0))) + 40.0
+    wide = 10.0 * F.sqrt(F.greatest(mean * (1 - g / safe) * (t - d) / F.greatest(t - 1.0, F.lit(1.0)), F.lit(0.0))) + 25.0
     low = F.greatest(F.lit(0.0), d + g - t, F.floor(mean - wide)).cast("long")
     high = F.least(g, d, F.ceil(mean + wide)).cast("long")
     base = _ln_choose(t, d)
@@ -90,29 +100,76 @@ def hypergeometric(total: Column, good: Column, draws: Column, unit: Column) ->
 
     start = F.struct(F.lit(0.0).alias("sum"), low.alias("k"))
     step = lambda s, k: F.struct((s["sum"] + chance(k)).alias("sum"), F.when(s["sum"] + chance(k) <= unit, F.least(k + 1, high)).otherwise(s["k"]).alias("k"))
-    return F.aggregate(F.sequence(low, high), start, step, lambda s: s["k"])
+    settled = F.when(low >= high, low)  # one value is possible only
+    return F.coalesce(settled, F.aggregate(F.sequence(low, F.greatest(low, high)), start, step, lambda s: s["k"]))
 
 
-def split_quotas(scratch: Scratch, quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """`quotas(place, quota)` of the sources split among 2^k >= `shards` leaves: rows (shard, place, quota).
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    One array of quotas, one number per source, goes down the tree; each level draws the left child's quotas by
-    conditional hypergeometric draws source by source and leaves the rest to the right child.
-    """
-    nodes = quotas.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "quota"))), lambda x: x["quota"]).alias("quotas")).select(F.lit(0).alias("shard"), "quotas")
-    levels = max(0, math.ceil(math.log2(max(1, shards))))
-    for level in map(F.lit, range(levels)):
-        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda s, x: s + x)
-        start = F.struct(F.col("total").alias("total"), F.shiftright(F.col("total") + 1, 1).alias("draws"), F.array().cast("array<long>").alias("left"))
 
-        def draw(s: Column, q: Column) -> Column:
-            got = hypergeometric(s["total"], q, s["draws"], _unit(F.lit(seed), F.col("level"), F.col("shard"), F.size(s["left"])))
-            return F.struct((s["total"] - q).alias("total"), (s["draws"] - got).alias("draws"), F.concat(s["left"], F.array(got)).alias("left"))
+def _halved(total: Column, leaves: int) -> Column:
+    """Sizes of the nodes of a binary tree of equal halves, the root first, node k's children at 2k + 1 and 2k + 2."""
+    both = lambda n: F.array(F.shiftright(n + 1, 1), F.shiftright(n, 1))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(max(leaves - 2, 0))), F.array(total), lambda a, k: F.when(F.lit(leaves > 1), F.concat(a, both(F.get(a, k)))).otherwise(a))
+
+
+def _share(left: Column, quota: Column, leaves: int, *unit: Column) -> Column:
+    """How many of the places `left` (sizes of the tree's nodes) go to a group with a quota: the same for the group, by a hypergeometric draw at each node."""
+
+    def split(got: Column, k: Column) -> Column:
+        first = hypergeometric(F.get(left, k), F.get(got, k), F.get(left, 2 * k + 1), _unit(*unit, k))
+        return _let(first, lambda n: F.concat(got, F.array(n, F.get(got, k) - n)))
+
+    if leaves == 1:
+        return F.array(quota)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(leaves - 2)), F.array(quota), split)
+
+
+def _take(leaves: int, seed: int, level: int):
+    """The step of an aggregate over groups: a group gets its share of what is left."""
+
+    def take(state: Column, group: Column) -> Column:
+        got = _share(state["left"], group["q"], leaves, F.lit(seed), F.lit(level), group["child"])
+        return _let(got, lambda g: F.struct(F.zip_with(state["left"], g, lambda a, b: a - b).alias("left"), F.concat(state["out"], F.array(F.struct(group["child"].alias("child"), g.alias("sizes")))).alias("out")))
 
-        nodes = nodes.withColumn("level", level).withColumn("total", total).withColumn("left", F.aggregate("quotas", start, draw, lambda s: s["left"]))
-        nodes = nodes.select(F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas")), F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("quotas", "left", lambda q, x: q - x).alias("quotas")))).alias("n")).select("n.*")
-        nodes = scratch.keep(nodes, "level")
-    return nodes.select("shard", F.posexplode("quotas").alias("at", "quota")).select("shard", (F.col("at") + 1).alias("nth"), "quota")
+    return take
+
+
+def split_quotas(quotas: DataFrame, shards: int, seed: int, sources: int, fanout: int = FANOUT) -> DataFrame:
+    """`quotas(place, quota)` of places 0 to `sources` - 1 split among 2^k >= `shards` shards of equal size: rows (place, shares), one share a shard.
+
+    Down a tree of groups of `fanout` places; a row splits the sizes of its shards' tree among its groups, one after the
+    other, by what is left.
+    """
+    leaves = 1 << max(0, math.ceil(math.log2(max(1, shards))))
+    levels = 1
+    while fanout**levels < sources:
+        levels += 1
+    nodes = quotas.groupBy().agg(F.coalesce(F.sum("quota"), F.lit(0)).cast("long").alias("total")).select(F.lit(0).cast("long").alias("node"), _halved(F.col("total"), leaves).alias("left"))
+    for level in reversed(range(levels)):
+        child = F.floor(F.col("place") / F.lit(fanout**level)).cast("long")
+        groups = quotas.groupBy(child.alias("child")).agg(F.sum("quota").cast("long").alias("q"))
+        groups = groups.groupBy(F.floor(F.col("child") / F.lit(fanout)).cast("long").alias("up")).agg(F.array_sort(F.collect_list(F.struct("child", "q"))).alias("groups"))
+        none = F.array().cast("array<struct<child:bigint,sizes:array<bigint>>>")
+        split = F.aggregate("groups", F.struct("left", none.alias("out")), _take(leaves, seed, level), lambda s: s["out"])
+        nodes = nodes.join(groups, F.col("node") == F.col("up")).select(F.explode(split).alias("g")).select(F.col("g.child").alias("node"), F.col("g.sizes").alias("left"))
+    return nodes.select(F.col("node").alias("place"), F.slice("left", leaves, leaves).alias("shares"))
+
+
+def _before(rows: DataFrame, keys: list[str], coarse: str, order: list, value: Column, name: str) -> DataFrame:
+    """rows with the sum of `value` over the rows of equal keys that stand before, in the order of `coarse`, then `order`.
+
+    Sums by `coarse` come first, so each window holds one range's rows, or one row a range.
+    """
+    sums = rows.groupBy(*keys, coarse).agg(F.sum(value).alias("sum"))
+    ranges = Window.partitionBy(*keys).orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(k).alias(f"{k}_r") for k in [*keys, coarse]), F.coalesce(F.sum("sum").over(ranges), F.lit(0)).cast("long").alias("base"))
+    inside = Window.partitionBy(*keys, coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.withColumn("near", F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long"))
+    on = [F.col(k) == F.col(f"{k}_r") for k in [*keys, coarse]]
+    return each.join(sums, on).withColumn(name, F.col("base") + F.col("near")).drop("near", "base", *(f"{k}_r" for k in [*keys, coarse]))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block_docs: int = BLOCK_DOCS, shards: int = SHARDS, seed: int = 17, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,55 +179,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draws: doc_id, copy_no, round, words (the first so many of the document), shard, position (order inside the shard),
     and, with a `row_col` that tells all rows apart, row.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+    scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
     row = ["row"] if row_col else []
     # 60 bits of MD5 as the random order: the same in any SQL engine. Equal rows are counted, not told apart, here.
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
     sized = scratch.keep(rows.withColumn("random", order), "sized")
-    targets = scratch.keep(source_targets(sized, weights, max_repeats), "targets")
     # Blocks: 2^depth equal ranges of the 60-bit order, by the number of documents of the source.
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("docs"), F.lit(1)) / F.lit(float(block_docs))))).cast("int")
-    goals = targets.withColumn("depth", depth).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", (F.floor("target") - F.col("passes") * F.col("source_size")).cast("long"))
-    goals = goals.select(F.col("source").alias("s"), "place", "source_size", "target", "passes", "rest", F.pow(F.lit(2.0), 60 - F.col("depth")).cast("long").alias("width"))
-    placed = sized.join(F.broadcast(goals) if _few(targets) else goals, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.floor(F.col("random") / F.col("width")).cast("long")).drop("s", "width")
-    blocks = placed.groupBy("place", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    up_to = Window.partitionBy("place").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("from", F.coalesce(F.sum("words").over(up_to), F.lit(0)).cast("long"))
-    blocks = scratch.keep(blocks.withColumn("extra", F.least(F.greatest(F.col("rest") - F.col("from"), F.lit(0)), F.col("words"))), "blocks")
-
-    # One row per draw of a block: its whole passes, and one more if the rest reaches it.
-    drawn = blocks.select("place", "block", F.explode(F.sequence(F.lit(0), (F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int"))).alias("round"), "passes", "extra").where((F.col("round") < F.col("passes")) | ((F.col("round") == F.col("passes")) & (F.col("extra") > 0)))
-    shuffled = Window.partitionBy("place").orderBy(F.xxhash64(F.lit(seed), "place", "block", "round"), "block", "round")
-    drawn = drawn.select("place", "block", "round", F.row_number().over(shuffled).alias("rank"))
-    drawn = scratch.keep(drawn, "drawn")
-    counts = targets.select("place").join(drawn.groupBy("place").agg(F.count(F.lit(1)).alias("quota")), "place", "left").select("place", F.coalesce("quota", F.lit(0)).alias("quota"))
-    shares = split_quotas(scratch, counts, shards, seed).withColumn("place", F.col("nth") - 1)
-    run = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    shares = shares.withColumn("to", F.sum("quota").over(run)).select(F.col("place").alias("p"), "shard", (F.col("to") - F.col("quota")).alias("after"), "to").where("after < to")
-    dealt = drawn.join(F.broadcast(shares) if _few(targets) else shares, (F.col("place") == F.col("p")) & (F.col("rank") > F.col("after")) & (F.col("rank") <= F.col("to"))).select("place", "block", "round", "shard")
-    plan = blocks.join(dealt.groupBy("place", "block").agg(F.array_sort(F.collect_list(F.struct("round", "shard"))).alias("draws")), ["place", "block"]).select("place", "block", "extra", "draws")
-
-    inside = Window.partitionBy("place", "block").orderBy("random", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
-    ordered = placed.withColumn("end", F.sum("size").over(inside)).withColumn("copy_no", F.row_number().over(Window.partitionBy("place", "block").orderBy("random", "doc_id", "size", *row)))
-    whole = ordered.join(plan.withColumnRenamed("place", "place2").withColumnRenamed("block", "block2"), (F.col("place") == F.col("place2")) & (F.col("block") == F.col("block2")), "left").drop("place2", "block2")
+    goals = source_targets(sized, weights, max_repeats).withColumn("depth", depth).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", (F.floor("target") - F.col("passes") * F.col("source_size")).cast("long"))
+    goals = scratch.keep(goals.select(F.col("source").alias("s"), F.col("place").cast("long").alias("place"), "source_size", "target", "passes", "rest", "depth"), "goals")
+    sources = goals.count()
+    # Spark broadcasts the goals by their size as written, else joins by a shuffle whose hot sources it splits.
+    placed = sized.join(goals, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.floor(F.col("random") / F.pow(F.lit(2.0), 60 - F.col("depth"))).cast("long")).drop("s")
+    blocks = placed.groupBy("place", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"), F.first("depth").alias("depth"))
+    blocks = blocks.where("words > 0").withColumn("half", F.shiftright(F.col("depth"), 1)).withColumn("range", F.floor(F.col("block") / F.pow(F.lit(2.0), F.col("half"))).cast("long"))
+    blocks = _before(blocks, ["place"], "range", ["block"], F.col("words"), "from")
+    blocks = scratch.keep(blocks.withColumn("extra", F.least(F.greatest(F.col("rest") - F.col("from"), F.lit(0)), F.col("words"))).withColumn("draws", (F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")).select("place", "block", "half", "extra", "draws"), "blocks")
+
+    quotas = blocks.groupBy("place").agg(F.sum("draws").cast("long").alias("quota"))
+    # Of each source: how many draws the shards up to each one take.
+    upto = F.aggregate("shares", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)), lambda a: F.slice(a, 2, F.size(a) - 1))
+    shares = scratch.keep(split_quotas(quotas, shards, seed, sources).select(F.col("place").alias("p"), upto.alias("upto")), "shares")
+    # One row per draw of a block, ranked in a second random order of its source's draws.
+    drawn = blocks.where("draws > 0").select("place", "block", "half", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("round"))
+    drawn = drawn.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "place", "block", "round"), 1)).withColumn("range", F.floor(F.col("at") / F.pow(F.lit(2.0), 63 - F.col("half"))).cast("long"))
+    ranked = _before(drawn, ["place"], "range", ["at", "block", "round"], F.lit(1), "rank")
+    dealt = ranked.join(shares, F.col("place") == F.col("p")).select("place", "block", "round", F.size(F.filter("upto", lambda n: n <= F.col("rank"))).alias("shard"))
+    plan = dealt.groupBy("place", "block").agg(F.array_sort(F.collect_list(F.struct("round", "shard"))).alias("dealt")).join(blocks.select("place", "block", "extra"), ["place", "block"]).select(F.col("place").alias("p"), F.col("block").alias("b"), "extra", "dealt")
+
+    window = Window.partitionBy("place", "block").orderBy("random", "doc_id", "size", *row)
+    ordered = placed.withColumn("end", F.sum("size").over(window.rowsBetween(Window.unboundedPreceding, 0))).withColumn("copy_no", F.row_number().over(window))
+    whole = ordered.join(plan, (F.col("place") == F.col("p")) & (F.col("block") == F.col("b")), "left")
     part = F.least(F.greatest(F.coalesce("extra", F.lit(0)) - (F.col("end") - F.col("size")), F.lit(0)), F.col("size"))
-    whole = whole.withColumn("part", part)
-    documents = whole.select("doc_id", "copy_no", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"))
-    draws = whole.select("doc_id", "copy_no", *row, "size", "passes", "part", F.explode("draws").alias("d")).select("doc_id", "copy_no", *row, F.col("d.round").alias("round"), F.when(F.col("d.round") < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"), F.col("d.shard").alias("shard")).where("words > 0")
+    # Whole in the passes, in part in the draw after them.
+    words = lambda d: F.when(d["round"] < F.col("passes"), F.col("size")).otherwise(F.col("part"))
+    taken = F.transform(F.coalesce("dealt", F.array().cast("array<struct<round:int,shard:int>>")), lambda d: F.struct(d["round"].alias("round"), words(d).cast("long").alias("words"), d["shard"].alias("shard")))
+    whole = whole.withColumn("part", part).withColumn("taken", F.filter(taken, lambda d: (d["words"] > 0) & (d["shard"] < (1 << max(0, math.ceil(math.log2(max(1, shards))))))))
+    documents = whole.select("doc_id", "copy_no", "source", "size", "source_size", "target", F.aggregate("taken", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"))
+    draws = whole.select("doc_id", "copy_no", *row, F.inline("taken"))
     draws = draws.withColumn("position", F.xxhash64(F.lit(seed + 1), "shard", "doc_id", "copy_no", "round"))
     return draws, documents
 
 
-#: A table of one row per source is broadcast up to so many sources (about 100 bytes a row), else joined by a shuffle.
-BROADCAST_SOURCES = 10_000
-
-
-def _few(sources: DataFrame) -> bool:
-    return sources.count() <= BROADCAST_SOURCES
-
-
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     _, documents = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")

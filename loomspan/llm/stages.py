@@ -4,7 +4,7 @@ Defined results: rows that share a doc_id are copies of one document until mixin
 document stands once for each round that took it, cut to the words that the round took. A row with a null doc_id is a
 document of its own: line dedup takes no line from it, the n-gram join keeps it if no similar document has an id or an
 earlier row, mixing takes it as any other. Null texts are rejected by the
-first stage. An empty table stays empty through all stages.
+first stage. An empty table stays empty through all stages. Column names that begin with two underscores are the stages' own.
 """
 
 from __future__ import annotations
@@ -48,15 +48,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row once for each round of the mix that takes it, cut to the words that the round takes."""
+    """Each row once for each draw of the mix that takes it, cut to the words that the draw takes, in the order of the mix's shards."""
     numbered = _numbered(docs, "mixed")
     draws, _ = mixing.mix(numbered, row_col="__row")
-    taken = draws.groupBy(F.col("row").alias("__taken")).agg(F.collect_list("words").alias("__rounds"))
-    rows = numbered.join(taken, F.col("__row") == F.col("__taken")).withColumn("__words", F.explode("__rounds"))
+    draws = draws.select(F.col("row").alias("__taken"), F.col("words").alias("__words"), F.col("shard").alias("__shard"), F.col("position").alias("__position"))
+    rows = numbered.join(draws, F.col("__row") == F.col("__taken"))
     whole = F.regexp_count("text", F.lit(mixing.WORD)) <= F.col("__words")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORD})")), 1, F.col("__words").cast("int")), " ")
     text = F.when(whole, F.col("text")).otherwise(cut)
-    return rows.withColumn("__text", text).select(*(F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    rows = rows.withColumn("__text", text).select("__shard", "__position", *(F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    # A shard is written by a few tasks, each with its draws in their order.
+    parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // mixing.SHARDS))
+    return rows.repartition(F.col("__shard"), F.pmod("__position", F.lit(parts))).sortWithinPartitions("__shard", "__position").drop("__shard", "__position")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

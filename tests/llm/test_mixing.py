@@ -59,13 +59,50 @@ def test_draws(spark, make_docs, texts):
 
 
 def test_quotas_add_up(spark):
-    from loomspan.llm._shared import Scratch
-
-    quotas = spark.createDataFrame([(0, 1000), (1, 37), (2, 0)], "place int, quota long")
-    got = mixing.split_quotas(Scratch(spark, "t"), quotas, 8, 3).toPandas()
-    assert got.groupby("nth").quota.sum().to_dict() == {1: 1000, 2: 37, 3: 0}
-    per_shard = got.groupby("shard").quota.sum()
-    assert per_shard.max() - per_shard.min() <= 1
+    quotas = spark.createDataFrame([(0, 1000), (1, 37), (3, 5)], "place long, quota long")
+    got = {r.place: r.shares for r in mixing.split_quotas(quotas, 8, 3, 4).collect()}
+    assert {p: sum(x) for p, x in got.items()} == {0: 1000, 1: 37, 3: 5}
+    per_shard = [sum(x) for x in zip(*got.values(), strict=True)]
+    assert len(per_shard) == 8 and max(per_shard) - min(per_shard) <= 1
+    assert [r.shares for r in mixing.split_quotas(quotas.where("place = 1"), 1, 3, 4).collect()] == [[37]]
+
+
+def test_quotas_of_many_sources(spark):
+    """Three levels of groups of 4: sources' and shards' sums are exact, and no share is negative."""
+    quotas = spark.createDataFrame([(p, (p * 37) % 50) for p in range(50)], "place long, quota long")
+    got = {r.place: r.shares for r in mixing.split_quotas(quotas, 4, 9, 50, fanout=4).collect()}
+    assert {p: sum(x) for p, x in got.items()} == {p: (p * 37) % 50 for p in range(50)}
+    per_shard = [sum(x) for x in zip(*got.values(), strict=True)]
+    assert max(per_shard) - min(per_shard) <= 1 and min(map(min, got.values())) >= 0
+
+
+def test_shares_are_hypergeometric(spark):
+    """Of 10 places in two shards of 5, how many of a group's 6 stand in the first: as drawn without replacement."""
+    n = 3000
+    left = F.array(*(F.lit(x).cast("long") for x in (10, 5, 5)))
+    found = Counter(r.k for r in spark.range(n).select(F.get(mixing._share(left, F.lit(6).cast("long"), 2, F.col("id")), F.lit(1)).alias("k")).collect())
+    want = {k: math.comb(6, k) * math.comb(4, 5 - k) / math.comb(10, 5) for k in range(1, 6)}
+    assert set(found) <= set(want) and all(abs(found[k] / n - w) < 0.04 for k, w in want.items())
+
+
+def test_shards_hold_what_the_tree_gives(spark, make_docs, texts):
+    """Every block draw goes to one shard: the distinct (block, round) of a shard are its quotas, and shards are of equal size."""
+    docs = make_docs(texts(2, 400)).withColumn("source", F.when(F.col("doc_id") % 3 > 0, "hot").otherwise(F.col("source")))
+    draws, documents = mixing.mix(docs, block_docs=4, shards=8)
+    rows = draws.join(documents.select("doc_id", "copy_no", "source"), ["doc_id", "copy_no"]).toPandas()
+    assert set(rows["shard"]) == set(range(8))
+    assert not rows.duplicated(["doc_id", "copy_no", "round"]).any()
+    # Documents of one block are drawn together: a block's draw is in one shard.
+    by_round = rows.groupby(["doc_id", "round"])["shard"].nunique()
+    assert (by_round == 1).all()
+    per_shard = rows.groupby("shard").size()
+    assert per_shard.max() < 2.5 * per_shard.min()
+
+
+def test_sums_before(spark):
+    rows = spark.createDataFrame([(p, b, (b * 7 + p) % 5) for p in range(2) for b in range(40)], "place long, block long, words long").withColumn("range", F.floor(F.col("block") / 8))
+    got = {(r.place, r.block): r.found for r in mixing._before(rows, ["place"], "range", ["block"], F.col("words"), "found").collect()}
+    assert got == {(p, b): sum((k * 7 + p) % 5 for k in range(b)) for p in range(2) for b in range(40)}
 
 
 def test_sql_with_nulls(spark, make_docs, tmp_path):
