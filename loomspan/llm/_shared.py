@@ -43,6 +43,10 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(least) if rows.rdd.getNumPartitions() < least else rows
 
 
+#: Set while a table is written: the shuffle files below it go as soon as it stands, not when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder; each one cuts lineage and survives lost executors.
 
@@ -57,7 +61,12 @@ class Scratch:
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         self.written += 1
         path = self.paths[table] = f"{self.base}/{self.written}-{table}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
@@ -65,7 +74,6 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()  # shuffle files of finished steps go when the driver finds them unreferenced
 
 
 def _contracted(edges: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ counted over all documents, the target over those that are marked.
 Every word and every bigram of the corpus is counted by itself, under a 64-bit hash. A task cuts its documents into chunks of
 bounded text and sends each chunk's distinct n-grams with their counts to buckets, ranges of the hash whose number follows
 the input; a bucket adds them up and answers each chunk that asked. A chunk then scores its documents by the answers, so no
-task and no driver holds the model, and a common n-gram is one row for each chunk.
+task and no driver holds the model, and a common n-gram is one row for each chunk. What is asked is shuffled once and not
+written; the answers and the chunks' documents, as places in their sorted words, are.
 
 Bigram probabilities are Dirichlet-smoothed with the unigram's, those with one more count for each distinct word of the
-corpus. Losses in nats. `count_models` and `score` are the variant of fixed size (2^16 classes of words, 2^20 cells of
-bigrams, in which unrelated n-grams share counts); no query uses it.
+corpus. Losses in nats.
 
 Defined results: null, empty and blank texts have no tokens and null losses and score; without target documents the target
 model is uniform; rows of one id are scored each; an empty table gives none; other columns are ignored; a null mark is none.
@@ -29,12 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm._families import groups
-from loomspan.llm._shared import Scratch, mix64, small_batches
+from loomspan.llm._shared import Scratch, mix64
 from loomspan.llm.ngram_join import word_hashes
 
-WORD_BITS = 16
-BIGRAM_BITS = 20
-SLICE = 1 << 14
 SMOOTHING = 20.0
 #: Class of what stands before a document's first word.
 _START = 0
@@ -42,94 +39,8 @@ _KINDS = 2  # background, target
 #: Characters of text in a chunk, and for each bucket.
 CHUNK_CHARS = 8 << 20
 BUCKET_CHARS = 16 << 20
-_CELLS = (1 << WORD_BITS, 1 << BIGRAM_BITS)
-
-
-def token_classes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token: the word's class, and the bigram's cell."""
-    words = (word_hashes(text, True) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    before = np.concatenate([[_START], words[:-1]]) if len(words) else words
-    return words, (mix64((before << WORD_BITS | words).astype(np.uint64)) >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64)
-
-
-def count_models(marked: DataFrame) -> np.ndarray:
-    """Counts (kind, cell) of unigram classes, then bigram cells, for `marked(text, target)`."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((_KINDS, sum(_CELLS)), np.int64)
-        for batch in batches:
-            texts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1024):
-                found: list[list[np.ndarray]] = [[], []]
-                for text, mark in zip(texts[at : at + 1024], marks[at : at + 1024], strict=True):
-                    words, cells = token_classes(text)
-                    both = np.concatenate([words, cells + _CELLS[0]])
-                    found[0].append(both)
-                    if mark:
-                        found[1].append(both)
-                for kind in range(_KINDS):
-                    if found[kind]:
-                        totals[kind] += np.bincount(np.concatenate(found[kind]), minlength=totals.shape[1])
-        press = zstandard.ZstdCompressor(level=1).compress
-        for kind in range(_KINDS):
-            for k in range(0, totals.shape[1], SLICE):
-                part = totals[kind, k : k + SLICE]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([kind * totals.shape[1] + k]), pa.array([press(part.astype("<u4" if part.max() < 2**32 else "<i8").tobytes())])], names=["at", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        undo = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = undo(counts)
-                part = np.frombuffer(raw, "<u4" if len(raw) == 4 * SLICE else "<i8").astype(np.int64)
-                sums[at] = sums[at] + part if at in sums else part
-        for at, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([counts.tobytes()])], names=["at", "counts"])
-
-    small_batches(marked.sparkSession)
-    slices = _KINDS * sum(_CELLS) // SLICE
-    summed = marked.select("text", "target").mapInArrow(count, "at long, counts binary").repartition(min(slices, int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "at").mapInArrow(add, "at long, counts binary")
-    out = np.zeros(_KINDS * sum(_CELLS), np.int64)
-    for row in summed.collect():  # at most `slices` rows of 128 KB
-        out[row["at"] : row["at"] + SLICE] = np.frombuffer(row["counts"], np.int64)
-    return out.reshape(_KINDS, -1)
-
-
-def score(marked: DataFrame, counts: np.ndarray, smoothing: float = SMOOTHING) -> DataFrame:
-    """(doc_id, n_tokens, loss_target, loss_background, score) per row of `marked(doc_id, text, target)`.
-
-    A document's own counts are left out of the models that counted it, so none is scored by having been learnt.
-    """
-    model = marked.sparkSession.sparkContext.broadcast(counts.astype(np.float64 if counts.max(initial=0) >= 2**24 else np.float32))
-    totals = [float(counts[k, : _CELLS[0]].sum() + _CELLS[0]) for k in range(_KINDS)]
-
-    def losses(words: np.ndarray, cells: np.ndarray, counted: tuple[bool, bool]) -> list[float]:
-        before = np.concatenate([[_START], words[:-1]])
-        own = np.bincount(words, minlength=_CELLS[0])
-        _, inverse, times = np.unique(cells, return_inverse=True, return_counts=True)
-        own_cells = times[inverse]
-        out = []
-        for kind in range(_KINDS):
-            table, less = model.value[kind], int(counted[kind])
-            two = table[cells + _CELLS[0]] - less * own_cells
-            one = (table[words] - less * own[words] + 1.0) / (totals[kind] - less * len(words))
-            context = np.maximum(table[before] - less * own[before], two)
-            out.append(float(-np.log((two + smoothing * one) / (context + smoothing)).mean()))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            for text, mark in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words, cells = token_classes(text)
-                background, target = losses(words, cells, (True, bool(mark))) if len(words) else (None, None)
-                for column, value in zip(columns, (len(words), target, background, None if target is None else target - background), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return marked.select("doc_id", "text", "target").mapInArrow(run, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, n_tokens long, loss_target double, loss_background double, score double")
+#: Ids of target documents are broadcast up to so many (some 32 bytes each); beyond, the texts are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def bigram_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -207,13 +118,24 @@ def _chunks(marked: DataFrame, buckets: int, chunk_chars: int) -> DataFrame:
 
 
 def _totals(asked: DataFrame) -> DataFrame:
-    """Answers (chunk, bucket, data): the corpus counts of what each chunk asked, in its order; a row without chunk has the bucket's sums."""
+    """Answers (chunk, bucket, data): the corpus counts of what each chunk asked, in its order; a row without chunk has the bucket's sums. Rows of documents (bucket -1) go on as they are."""
+    doc = asked.schema["ids"].dataType.simpleString()
+    schema = f"chunk long, bucket int, data binary, ids {doc}, lengths array<long>, marks array<boolean>, words long, every long, marked long"
+    sums_only = ["words", "every", "marked"]
+
+    def row(of: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        kinds = {name: of.field(name).type for name in ("chunk", "bucket", "data", "ids", "lengths", "marks")} | dict.fromkeys(sums_only, pa.int64())
+        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in kinds.items()], names=list(kinds))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         undo, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        names = ["chunk", "bucket", "data", "words", "every", "marked"]
-        for table in groups(batches, "bucket"):
+        for table in groups(batches, "to"):
             bucket = table["bucket"][0].as_py()
+            if bucket < 0:
+                for part in table.to_batches():
+                    yield row(part.schema, **{name: part.column(name) for name in ("chunk", "bucket", "data", "ids", "lengths", "marks")})
+                continue
             chunks, answers, sums = table["chunk"].to_pylist(), [[] for _ in range(table.num_rows)], [0, 0, 0]
             raw = [undo(d) for d in table["data"].to_pylist()]
             sizes = np.array([np.frombuffer(r, np.int64, 2) for r in raw])
@@ -233,10 +155,11 @@ def _totals(asked: DataFrame) -> DataFrame:
             for at in range(0, len(chunks), 1024):
                 some = answers[at : at + 1024]
                 data = [press(s.tobytes() + b"".join(map(_planes, a))) for s, a in zip(sizes[at : at + 1024], some, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(chunks[at : at + 1024], pa.int64()), pa.array([bucket] * len(some), pa.int32()), pa.array(data, pa.binary()), *(pa.nulls(len(some), pa.int64()),) * 3], names=names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.nulls(1, pa.binary()), *(pa.array([v], pa.int64()) for v in sums)], names=names)
+                yield row(table.schema, chunk=pa.array(chunks[at : at + 1024], pa.int64()), bucket=pa.array([bucket] * len(some), pa.int32()), data=pa.array(data, table.schema.field("data").type))
+            yield row(table.schema, bucket=pa.array([bucket], pa.int32()), **{name: pa.array([v], pa.int64()) for name, v in zip(sums_only, sums, strict=True)})
 
-    return asked.select("chunk", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "chunk long, bucket int, data binary, words long, every long, marked long")
+    to = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket").cast("long"))
+    return asked.withColumn("to", to).repartition("to").sortWithinPartitions("to").mapInArrow(add, schema)
 
 
 def score_documents(marked: DataFrame, smoothing: float = SMOOTHING, chars: int | None = None, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -247,14 +170,11 @@ def score_documents(marked: DataFrame, smoothing: float = SMOOTHING, chars: int
     """
     scratch = Scratch(marked.sparkSession, "lm")
     chars = chars or marked.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = scratch.keep(_chunks(marked, max(1, -(-chars // bucket_chars)), chunk_chars), "chunks")
-    scratch.drop()  # the shuffle below `marked` is no longer read
-    totals = scratch.keep(_totals(chunks.where("bucket >= 0")), "totals")
-    scratch.drop()
-    sums = totals.where("chunk IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "every", "marked"))).first()
+    answers = scratch.keep(_totals(_chunks(marked, max(1, -(-chars // bucket_chars)), chunk_chars)), "answers")
+    sums = answers.where("chunk IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "every", "marked"))).first()
     vocabulary, sizes = sums[0], sums[1:]
     doc = marked.schema["doc_id"].dataType.simpleString()
-    kept = chunks.where("bucket < 0").unionByName(totals.where("chunk IS NOT NULL").select("chunk", "bucket", "data"), allowMissingColumns=True)
+    kept = answers.where("chunk IS NOT NULL").select("chunk", "bucket", "data", "ids", "lengths", "marks")
 
     def own_counts(document: np.ndarray, place: np.ndarray) -> np.ndarray:
         _, inverse, times = np.unique(document << 32 | place, return_inverse=True, return_counts=True)
@@ -301,6 +221,6 @@ def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Target: documents that `labels` calls of good quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("d")).distinct()
-    # One plan at any size: the labels grow with the documents, and a broadcast would suit small inputs only.
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", F.col("d").isNotNull().alias("target"))
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good.hint("merge")
+    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", F.col("d").isNotNull().alias("target"))
     return score_documents(marked, chars=docs.agg(F.sum(F.length("text"))).first()[0])

@@ -8,45 +8,6 @@ from pyspark.sql import functions as F
 from loomspan.llm import lm_scoring as lm
 
 
-def plain(docs, target, smoothing=lm.SMOOTHING):
-    """Scores by dictionaries over the same classes and cells, each document left out of its models."""
-    parts = {i: lm.token_classes(t) for i, t in docs.items()}
-    out = {}
-    for i in docs:
-        words, cells = (x.tolist() for x in parts[i])
-        losses = []
-        for ids in (target - {i}, set(docs) - {i}):
-            one, two = Counter(), Counter()
-            for j in ids:
-                one.update(parts[j][0].tolist())
-                two.update(parts[j][1].tolist())
-            n, loss = sum(one.values()) + 2**16, 0.0
-            for k, (w, c) in enumerate(zip(words, cells, strict=True)):
-                context = max(one[words[k - 1] if k else 0], two[c])
-                loss -= math.log((two[c] + smoothing * (one[w] + 1) / n) / (context + smoothing))
-            losses.append(loss / len(words) if words else None)
-        out[i] = losses
-    return out
-
-
-def test_against_plain_counts(spark, make_docs, texts):
-    some = texts(1)
-    marked = make_docs(some).withColumn("target", F.when(F.col("doc_id") % 7 == 5, F.lit(None).cast("boolean")).otherwise(F.col("doc_id") % 3 == 0)).repartition(5)
-    target = {i for i in range(len(some)) if i % 7 != 5 and i % 3 == 0}
-    counts = lm.count_models(marked)
-    every = sum(len(lm.token_classes(t)[0]) for t in some)
-    assert counts[0, : 2**16].sum() == counts[0, 2**16 :].sum() == every
-    want = plain(dict(enumerate(some)), target)
-    got = {r.doc_id: r for r in lm.score(marked, counts).collect()}
-    for i, (a, b) in want.items():
-        if a is None:
-            assert (got[i].n_tokens, got[i].loss_target, got[i].score) == (0, None, None)
-        else:
-            assert got[i].loss_target == pytest.approx(a, rel=1e-5)
-            assert got[i].loss_background == pytest.approx(b, rel=1e-5)
-            assert got[i].score == pytest.approx(got[i].loss_target - got[i].loss_background)
-
-
 def test_target_reads_like_target(spark):
     import random
 
@@ -54,16 +15,32 @@ def test_target_reads_like_target(spark):
     a, b = [f"alpha{i}" for i in range(50)], [f"beta{i}" for i in range(50)]
     rows = [(i, " ".join(r.choice(a if i % 2 else b) for _ in range(200)), i % 2 == 1 and i < 60) for i in range(120)]
     marked = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
-    got = {x.doc_id: x.score for x in lm.score(marked, lm.count_models(marked)).collect()}
+    got = {x.doc_id: x.score for x in lm.score_documents(marked).collect()}
     assert max(got[i] for i in range(1, 120, 2)) < min(got[i] for i in range(0, 120, 2))
 
 
-def test_empty(spark):
-    none = spark.createDataFrame([], "doc_id long, text string, target boolean")
-    counts = lm.count_models(none)
-    assert counts.sum() == 0 and lm.score(none, counts).count() == 0
+def test_twice_the_same_document(spark):
     one = spark.createDataFrame([(1, "a b", False), (1, "a b", False)], "doc_id long, text string, target boolean")
-    assert [np.isfinite(x.score) for x in lm.score(one, lm.count_models(one)).collect()] == [True, True]
+    assert [np.isfinite(x.score) for x in lm.score_documents(one).collect()] == [True, True]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """A text longer than a chunk and a bucket, beside short ones, with columns of the operator's own names."""
+    some = {0: "long words come again " * 4000 + " ".join(f"only{k}" for k in range(3000)), 1: "long words", 2: None, 3: ""}
+    clash = {n: F.lit("clash") for n in ("chunk", "bucket", "data", "ids", "to", "words", "every")}
+    docs = spark.createDataFrame([(i, t, i == 1) for i, t in some.items()], "doc_id long, text string, target boolean").withColumns(clash)
+    want = real_plain(some, {1})
+    got = {r.doc_id: r for r in lm.score_documents(docs, chunk_chars=2000, bucket_chars=5000).collect()}
+    assert set(got) == set(some) and got[2].score is None and got[3].score is None
+    for i in (0, 1):
+        assert got[i].loss_target == pytest.approx(want[i][0], rel=1e-9) and got[i].loss_background == pytest.approx(want[i][1], rel=1e-9)
+
+
+def test_marks_by_broadcast_and_by_shuffle(spark, sf_dir, monkeypatch):
+    one = {r.doc_id: r.score for r in lm.op6_lm_scoring(spark, sf_dir).collect()}
+    monkeypatch.setattr(lm, "BROADCAST_IDS", 0)
+    other = {r.doc_id: r.score for r in lm.op6_lm_scoring(spark, sf_dir).collect()}
+    assert other == pytest.approx(one, abs=1e-12, nan_ok=True)
 
 
 def test_query(spark, sf_dir):
