@@ -11,6 +11,7 @@ import difflib
 import keyword
 import math
 import re
+import time
 import warnings
 from collections import Counter
 
@@ -26,14 +27,25 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _parses(code: str) -> bool:
+#: Seconds that one row's parsing may take.
+SECONDS = 5.0
+
+
+def _fault(code: str) -> int | None:
+    """None if the code parses; else the line, from 1, that the parser's complaint ends in, or 0 if it names none."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-    return True
+    except SyntaxError as e:
+        return max(e.end_lineno or 0, e.lineno or 0)
+    except (ValueError, RecursionError, MemoryError):
+        return 0
+    return None
+
+
+def _parses(code: str) -> bool:
+    return _fault(code) is None
 
 
 @F.pandas_udf(T.BooleanType())
@@ -42,9 +54,15 @@ def parse_valid(code: pd.Series) -> pd.Series:
 
 
 def _first_statement(prompt: str, completion: str) -> str:
-    for i in range(len(completion) - 1):
-        if completion[i + 1] == "\n" and _parses(prompt + completion[: i + 1]):
-            return completion[: i + 1].rstrip()
+    until, last = time.monotonic() + SECONDS, len(completion)
+    if _fault(prompt) == 0 or "\0" in prompt:
+        return completion
+    end = completion.find("\n", 1)
+    while 0 < end < last and time.monotonic() < until:
+        fault = _fault(prompt + completion[:end])
+        if fault is None:
+            return completion[:end].rstrip()
+        end = completion.find("\n", end + 1)
     return completion
 
 
@@ -60,15 +78,24 @@ def statement(prompt: Column, completion: Column, language: Column) -> Column:
 
 
 def _valid_prefix(prompt: str, completion: str) -> tuple[str, str]:
-    for i in range(len(completion), -1, -1):
-        if _parses(prompt + completion[:i]):
+    """From the whole completion backwards. Where the parser's complaint ends in a line, no start that holds this whole line parses, as code is read from its beginning: so only that line's characters are tried one by one."""
+    until, whole = time.monotonic() + SECONDS, prompt + completion
+    ends = [k for k, c in enumerate(whole) if c == "\n"]
+    i = len(completion)
+    while i >= 0:
+        fault = _fault(whole[: len(prompt) + i])
+        if fault is None:
             return "parseable", completion[:i].rstrip()
+        if time.monotonic() > until:
+            return "timed_out", completion
+        line_end = ends[fault - 1] if 0 < fault <= len(ends) else len(whole)
+        i = min(i - 1, line_end - len(prompt))
     return "not_parseable", completion
 
 
 @F.pandas_udf(_strings("status", "text"))
 def valid_prefix(prompt: pd.Series, completion: pd.Series) -> pd.DataFrame:
-    """The longest start of the completion that parses behind the prompt."""
+    """The longest start of the completion that parses behind the prompt; status timed_out after `SECONDS`."""
     return pd.DataFrame([_valid_prefix(p or "", c or "") for p, c in zip(prompt, completion, strict=True)], columns=["status", "text"])
 
 

@@ -7,27 +7,22 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.queries import benchmark_task
 
-#: The 16 repositories, owner_name.
-REPOSITORIES = (
-    "alibaba_FederatedScope google_vizier huggingface_evaluate opendilab_ACE awslabs_fortuna huggingface_diffusers pytorch_rl nerfstudio-project_nerfstudio "
-    "amazon-science_patchcore-inspection deepmind_tracr google_lightweight_mmm lucidrains_imagen-pytorch CarperAI_trlx facebookresearch_omnivore leopard-ai_betty maxhumber_redframes"
-).split()
-
-
 def canonical_repository(name: Column) -> Column:
     """owner--name, as function prompts have it, as owner_name."""
     return F.regexp_replace(name, "--", "_")
 
 
-def repository_url(name: Column) -> Column:
-    """The address of owner_name; null for a repository that isn't listed."""
-    return F.when(name.isin(*REPOSITORIES), F.concat(F.lit("https://github.com/"), F.regexp_replace(name, "^([^_]*)_", "$1/")))
+def with_urls(rows: DataFrame, listed: DataFrame, repo: str = "repo", host: str = "https://github.com/") -> DataFrame:
+    """rows with url, the address of owner_name; null for a repository that `listed(repo)` doesn't name. The owner ends at the first underscore."""
+    known = listed.select(F.col("repo").alias("__listed")).where("__listed IS NOT NULL").distinct()
+    url = F.when(F.col("__listed").isNotNull(), F.concat(F.lit(host), F.regexp_replace(repo, "^([^_]*)_", "$1/")))
+    return rows.join(known, F.col(repo) == F.col("__listed"), "left").withColumn("url", url).drop("__listed")
 
 
-def package_files(files: DataFrame, source: str = "github", license_name: str = "", language: str = "python") -> DataFrame:
+def package_files(files: DataFrame, listed: DataFrame, source: str = "github", license_name: str = "", language: str = "python") -> DataFrame:
     """Package records from (repo, filepath, content)."""
     content = F.array(F.struct(F.lit("text").alias("type"), F.lit(language).alias("lang"), F.col("content").alias("content")))
-    return files.select(F.lit(source).alias("source"), repository_url(F.col("repo")).alias("url"), F.lit(license_name).alias("license"), F.lit("").alias("patent"), F.col("repo").alias("repository"), "filepath", content.alias("content"))
+    return with_urls(files, listed).select(F.lit(source).alias("source"), "url", F.lit(license_name).alias("license"), F.lit("").alias("patent"), F.col("repo").alias("repository"), "filepath", content.alias("content"))
 
 
 def completion_tasks(prompts: DataFrame, files: DataFrame, kind: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.functions import scores
+from loomspan.functions import python_code, scores
 from loomspan.functions import text as tx
 
 
@@ -36,9 +36,9 @@ def truncated(pred: Column, target: Column) -> Column:
 
 
 def detail(rows: DataFrame, pred: str = "pred", target: str = "target") -> DataFrame:
-    """task_id, em (0 or 1), es_repoeval (0 to 1) on trimmed texts."""
+    """task_id, em (0 or 1), es (0 to 100, by matched characters) and es_distance (0 to 1, by edit distance) on trimmed texts."""
     p, t = tx.strip(F.col(pred)), tx.strip(F.col(target))
-    return rows.select("task_id", scores.exact_match(F.col(pred), F.col(target)).cast("int").alias("em"), scores.edit_similarity(p, t).alias("es_repoeval"))
+    return rows.select("task_id", scores.exact_match(F.col(pred), F.col(target)).cast("int").alias("em"), python_code.fuzz_ratio(pred, target).alias("es"), scores.edit_similarity(p, t).alias("es_distance"))
 
 
 def id_detail(rows: DataFrame, language: str | None = None, pred: str = "pred", target: str = "target") -> DataFrame:

@@ -29,6 +29,19 @@ def generate(prompts: DataFrame, load: Callable[[], Callable[[list[str]], list[s
     return prompts.select("task_id", "prompt").mapInPandas(run, PREDICTION)
 
 
+def encoded(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 64) -> DataFrame:
+    """(text, vector) of texts (text). `load` runs once per task and gives a function from a batch of texts to their vectors."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame["text"].iloc[at : at + batch].tolist()
+                yield pd.DataFrame({"text": part, "vector": [[float(x) for x in v] for v in model(part)]})
+
+    return texts.select("text").mapInPandas(run, "text string, vector array<double>")
+
+
 def one_per_task(predictions: DataFrame, order: list[Column]) -> DataFrame:
     """Predictions that came twice, as from padded last batches: the first by the order."""
     return first_rows(predictions, "task_id", order)

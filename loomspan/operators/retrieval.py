@@ -1,22 +1,30 @@
 """Cross-file retrieval: candidates of a repository, scores, top k, neighbours and context text.
 
-Candidates never leave a repository, so `repo` is the join key throughout. Tokens are computed once per chunk and once per
-query, before the pairs form. Where one repository holds a large share of all files, `rank` spreads its pairs: the join is
-by (repo, salt), queries dealt over the salts and the chunks of large repositories repeated for each of them.
+Candidates never leave a repository. Queries meet them in blocks: a task holds an inverted index, or a matrix, of at most
+`BLOCK` chunks of one repository, streams queries past it and gives the best k of each; a large repository has many blocks,
+and a large set of queries many slices of `SLICE`, so neither meets in one task. The best of all blocks follow by a window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions import scores
+from loomspan.functions import python_code, scores
 from loomspan.functions import text as tx
 
-#: Name -> score of (query row, chunk row) columns; register to extend.
-SCORERS: dict[str, Callable[[Column, Column], Column]] = {"jaccard_sim": scores.jaccard, "containment": scores.containment}
+BLOCK = 8_192
+SLICE = 65_536
+
+#: Name -> score of arrays (words in common, words of the query, words of the chunk); register to extend.
+SET_SCORERS: dict[str, Callable] = {
+    "jaccard_sim": lambda shared, query, chunk: shared / np.maximum(query + chunk - shared, 1),
+    "containment": lambda shared, query, chunk: shared / max(query, 1) + 0.0 * chunk,
+}
 
 
 def word_ids(text: Column) -> Column:
@@ -43,16 +51,124 @@ def top_k(scored: DataFrame, k: int, order: list[Column], key: str = "task_id",
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def rank_sets(queries: DataFrame, chunks: DataFrame, k: int, scorer: str = "jaccard_sim", threshold: float = 0.0, ties: str = "path", salts: int = 1) -> DataFrame:
-    """Top k chunks by a score of word sets. queries: task_id, repo, filepath, query; chunks: repo, filepath, chunk_no, text.
+def _parts_of(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """(repo, name): how many parts of at most about `most` rows a repository's rows make."""
+    return rows.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name))
+
+
+def _numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def in_blocks(queries: DataFrame, chunks: DataFrame, best, result: str, block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
+    """Rows of `best(chunks, queries)` for each block of a repository's chunks and each slice of its queries.
 
+    queries: repo, q (struct); chunks: repo, c (struct). `best` gets a block's structs as an Arrow array, and an iterator of arrays of
+    queries; it yields record batches of the schema `result`.
+    """
+    blocks, slices = _parts_of(chunks, block, "blocks"), _parts_of(queries, slice_rows, "slices")
+    sizes = blocks.join(slices, "repo").select(F.col("repo").alias("r"), "blocks", "slices")
+    place = lambda rows, n: rows.join(sizes, F.col("repo") == F.col("r")).withColumn("own", F.pmod(F.xxhash64(*rows.columns[1:]), F.col(n)).cast("int"))
+    c = place(chunks, "blocks").select("repo", F.col("own").alias("block"), _numbers(F.col("slices")).alias("slice"), "c")
+    q = place(queries, "slices").select("repo", _numbers(F.col("blocks")).alias("block"), F.col("own").alias("slice"), "q")
+    both = c.unionByName(q, allowMissingColumns=True).select(F.xxhash64("repo", "block", "slice").alias("task"), F.col("q").isNotNull().alias("asks"), "c", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches sorted by task, chunks before queries; a task's rows are held: a block and a slice."""
+        held: list[pa.Array] = []
+        asked: list[pa.Array] = []
+        now = None
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            if held and asked:
+                yield from best(pa.concat_arrays(held), iter(asked))
+            asked.clear()
+
+        for batch in batches:
+            tasks, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((tasks[1:] != tasks[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(tasks)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if tasks[a] != now:
+                    yield from answer()
+                    held, now = [], tasks[a]
+                if asks[a]:
+                    asked.append(batch.column(3).slice(a, b - a))
+                else:
+                    held.append(batch.column(2).slice(a, b - a))
+        yield from answer()
+
+    return both.repartition("task").sortWithinPartitions("task", "asks").mapInArrow(run, result)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list array and where each row's begin, and the last ends."""
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _best_k(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest, the first ones of equals; in their order."""
+    if len(score) > k:
+        least = np.partition(score, -k)[-k]
+        above = np.flatnonzero(score > least)
+        chosen = np.concatenate([above, np.flatnonzero(score == least)[: k - len(above)]])
+    else:
+        chosen = np.arange(len(score))
+    return chosen[np.lexsort((chosen, -score[chosen]))]
+
+
+def rank_sets(queries: DataFrame, chunks: DataFrame, k: int, scorer: str = "jaccard_sim", threshold: float = 0.0, ties: str = "path", block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
+    """Top k chunks of the repository's other files by a score of word sets: task_id, chunk_filepath, chunk_chunk_no, chunk_text, score, rank.
+
+    queries: task_id, repo, filepath, query; chunks: repo, filepath, chunk_no, text.
     ties: "path" (file, then chunk number) or "text_desc" (chunk text, descending).
     """
-    q = queries.withColumn("query_words", word_ids(F.col("query"))).drop("query")
-    c = chunks.withColumn("words", word_ids(F.col("text")))
-    scored = pairs(q, c, salts).withColumn("score", F.coalesce(SCORERS[scorer](F.col("query_words"), F.col("chunk_words")), F.lit(0.0))).drop("query_words", "chunk_words")
-    order = [F.desc("score"), *([F.desc("chunk_text")] if ties == "text_desc" else [F.col("chunk_filepath"), F.col("chunk_chunk_no")])]
-    return top_k(scored, k, order, threshold=threshold)
+    q = queries.select("repo", F.struct("task_id", "filepath", word_ids(F.col("query")).alias("words")).alias("q"))
+    c = chunks.select("repo", F.struct("filepath", F.col("chunk_no").cast("int").alias("chunk_no"), "text", word_ids(F.col("text")).alias("words")).alias("c"))
+    score = SET_SCORERS[scorer]
+
+    def best(block: pa.Array, asked: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
+        path, number, text = (block.field(n) for n in ("filepath", "chunk_no", "text"))
+        paths, texts = path.to_pylist(), text.to_pylist()
+        order = sorted(range(len(block)), key=lambda i: (paths[i], number[i].as_py()))
+        if ties == "text_desc":
+            order.sort(key=lambda i: texts[i] or "", reverse=True)
+        place = np.array(order)
+        values, starts = _flat(block.field("words"))
+        sizes = np.diff(starts)[place]
+        rank = np.empty(len(place), np.int64)
+        rank[place] = np.arange(len(place))
+        distinct, inverse = np.unique(values, return_inverse=True)
+        owner = np.repeat(rank, np.diff(starts))
+        postings = owner[np.argsort(inverse, kind="stable")]
+        first = np.append(0, np.cumsum(np.bincount(inverse, minlength=len(distinct))))
+        of_file: dict[str, list[int]] = {}
+        for at, i in enumerate(order):
+            of_file.setdefault(paths[i], []).append(at)
+        for some in asked:
+            words, bounds = _flat(some.field("words"))
+            rows: list[list] = [[], [], [], [], []]
+            for n, (task, own) in enumerate(zip(some.field("task_id").to_pylist(), some.field("filepath").to_pylist(), strict=True)):
+                mine = words[bounds[n] : bounds[n + 1]]
+                at = np.searchsorted(distinct, mine) if len(distinct) else np.empty(0, np.int64)
+                at = at[distinct[np.minimum(at, len(distinct) - 1)] == mine] if len(at) else at
+                found = np.concatenate([postings[first[x] : first[x + 1]] for x in at.tolist()]) if len(at) else np.empty(0, np.int64)
+                value = score(np.bincount(found, minlength=len(order)).astype(np.float64), float(len(mine)), sizes)
+                value[of_file.get(own, [])] = -1.0
+                chosen = _best_k(value, k)
+                chosen = chosen[value[chosen] >= (threshold or 0.0)]
+                which = place[chosen].tolist()
+                for column, more in zip(rows, ([task] * len(which), [paths[i] for i in which], [number[i].as_py() for i in which], [texts[i] for i in which], value[chosen].tolist()), strict=True):
+                    column += more
+            kinds = (some.field("task_id").type, path.type, pa.int32(), text.type, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["task_id", "chunk_filepath", "chunk_chunk_no", "chunk_text", "score"])
+
+    task = queries.schema["task_id"].dataType.simpleString()
+    found = in_blocks(q, c, best, f"task_id {task}, chunk_filepath string, chunk_chunk_no int, chunk_text string, score double", block, slice_rows)
+    order = [F.desc("score"), *([F.desc("chunk_text")] if ties == "text_desc" else []), F.col("chunk_filepath"), F.col("chunk_chunk_no")]
+    return top_k(found, k, order)
 
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -126,18 +242,35 @@ def with_neighbours(chunks: DataFrame) -> DataFrame:
 
 
 def files_within(queries: DataFrame, files: DataFrame, distance: int = 100, most: int = 1000) -> DataFrame:
-    """(task_id, repo, filepath, distance, place): the nearest other files of the repository, by distance, then path."""
-    near = pairs(queries.select("task_id", "repo", "filepath"), files.select("repo", "filepath")).withColumn("distance", tx.path_distance(F.col("filepath"), F.col("chunk_filepath")))
-    near = near.where(F.col("distance").between(0, distance))
-    w = Window.partitionBy("task_id").orderBy("distance", "chunk_filepath")
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("task_id", "repo", F.col("chunk_filepath").alias("filepath"), "distance", "place")
+    """(task_id, repo, filepath, distance, place): the nearest other files of the repository, by distance, then path.
+
+    Distances are between directories, and each directory orders the files near it once, for all tasks in it.
+    """
+    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
+    f = files.select("repo", "filepath").distinct().withColumn("folder", folder(F.col("filepath")))
+    asked = queries.select("task_id", "repo", F.col("filepath").alias("own"), folder(F.col("filepath")).alias("from"))
+    here, there = asked.select("repo", "from").distinct(), f.select("repo", "folder").distinct()
+    # A name behind each folder stands for its files: all are as many separators away.
+    apart = here.join(there, "repo").withColumn("distance", tx.path_distance(F.concat("from", F.lit("\x01a")), F.concat("folder", F.lit("\x01b")))).where(F.col("distance").between(0, distance))
+    order = Window.partitionBy("repo", "from").orderBy("distance", "filepath")
+    near = apart.join(f, ["repo", "folder"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1).select("repo", "from", "filepath", "distance", "place")
+    mine = asked.join(near.select("repo", "from", F.col("filepath").alias("own"), F.col("place").alias("own_place")), ["repo", "from", "own"], "left")
+    each = mine.join(near, ["repo", "from"]).where("filepath <> own")
+    place = F.col("place") - F.when(F.col("own_place") < F.col("place"), 1).otherwise(0)
+    return each.withColumn("place", place).where(F.col("place") <= most).select("task_id", "repo", "filepath", "distance", "place")
 
 
 def first_candidates(near: DataFrame, chunks: DataFrame, most: int = 1000) -> DataFrame:
-    """The first chunks in file order of each task's files, with `place`: near is of `files_within`."""
-    each = near.select("task_id", "repo", "filepath", F.col("place").alias("file_place")).join(chunks, ["repo", "filepath"])
-    w = Window.partitionBy("task_id").orderBy("file_place", "chunk_no")
-    return each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("file_place")
+    """The first chunks in file order of each task's files, with `place`: near is of `files_within`.
+
+    Counts of files are added up first; only the files that hold the first chunks meet their chunks.
+    """
+    numbered = chunks.withColumn("nth", F.row_number().over(Window.partitionBy("repo", "filepath").orderBy("chunk_no")))
+    sizes = chunks.groupBy("repo", "filepath").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("task_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    each = near.select("task_id", "repo", "filepath", "place").join(sizes, ["repo", "filepath"]).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < most)
+    placed = each.drop("place", "n").join(numbered, ["repo", "filepath"]).withColumn("place", (F.col("before") + F.col("nth")).cast("int"))
+    return placed.where(F.col("place") <= most).drop("before", "nth")
 
 
 def distinct_texts(selected: DataFrame, text: str = "text") -> DataFrame:
@@ -162,6 +295,26 @@ def context_text(selected: DataFrame, sign: Column | str = "#") -> DataFrame:
     return joined.select("task_id", F.concat(F.col("sign"), F.lit(f" {CONTEXT_HEAD}\n\n"), F.array_join(F.transform("p", lambda x: x["part"]), "")).alias("crossfile_context"))
 
 
+#: Name -> score of (query text, chunk text) columns, for given pairs; register to extend.
+SCORERS: dict[str, Callable[[Column, Column], Column]] = {
+    "jaccard_sim": lambda q, c: scores.jaccard(word_ids(q), word_ids(c)),
+    "containment": lambda q, c: scores.containment(word_ids(q), word_ids(c)),
+    "edit_similarity": scores.edit_similarity,
+    "weighted_ngram_match_score": lambda q, c: python_code.weighted_ngram_match(c, q),
+}
+#: Names that `attach_context` ranks by BM25: weight of the query's lines (none: the whole query).
+BM25 = {"bm25": None, "bm25_lines": 0, "bm25_weighted_v1": 1, "bm25_weighted_v2": 2}
+
+
+def having_context(tasks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(task_id) of the tasks whose repository has a chunk in another file, by counts of files."""
+    f = chunks.select("repo", "filepath").distinct()
+    counts = f.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    own = f.withColumn("own", F.lit(1))
+    each = tasks.select("task_id", "repo", "filepath").join(counts, "repo").join(own, ["repo", "filepath"], "left")
+    return each.where(F.col("n") > F.coalesce("own", F.lit(0))).select("task_id")
+
+
 def retrieval_status(tasks: DataFrame, files: DataFrame, contexts: DataFrame) -> DataFrame:
     """(task_id, status): project_not_found, file_not_found_in_project, no_crossfile_context or success."""
     repos = files.select("repo").distinct().withColumn("has_repo", F.lit(True))
@@ -172,8 +325,42 @@ def retrieval_status(tasks: DataFrame, files: DataFrame, contexts: DataFrame) ->
     return each.select("task_id", status.alias("status"))
 
 
-def rank_vectors(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Top k by cosine of vectors. queries: task_id, repo, vector; docs: doc_id, repo, vector; same ids are passed over."""
-    d = docs.select(F.col("doc_id"), F.col("repo").alias("doc_repo"), F.col("vector").alias("doc_vector"))
-    scored = queries.join(d, (F.col("repo") == F.col("doc_repo")) & (F.col("task_id") != F.col("doc_id"))).withColumn("score", scores.cosine(F.col("vector"), F.col("doc_vector")))
-    return top_k(scored.select("task_id", "doc_id", "score"), k, [F.desc("score"), F.col("doc_id")])
+def _unit_rows(lists: pa.Array) -> np.ndarray:
+    values, _ = _flat(lists)
+    rows = values.astype(np.float64).reshape(len(lists), -1)
+    size = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return np.divide(rows, size, out=np.full_like(rows, np.nan), where=size > 0)
+
+
+def rank_vectors(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
+    """Top k by cosine of vectors of one length: task_id, doc_id, score, rank. queries: task_id, repo, vector; docs: doc_id, repo, vector; same ids are passed over.
+
+    Unit vectors meet in blocks by matrix products; the cosines of the best are then taken row by row, so equal vectors tie, and
+    ties go to the smaller id. A zero vector's cosine is null, last in order.
+    """
+    q = queries.select("repo", F.struct("task_id", "vector").alias("q"))
+    d = docs.select("repo", F.struct("doc_id", "vector").alias("c"))
+
+    def best(held: pa.Array, asked: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
+        ids = held.field("doc_id").to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        ids, matrix = ids[order], _unit_rows(held.field("vector"))[order]
+        for whole in asked:
+            for at in range(0, len(whole), 256):
+                some = whole.slice(at, 256)
+                tasks, own = some.field("task_id"), _unit_rows(some.field("vector"))
+                rough = np.nan_to_num(own @ matrix.T, nan=-2.0)
+                rows: list[list] = [[], [], []]
+                for n, task in enumerate(tasks.to_pylist()):
+                    value = np.where(ids == task, -9.0, rough[n])
+                    least = np.partition(value, -k)[-k] if len(value) > k else -8.0
+                    able = np.flatnonzero((value >= least - 1e-9) & (value > -8.0))
+                    exact = (matrix[able] * own[n]).sum(1)
+                    chosen = _best_k(np.nan_to_num(exact, nan=-2.0), k)
+                    for column, more in zip(rows, ([task] * len(chosen), ids[able[chosen]].tolist(), exact[chosen].tolist()), strict=True):
+                        column += more
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], tasks.type), pa.array(rows[1], held.field("doc_id").type), pa.array(rows[2], pa.float64(), from_pandas=True)], names=["task_id", "doc_id", "score"])
+
+    kinds = [t.schema[n].dataType.simpleString() for t, n in ((queries, "task_id"), (docs, "doc_id"))]
+    found = in_blocks(q, d, best, f"task_id {kinds[0]}, doc_id {kinds[1]}, score double", block, slice_rows)
+    return top_k(found, k, [F.desc_nulls_last("score"), F.col("doc_id")])

@@ -48,24 +48,34 @@ def shards(rows: DataFrame, repo: str, size: int = 500) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, min_df: int = 5) -> DataFrame:
-    """(group, doc_id, term, weight): smoothed inverse document frequency ln((1 + n) / (1 + df)) + 1 in each group, rows of unit length. docs: group, doc_id, tokens."""
+    """(group, doc_id, term, weight): smoothed inverse document frequency ln((1 + n) / (1 + df)) + 1 in each group, rows of unit length. docs: group, doc_id, tokens.
+
+    Terms are counted once for each document; after the join with the few frequent terms a document's are gathered once,
+    and its length is that of the gathered array.
+    """
     n = docs.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"))
     tf = docs.select("group", "doc_id", F.explode("tokens").alias("term")).groupBy("group", "doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    df = tf.groupBy("group", "term").agg(F.count(F.lit(1)).cast("double").alias("df")).where(F.col("df") >= min_df)
-    raw = tf.join(df, ["group", "term"]).join(n, "group").withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy("group", "doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, ["group", "doc_id"]).select("group", "doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    df = docs.select("group", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("group", "term").agg(F.count(F.lit(1)).cast("double").alias("df")).where(F.col("df") >= min_df)
+    idf = df.join(n, "group").select("group", "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(idf, ["group", "term"]).groupBy("group", "doc_id").agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("raw"))).alias("terms"))
+    length = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["raw"] * t["raw"]))
+    return raw.withColumn("length", length).select("group", "doc_id", "length", F.inline("terms")).select("group", "doc_id", "term", (F.col("raw") / F.col("length")).alias("weight"))
 
 
-def poisson_windows(chunks: DataFrame, key: Column, mean: float = 3.0, seed: int = 42) -> DataFrame:
-    """chunks (lines) with n_lines and offset: max(1, Poisson(mean)) lines, at most all, from a uniform start."""
-    unit = lambda salt: bucket(F.concat(key, F.lit(f"/{salt}")), seed, 1_000_000).cast("double") / 1e6
-    cumulative, total, p = [], 0.0, math.exp(-mean)
+def poisson_steps(mean: float) -> list[float]:
+    """The Poisson distribution's sums up to 0, 1, ..., 39."""
+    steps, total, p = [], 0.0, math.exp(-mean)
     for k in range(40):
         total += p
-        cumulative.append(total)
+        steps.append(total)
         p *= mean / (k + 1)
-    drawn = F.size(F.filter(F.array(*map(F.lit, cumulative)), lambda c: c <= unit("n")))
+    return steps
+
+
+def poisson_windows(chunks: DataFrame, key: Column, mean: float = 3.0, seed: int = 42) -> DataFrame:
+    """chunks (lines) with n_lines and offset: max(1, Poisson(mean)) lines, at most all, from a uniform start."""
+    unit = lambda salt: bucket(F.concat(key, F.lit(f"/{salt}")), seed, 1_000_000).cast("double") / 1e6
+    drawn = F.size(F.filter(F.array(*map(F.lit, poisson_steps(mean))), lambda c: c <= unit("n")))
     n = F.least(F.greatest(drawn, F.lit(1)), F.size("lines"))
     return chunks.withColumn("n_lines", n).withColumn("offset", F.floor(unit("at") * (F.size("lines") - F.col("n_lines") + 1)).cast("int"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import scores
 from loomspan.functions import text as tx
-from loomspan.operators import chunking, evaluation, labels, queries, retrieval, sampling
+from loomspan.operators import chunking, evaluation, generation, labels, queries, retrieval, sampling
 
 #: Experiment -> model type.
 MODEL_TYPES = {"baseline": "codelm", "rg1": "codelm_cfc", "oracle": "codelm_cfc", "repocoder": "codelm_cfc", "lrcontext": "codelm_leftright_context"}
@@ -27,7 +27,7 @@ PROMPTS = {
 #: Retrieval settings by task: window, stride, query lines, top k.
 RETRIEVAL = {"line": (10, 5, 10, 10), "api": (10, 5, 10, 10), "function": (20, 10, 20, 5)}
 #: Retrieval thresholds by task.
-THRESHOLDS = {"line": 0.2, "api": 0.2, "cceval": 0.2, "function": 0.15}
+THRESHOLDS = {"line": 0.2, "api": 0.2, "multilingual": 0.2, "function": 0.15}
 GENERATED = {"line": 50, "api": 50, "function": 256}
 
 
@@ -54,20 +54,21 @@ def sweeps() -> list[dict]:
     return [{"ranking": r, "task": t, "query_type": q} for r, t, q in product(("jaccard_sim", "weighted_ngram_match_score", "cosine_similarity"), ("line", "api", "function"), ("last_n_lines", "groundtruth"))]
 
 
-def attach_context(tasks: DataFrame, files: DataFrame, task: str = "line", query_type: str = "last_n_lines", scorer: str = "jaccard_sim", most_chunks: int = 1000, salts: int = 1) -> DataFrame:
+def attach_context(tasks: DataFrame, files: DataFrame, task: str = "line", query_type: str = "last_n_lines", scorer: str = "jaccard_sim", most_chunks: int = 1000, encode=None) -> DataFrame:
     """tasks (task_id, repo, filepath, prompt, groundtruth, right_context[, pred]) with crossfile_context.
 
     Files of the repository by path distance, their first chunks, scores, top k, neighbours, distinct texts, text.
+    `scorer`: a name of retrieval.SCORERS or BM25, or cosine_similarity, for which `encode` loads a function from texts to vectors.
     """
     window, stride, length, k = RETRIEVAL[task]
     chunks = retrieval.with_neighbours(chunking.windows(files.select("repo", "filepath", tx.nonblank_lines(F.col("content")).alias("lines")), window, stride))
     pred = F.col("pred") if "pred" in tasks.columns else F.lit(None).cast("string")
     query = queries.build_query(query_type, F.col("prompt"), F.col("groundtruth"), F.col("right_context"), pred, length)
     near = retrieval.files_within(tasks, files, most=1000)
-    candidates = retrieval.first_candidates(near, chunks.withColumn("words", retrieval.word_ids(F.col("text"))), most_chunks)
-    asked = tasks.select("task_id", retrieval.word_ids(query).alias("query_words"))
-    scored = candidates.join(asked, "task_id").withColumn("score", F.coalesce(retrieval.SCORERS[scorer](F.col("query_words"), F.col("words")), F.lit(0.0)))
-    best = retrieval.top_k(scored.drop("words", "query_words"), k, [F.desc("score"), F.desc("text"), F.desc("filepath"), F.col("chunk_no")])
+    candidates = retrieval.first_candidates(near, chunks, most_chunks)
+    asked = tasks.select("task_id", query.alias("query"))
+    scored = _scored(candidates, asked, scorer, encode)
+    best = retrieval.top_k(scored, k, [F.desc("score"), F.desc("text"), F.desc("filepath"), F.col("chunk_no")])
     shown = {"same": "text", "next": "next_text", "previous": "previous_text"}[queries.neighbour_mode(query_type)]
     chosen = best.select("task_id", "rank", "filepath", F.col(shown).alias("text"))
     if shown != "text":
@@ -75,6 +76,27 @@ def attach_context(tasks: DataFrame, files: DataFrame, task: str = "line", query
     return tasks.join(retrieval.context_text(chosen), "task_id", "left").withColumn("crossfile_context", F.coalesce("crossfile_context", F.lit("")))
 
 
+def _scored(candidates: DataFrame, asked: DataFrame, scorer: str, encode) -> DataFrame:
+    """candidates (task_id, filepath, chunk_no, text) with the score against asked (task_id, query); 0 where there is none."""
+    if scorer in retrieval.BM25:
+        lines = tx.nonblank_lines(F.col("query"))
+        version = retrieval.BM25[scorer]
+        weights = F.array_repeat(F.lit(1.0), F.size(lines)) if not version else scores.line_weights(F.size(lines), F.lit(0), version)
+        lined = asked.select("task_id", F.explode(F.arrays_zip(lines.alias("line"), weights.alias("weight"))).alias("x")).where("x.line IS NOT NULL")
+        terms = lined.select("task_id", F.explode(tx.word_tokens(F.col("x.line"))).alias("term"), F.col("x.weight").alias("weight"))
+        chunk = F.struct("filepath", "chunk_no").alias("chunk_id")
+        found = retrieval.bm25(candidates.select("task_id", chunk, tx.word_tokens(F.col("text")).alias("tokens")), terms)
+        return candidates.join(found.select("task_id", "chunk_id.*", "score"), ["task_id", "filepath", "chunk_no"])
+    if scorer == "cosine_similarity":
+        texts = candidates.select("text").unionByName(asked.select(F.col("query").alias("text"))).distinct()
+        vectors = generation.encoded(texts, encode)
+        left = candidates.join(vectors.withColumnRenamed("vector", "chunk_vector"), "text")
+        right = asked.join(vectors.select(F.col("text").alias("query"), F.col("vector").alias("query_vector")), "query")
+        both = left.join(right, "task_id").withColumn("score", F.coalesce(scores.cosine(F.col("query_vector"), F.col("chunk_vector")), F.lit(0.0)))
+        return both.drop("query", "query_vector", "chunk_vector")
+    return candidates.join(asked, "task_id").withColumn("score", F.coalesce(retrieval.SCORERS[scorer](F.col("query"), F.col("text")), F.lit(0.0))).drop("query")
+
+
 def training_examples(files: DataFrame, oracle: bool = False, k: int = 3, mean: float = 3.0, seed: int = 42, language: str = "python") -> DataFrame:
     """Sampled holes with contexts from files (repo, filepath, lines): chunks of 10 lines, of them a hash sample, a few lines of each, and the best chunks of ten times as many lines from other files."""
     base = chunking.windows(files, 10, 10).withColumn("key", F.concat_ws("|", "filepath", "start_i"))
@@ -100,7 +122,7 @@ def evaluate(preds: DataFrame, truths: DataFrame, language: str | None = None) -
     rows = evaluation.with_truth(preds, truths)
     rows = rows.withColumn("pred", evaluation.truncated(F.col("pred"), F.col("target")))
     per_row = evaluation.detail(rows).join(evaluation.id_detail(rows, language), "task_id")
-    return per_row, evaluation.summary(per_row, {"em": "em", "es_repoeval": "es_repoeval", "id_em": "id_em", "id_precision": "id_precision", "id_recall": "id_recall", "id_f1": "id_f1"})
+    return per_row, evaluation.summary(per_row.withColumn("es", F.col("es") / 100), {"em": "em", "es": "es", "es_distance": "es_distance", "id_em": "id_em", "id_precision": "id_precision", "id_recall": "id_recall", "id_f1": "id_f1"})
 
 
 def label(tasks: DataFrame, baseline: DataFrame, augmented: DataFrame) -> DataFrame:

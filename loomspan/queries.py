@@ -137,14 +137,16 @@ def chunk_multi_config(spark, sf_dir):
 @register(
     "function_chunks",
     f"""WITH {_FILES}, raw AS (SELECT filepath, string_split(coalesce(content, ''), chr(10)) AS ls FROM files),
-cut AS (SELECT filepath, ls[2:least(len(ls), 30)] AS body FROM raw)
-SELECT filepath, 1 AS start_i, CAST(len(body) + 1 AS INTEGER) AS end_i, array_to_string(body, chr(10)) AS text FROM cut
+heads AS (SELECT filepath, ls, unnest(range(0, len(ls), 31)) AS h FROM raw),
+cut AS (SELECT filepath, h, ls[h + 2:least(len(ls), h + 31)] AS body FROM heads)
+SELECT filepath, CAST(h + 1 AS INTEGER) AS start_i, CAST(h + len(body) + 1 AS INTEGER) AS end_i, array_to_string(body, chr(10)) AS text FROM cut
 WHERE len(body) BETWEEN 3 AND 30 AND regexp_matches(array_to_string(body, chr(10)), '\\S')""",
 )
 def function_chunks(spark, sf_dir):
-    """Each document as one function whose head is its first line and whose body ends with the 30th line at most."""
+    """Each document as functions of 31 lines, the last one shorter, whose heads are their first lines."""
     f = files(spark, sf_dir).select("filepath", tx.lines(F.col("content")).alias("lines"))
-    spans = F.array(F.struct(F.lit(0).alias("start_row"), (F.least(F.size("lines"), F.lit(30)) - 1).alias("end_row")))
+    span = lambda h: F.struct(h.alias("start_row"), (F.least(F.size("lines"), h + 31) - 1).alias("end_row"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(31)), span)
     return chunking.function_chunks(f.withColumn("spans", spans)).select("filepath", "start_i", "end_i", "text")
 
 
@@ -271,25 +273,32 @@ def containment_topk(spark, sf_dir):
     return retrieval.rank_sets(_asked(spark, sf_dir), _chunks(spark, sf_dir), 3, "containment").select("task_id", "chunk_filepath", "chunk_chunk_no", "score", "rank")
 
 
-def _bm25_rank(spark, sf_dir, version: int) -> DataFrame:
-    """Version 0 weighs all lines alike; 1 and 2 by the distance to the hole."""
+def _bm25_rank(spark, sf_dir, version: int | None) -> DataFrame:
+    """Version 0 weighs all lines alike; 1 and 2 by the distance to the hole; None takes the whole query's words."""
+    chunks = _chunks(spark, sf_dir).withColumn("tokens", tx.word_tokens(F.col("text"))).drop("text")
+    shown = lambda found: found.select("task_id", F.col("filepath").alias("chunk_filepath"), F.col("chunk_no").alias("chunk_chunk_no"), "score", "rank")
+    if version is None:
+        whole = _asked(spark, sf_dir)
+        terms = whole.select("task_id", F.explode(tx.word_tokens(F.col("query"))).alias("term"), F.lit(1.0).alias("weight"))
+        return shown(retrieval.rank_bm25(terms, whole.select("task_id", "repo", "filepath"), chunks, 3))
     asked = tasks(spark, sf_dir).select("task_id", "repo", "filepath", tx.tail(tx.nonblank_lines(F.col("prompt")), 5).alias("l"), tx.head(tx.nonblank_lines(F.col("right_context")), 5).alias("r"))
     weights = scores.line_weights(F.size("l"), F.size("r"), version) if version else F.array_repeat(F.lit(1.0), 10)
     lined = asked.select("task_id", F.explode(F.arrays_zip(F.concat("l", "r").alias("line"), weights.alias("weight"))).alias("x")).where("x.line IS NOT NULL AND x.weight IS NOT NULL")
     terms = lined.select("task_id", F.explode(tx.word_tokens(F.col("x.line"))).alias("term"), F.col("x.weight").alias("weight"))
-    chunks = _chunks(spark, sf_dir).withColumn("tokens", tx.word_tokens(F.col("text"))).drop("text")
-    found = retrieval.rank_bm25(terms, asked.select("task_id", "repo", "filepath"), chunks, 3)
-    return found.select("task_id", F.col("filepath").alias("chunk_filepath"), F.col("chunk_no").alias("chunk_chunk_no"), "score", "rank")
+    return shown(retrieval.rank_bm25(terms, asked.select("task_id", "repo", "filepath"), chunks, 3))
 
 
-def _bm25_sql(version: int) -> str:
-    fall = {0: "1", 1: "CAST(1 AS DOUBLE) / (d + 1)", 2: "exp(-CAST(d AS DOUBLE))"}[version]
+def _bm25_sql(version: int | None) -> str:
+    fall = {None: "1", 0: "1", 1: "CAST(1 AS DOUBLE) / (d + 1)", 2: "exp(-CAST(d AS DOUBLE))"}[version]
+    words = f"SELECT task_id, d, unnest({_WORDS.format('line')}) AS term FROM weighed"
+    if version is None:
+        words = f"SELECT task_id, unnest({_WORDS.format('array_to_string(' + _QUERY_SQL['last_n_lines'] + ', chr(10))')}) AS term FROM tasks"
     return f"""WITH {_TASKS}, {_windows_sql(10, 5)},
 q AS (SELECT task_id, repo, filepath, {_NB.format("prompt")}[-5:] AS l, {_NB.format("right_context")}[1:5] AS r FROM tasks),
 side AS (SELECT task_id, unnest(l) AS line, unnest(range(len(l))) + 1 AS place, greatest(len(l), 1) AS nl FROM q
   UNION ALL SELECT task_id, unnest(r), len(l) + unnest(range(len(r))) + 1, greatest(len(l), 1) FROM q),
 weighed AS (SELECT task_id, line, CASE WHEN place <= nl THEN nl - place ELSE place - nl - 1 END AS d FROM side),
-terms AS (SELECT task_id, term, sum(CAST({fall} AS DOUBLE)) AS weight FROM (SELECT task_id, d, unnest({_WORDS.format("line")}) AS term FROM weighed) GROUP BY ALL),
+terms AS (SELECT task_id, term, sum(CAST({fall} AS DOUBLE)) AS weight FROM ({words}) GROUP BY ALL),
 c AS (SELECT repo, filepath, chunk_no, {_WORDS.format("text")} AS tokens FROM chunks),
 cand AS (SELECT q.task_id, c.filepath AS chunk_filepath, c.chunk_no AS chunk_chunk_no, tokens, CAST(len(tokens) AS DOUBLE) AS len FROM q JOIN c ON q.repo = c.repo AND q.filepath <> c.filepath),
 per AS (SELECT task_id, CAST(count(*) AS DOUBLE) AS n, avg(len) AS avg_len FROM cand GROUP BY task_id),
@@ -304,13 +313,13 @@ SELECT task_id, chunk_filepath, chunk_chunk_no, score, CAST(row_number() OVER (P
 FROM s QUALIFY rank <= 3"""
 
 
-def _register_bm25(name: str, version: int) -> None:
+def _register_bm25(name: str, version: int | None) -> None:
     @register(name, _bm25_sql(version))
     def run(spark, sf_dir):
         return _bm25_rank(spark, sf_dir, version)
 
 
-for _n, _v in (("bm25_lines", 0), ("bm25_w1", 1), ("bm25_w2", 2)):
+for _n, _v in (("bm25_topk", None), ("bm25_lines", 0), ("bm25_w1", 1), ("bm25_w2", 2)):
     _register_bm25(_n, _v)
 
 
@@ -337,13 +346,14 @@ def prev_chunk(spark, sf_dir):
 
 @register(
     "path_distance",
-    """WITH p AS (SELECT page_id, string_split(url, '/') AS a, lead(string_split(url, '/')) OVER (ORDER BY page_id) AS b FROM pages),
+    """WITH p AS (SELECT a.page_id, string_split(a.url, '/') AS a, string_split(b.url, '/') AS b FROM pages a JOIN pages b ON b.page_id = a.page_id + 1),
 c AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[1:k] = b[1:k])) AS n FROM p WHERE b IS NOT NULL)
 SELECT page_id, CAST(greatest(len(a) - n - 1, 0) + greatest(len(b) - n - 1, 0) AS INTEGER) AS distance FROM c""",
 )
 def path_distance(spark, sf_dir):
+    """Each page's url against that of the next id."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    nxt = p.withColumn("other", F.lead("url").over(Window.orderBy("page_id"))).where("other IS NOT NULL")
+    nxt = p.join(p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other")), "page_id")
     return nxt.select("page_id", tx.path_distance(F.col("url"), F.col("other")).alias("distance"))
 
 
@@ -400,7 +410,7 @@ SELECT task_id, CASE WHEN repo = 'none' THEN 'project_not_found' WHEN filepath =
 def retrieval_status(spark, sf_dir):
     """Some tasks name a repository or a file that doesn't exist."""
     odd = tasks(spark, sf_dir).withColumns({"repo": F.when(F.col("doc_id") % 7 == 0, "none").otherwise(F.col("repo")), "filepath": F.when(F.col("doc_id") % 5 == 0, "none").otherwise(F.col("filepath"))})
-    with_context = retrieval.pairs(tasks(spark, sf_dir).select("task_id", "repo", "filepath"), _chunks(spark, sf_dir).select("repo", "filepath").distinct()).select("task_id")
+    with_context = retrieval.having_context(tasks(spark, sf_dir), _chunks(spark, sf_dir))
     return retrieval.retrieval_status(odd, files(spark, sf_dir), with_context)
 
 
@@ -409,9 +419,16 @@ def status_counts(spark, sf_dir):
     return evaluation.status_counts(retrieval_status(spark, sf_dir))
 
 
-@register("repository_url", "SELECT DISTINCT source AS repo, CAST(NULL AS VARCHAR) AS url FROM documents")
+_LISTED = "SELECT DISTINCT lang || '_' || source AS repo FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0"
+
+
+@register("repository_url", f"SELECT DISTINCT lang || '--' || source AS repo, CASE WHEN lang || '_' || source IN ({_LISTED}) THEN 'https://github.com/' || lang || '/' || source END AS url FROM documents")
 def repository_url(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct().withColumn("url", benchmark.repository_url(benchmark.canonical_repository(F.col("repo"))))
+    """Repositories by language and source as owner and name; those with a good document are listed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id"), "doc_id").select(F.concat_ws("_", "lang", "source").alias("repo"))
+    named = docs.select(F.concat_ws("--", "lang", "source").alias("repo")).distinct().withColumn("name", benchmark.canonical_repository(F.col("repo")))
+    return benchmark.with_urls(named, good, "name").select("repo", "url")
 
 
 @register("task_numbers", f"WITH {_TASKS} SELECT task_id, repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY task_id) - 1 AS INTEGER) AS number FROM tasks")
@@ -421,21 +438,17 @@ def task_numbers(spark, sf_dir):
 
 # ---- predictions and labels ------------------------------------------------------------------------------------------
 
-_FOLD = r"trim(regexp_replace({0}, '[^\x20-\x7E]', '', 'g'))"
-
-
-def _folded(spark, sf_dir) -> DataFrame:
-    """Turn pairs in plain ASCII, where both engines measure distances in the same units."""
-    plain = lambda c: F.trim(F.regexp_replace(c, r"[^\x20-\x7E]", ""))
-    return turns(spark, sf_dir).select("task_id", plain("pred").alias("pred"), plain("target").alias("target"))
-
+#: The other engine measures distances in bytes: there each letter beyond ASCII stands for an unused control character, one to one.
+_LETTERS = "ÁÄÇÈÉÊÍÑÓÖÚÜßáäçèéêíñóöúü"
+_CONTROLS = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 31)][: len(_LETTERS)])
+_FOLD = rf"translate(regexp_replace({{0}}, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), '{_LETTERS}', {_CONTROLS})"
 
 _ES = f"""{_TURNS}, es AS (SELECT task_id, CASE WHEN greatest(length(p), length(t)) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(p, t) / greatest(length(p), length(t))::DOUBLE END AS es
 FROM (SELECT task_id, {_FOLD.format("pred")} AS p, {_FOLD.format("target")} AS t FROM turns))"""
 
 
 def _es(spark, sf_dir) -> DataFrame:
-    return _folded(spark, sf_dir).select("task_id", scores.edit_similarity(F.col("pred"), F.col("target")).alias("es"))
+    return turns(spark, sf_dir).select("task_id", scores.edit_similarity(tx.strip(F.col("pred")), tx.strip(F.col("target"))).alias("es"))
 
 
 @register("edit_sim", f"WITH {_ES} SELECT task_id, round(es, 6) AS es FROM es")
@@ -448,7 +461,7 @@ def edit_sim_summary(spark, sf_dir):
     return evaluation.summary(_es(spark, sf_dir), {"es": "es"}).withColumn("es", F.round("es", 6))
 
 
-_CODE = r"list_filter(string_split(translate(regexp_replace(regexp_replace(regexp_replace({0}, '([^A-Za-z0-9_])', ' \1 ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '\s+', ' ', 'g'), '\"''', '``'), ' '), lambda x: x <> '')"
+_CODE = "list_transform(regexp_extract_all({0}, '" + tx.CODE_TOKEN.replace("{", "{{").replace("}", "}}") + """'), lambda x: CASE WHEN x IN ('"', '''') THEN '`' ELSE x END)"""
 
 
 @register("code_tokens", f"""SELECT page_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT page_id, {_CODE.format("html")} AS t FROM pages)""")
@@ -476,7 +489,7 @@ def strip_comments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.strip_comments(F.col("html")).alias("code"), tx.strip_hash_comments(F.col("html")).alias("hash_only"))
 
 
-_STRINGS = r"""regexp_replace({0}, '"([^"\\]*(\\.[^"\\]*)*)"|''([^''\\]*(\\.[^''\\]*)*)''', '', 'g')"""
+_STRINGS = r"""regexp_replace({0}, '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''', '', 'g')"""
 _KEYS = ", ".join(f"'{k}'" for k in tx.KEYWORDS["java"])
 
 
@@ -490,7 +503,17 @@ def identifiers(spark, sf_dir):
     return i.select("page_id", F.size("i").alias("n_ids"), F.array_join("i", " ").alias("ids"))
 
 
-@register("identifier_parts")
+_PART = tx.NAME_PART.replace("'", "''")
+
+
+@register(
+    "identifier_parts",
+    f"""WITH w AS (SELECT page_id, list_filter({_WORDS.format(_STRINGS.format("html"))}, lambda x: regexp_matches(x, '^[_a-zA-Z]')) AS names FROM pages),
+n AS (SELECT page_id, unnest(names) AS name, CAST(unnest(range(len(names))) AS INTEGER) AS pos FROM w),
+p AS (SELECT *, regexp_extract_all(regexp_replace(name, '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '{_PART}') AS parts FROM n)
+SELECT page_id, pos, CASE WHEN len(parts) = 0 THEN name ELSE lower(array_to_string(parts, ' ')) END AS parts,
+CASE WHEN len(parts) = 0 THEN name WHEN contains(name, '_') THEN array_to_string(string_split(name, '_'), ' _ ') ELSE array_to_string(parts, ' ') END AS cased FROM p""",
+)
 def identifier_parts(spark, sf_dir):
     w = table(spark, sf_dir, "pages").select("page_id", F.posexplode(tx.identifiers(F.col("html"))).alias("pos", "name"))
     return w.select("page_id", "pos", F.array_join(tx.identifier_parts(F.col("name")), " ").alias("parts"), F.array_join(tx.identifier_parts_keeping_case(F.col("name")), " ").alias("cased"))
@@ -530,15 +553,14 @@ def truncate_pred(spark, sf_dir):
 
 
 _SCORED = f"""{_ES}, first AS (SELECT task_id, CASE WHEN greatest(length(p), length(t)) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(p, t) / greatest(length(p), length(t))::DOUBLE END AS es
-FROM (SELECT task_id, {_FOLD.format("split_part(pred, chr(10), 1)")} AS p, {_FOLD.format("split_part(target, chr(10), 1)")} AS t FROM turns)),
+FROM (SELECT task_id, {_FOLD.format("array_to_string(" + _NB.format("pred") + "[1:len(" + _NB.format("target") + ")], chr(10))")} AS p, {_FOLD.format("target")} AS t FROM turns)),
 joined AS (SELECT turns.*, es.es AS es_infile, first.es AS es_rg1 FROM turns JOIN es USING (task_id) JOIN first USING (task_id))"""
 
 
 def _two_scores(spark, sf_dir) -> DataFrame:
-    plain = lambda c: F.trim(F.regexp_replace(c, r"[^\x20-\x7E]", ""))
-    one = lambda c: F.get(F.split(c, "\n"), F.lit(0))
+    """Whole turns for the baseline; for the other score the prediction cut to the target's lines."""
     t = turns(spark, sf_dir)
-    first = t.select("task_id", scores.edit_similarity(plain(one("pred")), plain(one("target"))).alias("es"))
+    first = t.select("task_id", scores.edit_similarity(tx.strip(evaluation.truncated(F.col("pred"), F.col("target"))), tx.strip(F.col("target"))).alias("es"))
     return labels.score_join(t, _es(spark, sf_dir), first)
 
 
@@ -636,7 +658,16 @@ def cluster_sample(spark, sf_dir):
     return sampling.one_per_cluster(rows, ["repo", "cluster"], F.col("key")).select("repo", "cluster", "key")
 
 
-@register("poisson_windows")
+_UNIT = "(CAST('0x' || substr(md5(key || '/{0}' || '|42'), 1, 8) AS BIGINT) % 1000000)::DOUBLE / 1000000::DOUBLE"
+_STEPS = "[" + ", ".join(f"{c!r}::DOUBLE" for c in sampling.poisson_steps(3.0)) + "]"
+
+
+@register(
+    "poisson_windows",
+    f"""WITH {_FILES}, {_windows_sql(10, 10)}, k AS (SELECT repo, filepath || '|' || start_i AS key, len(string_split(text, chr(10))) AS size FROM chunks),
+n AS (SELECT *, least(greatest(len(list_filter({_STEPS}, lambda c: c <= {_UNIT.format('n')})), 1), size) AS n_lines FROM k)
+SELECT repo, key, CAST(n_lines AS INTEGER) AS n_lines, CAST(floor({_UNIT.format('at')} * (size - n_lines + 1)) AS INTEGER) AS "offset" FROM n""",
+)
 def poisson_windows(spark, sf_dir):
     rows = _sampled(spark, sf_dir).select("repo", "key", F.split("text", "\n").alias("lines"))
     return sampling.poisson_windows(rows, F.col("key")).select("repo", "key", "n_lines", "offset")
@@ -693,6 +724,25 @@ def train_layout(spark, sf_dir):
     return _sequences(spark, sf_dir).select("task_id", F.array_join("token_ids", " ").alias("ids"))
 
 
+_KIND_SQL = {
+    "clm": "list_concat(lc, list_concat(tgt, rc))",
+    "fim": "list_concat([1], list_concat(lc, list_concat([3], list_concat(rc, list_concat([2], tgt)))))",
+    "cfc_positive": "list_concat([1], list_concat(lc, list_concat([3], list_concat(rc, list_concat([2, 10], list_concat(cfc, list_concat([11], tgt)))))))",
+    "cfc_negative": "list_concat([1], list_concat(lc, list_concat([3], list_concat(rc, list_concat([2], tgt)))))",
+    "cfc_negative_end": "list_concat([1], list_concat(lc, list_concat([3], list_concat(rc, list_concat([2, 11], tgt)))))",
+}
+
+
+def _register_layout(kind: str) -> None:
+    @register(f"train_layout_{kind}", f"WITH {_TOK} SELECT task_id, {_JOINED.format(_KIND_SQL[kind])} AS ids FROM tok")
+    def run(spark, sf_dir):
+        laid = tk.layout(F.lit(kind), F.col("lc"), F.col("rc"), F.col("tgt"), F.col("cfc"), IDS)
+        return task_tokens(spark, sf_dir).select("task_id", F.array_join(laid, " ").alias("ids"))
+
+
+for _k in _KIND_SQL:
+    _register_layout(_k)
+
 _LBL = _SEQ + ", lbl AS (SELECT task_id, list_transform(ids[2:], lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS l FROM ok)"
 
 
@@ -706,7 +756,11 @@ def label_mask_cfc(spark, sf_dir):
     return _sequences(spark, sf_dir).select("task_id", F.array_join(tk.retrieval_labels(F.col("token_ids"), PAD, IDS["end_rc"], True), " ").alias("labels"))
 
 
-@register("label_mask_single")
+@register(
+    "label_mask_single",
+    f"""WITH {_LBL}, p AS (SELECT task_id, l, coalesce(list_position(l, 11), 0) AS e, coalesce(list_position(l, 10), 0) AS s, coalesce(list_position(l, 2), 0) AS m FROM lbl)
+SELECT task_id, {_JOINED.format('list_transform(l, lambda x, i: CASE WHEN m = 0 OR ((CASE WHEN s > 0 THEN (e > 0 AND i >= e AND x <> 11) OR x = 10 ELSE i >= m END) AND x <> 2) THEN x ELSE -100 END)')} AS labels FROM p""",
+)
 def label_mask_single(spark, sf_dir):
     return _sequences(spark, sf_dir).select("task_id", F.array_join(tk.single_loss_labels(F.col("token_ids"), PAD, IDS["fim_middle"], IDS["cfc_info"], IDS["end_rc"]), " ").alias("labels"))
 
@@ -849,27 +903,36 @@ def fuzz_ratio(spark, sf_dir):
     return turns(spark, sf_dir).select("task_id", python_code.fuzz_ratio("pred", "target").alias("es"))
 
 
+def _as_code(text, indent: str = ""):
+    """A text as code: each non-blank line's words as a chain of assignments. Lines with a numeral or a keyword in it don't parse."""
+    return F.array_join(F.transform(tx.nonblank_lines(text), lambda x: F.concat(F.lit(indent), F.array_join(tx.word_tokens(x), " = "))), "\n")
+
+
 @register("valid_prefix")
 def valid_prefix(spark, sf_dir):
-    return turns(spark, sf_dir).select("task_id", python_code.valid_prefix(F.lit(""), F.get(F.split("pred", "\n"), F.lit(0))).alias("v")).select("task_id", "v.*")
+    return turns(spark, sf_dir).select("task_id", python_code.valid_prefix(F.lit(""), _as_code(F.col("pred"))).alias("v")).select("task_id", "v.*")
 
 
 @register("function_body")
 def function_body(spark, sf_dir):
-    code = F.concat(F.lit("def f():\n    x = 1\n    return x\n\n# "), F.regexp_replace("text", "\n", "\n# "))
+    """Each non-blank line of a document as a function of its own; a document with a line that doesn't parse has no bodies."""
+    code = F.array_join(F.transform(tx.nonblank_lines(F.col("text")), lambda x, k: F.concat(F.lit("def f"), k.cast("string"), F.lit("():\n    "), F.array_join(tx.word_tokens(x), " = "))), "\n")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(python_code.function_bodies(code), "\n").alias("bodies"))
 
 
 @register("function_example")
 def function_example(spark, sf_dir):
-    pred = F.concat(F.lit("x = 1\n    return x\n# "), F.get(F.split("pred", "\n"), F.lit(0)))
-    return turns(spark, sf_dir).select("task_id", python_code.function_example(F.lit("def f():\n    "), pred, F.lit("return 2\n")).alias("e")).select("task_id", "e.*")
+    """Turns as bodies of a function that the prompt begins, with a statement outside it after them."""
+    body = lambda c: F.concat(F.ltrim(_as_code(F.col(c), "    ")), F.lit("\nprint(f)\n"))
+    return turns(spark, sf_dir).select("task_id", python_code.function_example(F.lit("def f():\n    "), body("pred"), body("target")).alias("e")).select("task_id", "e.*")
 
 
 @register("python_statement")
 def python_statement(spark, sf_dir):
-    code = F.concat(F.lit("x = 1\n"), F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", python_code.statement(F.lit(""), code, F.lit("python")).alias("statement"))
+    """A document's words as a list over several lines, then its lines as code: the first statement ends with the list, unless a word is no name."""
+    words = lambda x: F.array_join(tx.word_tokens(x), ",\n")
+    code = F.concat(F.lit("["), words(F.coalesce(F.get(tx.nonblank_lines(F.col("text")), F.lit(0)), F.lit(""))), F.lit("]\n"), _as_code(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", python_code.statement(F.lit("v = "), code, F.lit("python")).alias("statement"))
 
 
 @register("ngram_match")
@@ -881,14 +944,26 @@ def _token_vectors(column: str):
     return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col(column), i * 8 + 1, 8))
 
 
-@register("maxsim")
+_ROWS8 = "[{0}[1:8], {0}[9:16], {0}[17:24], {0}[25:32], {0}[33:40], {0}[41:48], {0}[49:56], {0}[57:64]]"
+
+
+@register(
+    "maxsim",
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+t AS (SELECT vec_id, {_ROWS8.format('a')} AS q, {_ROWS8.format('b')} AS d FROM e WHERE b IS NOT NULL)
+SELECT vec_id, round(list_sum(list_transform(q, lambda x: list_max(list_transform(d, lambda y: list_cosine_similarity(x, y))))) / 8, 6) AS score FROM t""",
+)
 def maxsim(spark, sf_dir):
     """Each vector as eight token vectors, against the next vector of its label."""
     e = table(spark, sf_dir, "embeddings").withColumn("other", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("other IS NOT NULL")
     return e.select("vec_id", F.round(scores.max_similarity(_token_vectors("embedding"), _token_vectors("other")), 6).alias("score"))
 
 
-@register("masked_mean")
+@register(
+    "masked_mean",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, least(label, 8) AS n, unnest(range(8)) AS p FROM embeddings)
+SELECT vec_id, CAST(p AS INTEGER) AS pos, round(coalesce(list_sum(list_transform(range(n), lambda i: x[i * 8 + p + 1])), 0) / greatest(n, 1e-9), 6) AS value FROM e""",
+)
 def masked_mean(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", scores.masked_mean(_token_vectors("embedding"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i < F.col("label")).cast("int"))).alias("v"))
     return e.select("vec_id", F.posexplode("v").alias("pos", "value")).withColumn("value", F.round("value", 6))

@@ -11,12 +11,12 @@ SCHEMA = "task_id STRING, pred STRING, done_at TIMESTAMP"
 
 
 def scored(spark: SparkSession, folder: str, truths: DataFrame) -> DataFrame:
-    """A stream of (task_id, done_at, em, es_repoeval) from JSON files of a folder, joined to a static table of truths."""
+    """A stream of (task_id, done_at, em, es_distance) from JSON files of a folder, joined to a static table of truths."""
     rows = spark.readStream.schema(SCHEMA).json(folder).join(truths, "task_id")
     detail = evaluation.detail(rows.withColumn("pred", evaluation.truncated(F.col("pred"), F.col("target"))).withColumn("task_id", F.struct("task_id", "done_at")))
-    return detail.select("task_id.task_id", "task_id.done_at", "em", "es_repoeval")
+    return detail.select("task_id.task_id", "task_id.done_at", "em", "es_distance")
 
 
 def windowed(rows: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Means by window; rows later than the watermark don't count."""
-    return rows.withWatermark("done_at", late).groupBy(F.window("done_at", window).alias("w")).agg(F.avg("em").alias("em"), F.avg("es_repoeval").alias("es_repoeval"), F.count(F.lit(1)).alias("n"))
+    return rows.withWatermark("done_at", late).groupBy(F.window("done_at", window).alias("w")).agg(F.avg("em").alias("em"), F.avg("es_distance").alias("es_distance"), F.count(F.lit(1)).alias("n"))

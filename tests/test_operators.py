@@ -52,12 +52,12 @@ def test_bm25_against_the_formula(spark):
         assert got[k] == pytest.approx(want)
 
 
-def test_ties_threshold_and_salts(spark):
+def test_ties_threshold_and_blocks(spark):
     q = spark.createDataFrame([("t", "r", "own", "a b")], "task_id string, repo string, filepath string, query string")
     c = spark.createDataFrame([("r", "f1", 0, "a b"), ("r", "f2", 0, "b a"), ("r", "own", 0, "a b"), ("r", "f3", 0, "zz"), ("s", "f4", 0, "a b")], "repo string, filepath string, chunk_no int, text string")
     got = retrieval.rank_sets(q, c, 9).orderBy("rank").collect()
     assert [r.chunk_filepath for r in got] == ["f1", "f2", "f3"] and got[2].score == 0
-    assert [r.chunk_filepath for r in retrieval.rank_sets(q, c, 9, ties="text_desc", salts=4).orderBy("rank").collect()] == ["f2", "f1", "f3"]
+    assert [r.chunk_filepath for r in retrieval.rank_sets(q, c, 9, ties="text_desc", block=1, slice_rows=1).orderBy("rank").collect()] == ["f2", "f1", "f3"]
     assert retrieval.rank_sets(q, c, 9, threshold=0.5).count() == 2
 
 
@@ -101,8 +101,9 @@ def test_benchmark_tasks(spark):
 
 
 def test_repository_names(spark):
-    got = spark.createDataFrame([("CarperAI--trlx",), ("none",)], "n string").select(benchmark.repository_url(benchmark.canonical_repository(F.col("n")))).collect()
-    assert [r[0] for r in got] == ["https://github.com/CarperAI/trlx", None]
+    rows = spark.createDataFrame([("some--tool_x",), ("none",), (None,)], "n string").withColumn("repo", benchmark.canonical_repository(F.col("n")))
+    listed = spark.createDataFrame([("some_tool_x",), ("other_y",), (None,), ("some_tool_x",)], "repo string")
+    assert {r.n: r.url for r in benchmark.with_urls(rows, listed).collect()} == {"some--tool_x": "https://github.com/some/tool_x", "none": None, None: None}
 
 
 def test_labels(spark):
@@ -225,3 +226,66 @@ def test_bm25_of_a_repository_is_bm25_of_its_candidates(spark, files):
     want = {(r.task_id, r["rank"]): (*r.chunk_id, r.score) for r in plain.collect()}
     got = {(r.task_id, r["rank"]): (r.filepath, r.chunk_no, r.score) for r in retrieval.rank_bm25(terms, tasks, chunks, 4).collect()}
     assert want and got == want
+
+
+def test_blocks_and_slices_find_what_all_pairs_find(spark, files):
+    """Blocks of 2 chunks and slices of 3 queries give the best of all pairs, by sets and by vectors."""
+    from loomspan.functions import scores
+
+    chunks = chunking.windows(files.select("repo", "filepath", "lines"), 3, 2).select("repo", "filepath", "chunk_no", "text")
+    asked = files.select(F.col("filepath").alias("task_id"), "repo", "filepath", F.col("content").alias("query"))
+    for name in ("jaccard_sim", "containment"):
+        score = scores.jaccard if name == "jaccard_sim" else scores.containment
+        every = retrieval.pairs(asked, chunks).withColumn("score", F.coalesce(score(retrieval.word_ids(F.col("query")), retrieval.word_ids(F.col("chunk_text"))), F.lit(0.0)))
+        want = {(r.task_id, r["rank"]): (r.chunk_filepath, r.chunk_chunk_no, r.score) for r in retrieval.top_k(every, 4, [F.desc("score"), F.col("chunk_filepath"), F.col("chunk_chunk_no")]).collect()}
+        got = {(r.task_id, r["rank"]): (r.chunk_filepath, r.chunk_chunk_no, r.score) for r in retrieval.rank_sets(asked, chunks, 4, name, block=2, slice_rows=3).collect()}
+        assert want and got == want
+    vectors = spark.createDataFrame([(k, "r", [float(k % 5), float(k % 3), 1.0]) for k in range(30)] + [(30, "r", [0.0, 0.0, 0.0])], "task_id long, repo string, vector array<double>")
+    docs = vectors.withColumnRenamed("task_id", "doc_id")
+    one = {(r.task_id, r["rank"]): r.doc_id for r in retrieval.rank_vectors(vectors, docs, 3).collect()}
+    assert one == {(r.task_id, r["rank"]): r.doc_id for r in retrieval.rank_vectors(vectors, docs, 3, block=4, slice_rows=7).collect()}
+    assert one[0, 1] == 15 and one[15, 1] == 0
+
+
+def test_files_within_and_first_candidates(spark):
+    paths = ["r/a/x", "r/a/y", "r/b/x", "r/b/c/x", "r/z"]
+    f = spark.createDataFrame([("r", p) for p in paths] + [("s", "s/x")], "repo string, filepath string")
+    tasks = f.select(F.col("filepath").alias("task_id"), "repo", "filepath")
+    near = retrieval.files_within(tasks, f, distance=2, most=3)
+    got = {}
+    for r in near.orderBy("task_id", "place").collect():
+        got.setdefault(r.task_id, []).append((r.filepath, r.distance))
+    assert got["r/a/x"] == [("r/a/y", 0), ("r/z", 1), ("r/b/x", 2)] and "s/x" not in got
+    assert got["r/b/c/x"] == [("r/b/x", 1), ("r/z", 2)]
+    chunks = spark.createDataFrame([("r", p, k) for p in paths for k in (0, 2)], "repo string, filepath string, chunk_no int")
+    found = retrieval.first_candidates(near, chunks, 3).where("task_id = 'r/a/x'").orderBy("place").collect()
+    assert [(r.filepath, r.chunk_no, r.place) for r in found] == [("r/a/y", 0, 1), ("r/a/y", 2, 2), ("r/z", 0, 3)]
+
+
+@pytest.mark.parametrize("scorer", ["jaccard_sim", "containment", "edit_similarity", "weighted_ngram_match_score", "bm25", "bm25_lines", "bm25_weighted_v1", "cosine_similarity"])
+def test_every_ranking_function(files, scorer):
+    tasks = files.where("size(lines) > 1").select(F.col("filepath").alias("task_id"), "repo", "filepath", F.col("content").alias("prompt"), F.lit("a line2 tok2").alias("groundtruth"), F.lit("").alias("right_context"))
+    encode = lambda: lambda texts: [[float(len(t)), float(t.count("a")), 1.0] for t in texts]
+    got = {r.task_id: r.crossfile_context for r in experiments.attach_context(tasks, files, scorer=scorer, encode=encode).collect()}
+    assert set(got) == {"r/a.py", "r/b.py"} and all("fragment can be found in" in t for t in got.values())
+
+
+def test_valid_prefix_and_first_statement():
+    from loomspan.functions import python_code as pc
+
+    def plain(prompt, completion):
+        for i in range(len(completion), -1, -1):
+            if pc._parses(prompt + completion[:i]):
+                return "parseable", completion[:i].rstrip()
+        return "not_parseable", completion
+
+    cases = ["a = b\nc = 3 = d\ne", "x = (a b\ny", "if a:\n    b\nc(", "s = 'abc\nd = 1", 'x = """a\nb\n', "print a\nb = 1", "a\n  b\n c", "", "1 +", "def f(:\n  pass", "a = [1,\n2,\n3\nb = 1", "é = ü\n3x = 1", "a\x00b\nc", "for x in y:\n    pass\nelse\n", "f(a, b=1, c)", "class A:\n    def m(self):\n        return 1\n    x =", "\tif x:\n", "x = {1: 2, 3}\ny = 1"]
+    for code in cases:
+        for prompt in ("", "v = 1\n", "if q:\n    w = 2\n"):
+            assert pc._valid_prefix(prompt, code) == plain(prompt, code), (prompt, code)
+    assert pc._first_statement("v = ", "[a,\nb]\nc = 1") == "[a,\nb]" and pc._first_statement("", "in is\nx") == "in is\nx"
+    import time
+
+    began = time.time()
+    pc._valid_prefix("", "\n".join(f"a{k} = b" for k in range(3000)) + "\n3 = c\n" + "d = e\n" * 3000)
+    assert time.time() - began < 5
