@@ -193,12 +193,12 @@ def bm25(candidates: DataFrame, query_terms: DataFrame, k1: float = K1, b: float
     return candidates.select("task_id", "chunk_id").join(hits, ["task_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def rank_bm25(query_terms: DataFrame, tasks: DataFrame, chunks: DataFrame, k: int, digits: int = 6, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+def rank_bm25(query_terms: DataFrame, tasks: DataFrame, chunks: DataFrame, k: int, digits: int = 6, k1: float = K1, b: float = B, epsilon: float = EPSILON, block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
     """Top k of `bm25` where the candidates are all chunks of the repository's other files: task_id, filepath, chunk_no, score, rank.
 
-    query_terms: task_id, term, weight. tasks: task_id, repo, filepath. chunks: repo, filepath, chunk_no, tokens. Nothing is
-    computed for pairs without a common term: counts of a repository less those of the own file give each task's document
-    frequencies, and a histogram of them its mean inverse frequency. Only tasks with fewer than k hits meet all chunks.
+    query_terms: task_id, term, weight. tasks: task_id, repo, filepath. chunks: repo, filepath, chunk_no, tokens. Counts of a
+    repository less those of the own file give each task's document frequencies, and a histogram of them its mean inverse
+    frequency. Queries then meet the chunks in blocks, by postings of terms (64-bit hashes) with their counts.
     """
     one = F.count(F.lit(1))
     length = F.size("tokens").cast("double")
@@ -222,17 +222,50 @@ def rank_bm25(query_terms: DataFrame, tasks: DataFrame, chunks: DataFrame, k: in
     asked = weights.join(tasks.select("task_id", "repo", "filepath"), "task_id").join(own.drop("total"), ["repo", "filepath"]).join(mean, ["repo", "filepath"])
     asked = asked.join(by_repo, ["repo", "term"]).join(by_file, ["repo", "filepath", "term"], "left").withColumn("df", (F.col("df_repo") - F.coalesce("df_file", F.lit(0))).cast("double")).where("df > 0")
     asked = asked.withColumn("idf", F.when(raw() < 0, epsilon * F.col("mean")).otherwise(raw())).select("task_id", "repo", "term", "weight", "idf", "avg_len", F.col("filepath").alias("own"))
-    part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = asked.join(tf, ["repo", "term"]).where("filepath <> own").groupBy("task_id", "filepath", "chunk_no").agg(F.round(F.sum(part), digits).alias("score"))
-
-    order = [F.desc("score"), F.col("filepath"), F.col("chunk_no")]
-    best = top_k(hits, k, order).select("task_id", "filepath", "chunk_no", "score")
-    # Chunks without a common term score 0, which beats a negative score too.
-    fewer = best.groupBy("task_id").agg(F.count_if(F.col("score") > 0).alias("found"))
-    short = tasks.join(fewer, "task_id", "left").where(F.coalesce("found", F.lit(0)) < k).select("task_id", "repo", "filepath")
-    near = pairs(short, chunks.select("repo", "filepath", "chunk_no")).select("task_id", F.col("chunk_filepath").alias("filepath"), F.col("chunk_chunk_no").alias("chunk_no"))
-    rest = near.join(hits.select("task_id", "filepath", "chunk_no"), ["task_id", "filepath", "chunk_no"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(best.unionByName(rest), k, order)
+    terms = asked.groupBy("task_id").agg(F.first("avg_len").alias("avg_len"), F.collect_list(F.struct(F.xxhash64("term").alias("term"), (F.col("weight") * F.col("idf")).alias("weight"))).alias("terms"))
+    q = tasks.select("task_id", "repo", "filepath").join(terms, "task_id", "left").select("repo", F.struct("task_id", "filepath", F.coalesce("avg_len", F.lit(1.0)).alias("avg_len"), F.coalesce(F.transform("terms", lambda t: t["term"]), F.array().cast("array<bigint>")).alias("words"), F.coalesce(F.transform("terms", lambda t: t["weight"]), F.array().cast("array<double>")).alias("weights")).alias("q"))
+    c = chunks.select("repo", F.struct("filepath", F.col("chunk_no").cast("int").alias("chunk_no"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("words")).alias("c"))
+
+    def best(held: pa.Array, some_asked: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
+        paths, numbers = held.field("filepath").to_pylist(), held.field("chunk_no").to_pylist()
+        order = sorted(range(len(held)), key=lambda i: (paths[i], numbers[i]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, starts = _flat(held.field("words"))
+        size = np.diff(starts)[order].astype(np.float64)
+        owner = np.repeat(rank, np.diff(starts))
+        by = np.lexsort((owner, words))
+        words, owner = words[by], owner[by]
+        new = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (owner[1:] != owner[:-1]))) if len(words) else np.empty(0, np.int64)
+        times = np.diff(np.append(new, len(words))).astype(np.float64)
+        words, owner = words[new], owner[new]
+        of_file: dict[str, list[int]] = {}
+        for at, i in enumerate(order):
+            of_file.setdefault(paths[i], []).append(at)
+        for some in some_asked:
+            mine, bounds = _flat(some.field("words"))
+            weights, _ = _flat(some.field("weights"))
+            low, high = np.searchsorted(words, mine, "left"), np.searchsorted(words, mine, "right")
+            rows: list[list] = [[], [], [], []]
+            for n, (task, own, mean) in enumerate(zip(*(some.field(x).to_pylist() for x in ("task_id", "filepath", "avg_len")), strict=True)):
+                spans = [slice(low[x], high[x]) for x in range(bounds[n], bounds[n + 1])]
+                at = np.concatenate([np.empty(0, np.int64), *(owner[x] for x in spans)])
+                tf = np.concatenate([np.empty(0), *(times[x] for x in spans)])
+                weight = np.repeat(weights[bounds[n] : bounds[n + 1]], high[bounds[n] : bounds[n + 1]] - low[bounds[n] : bounds[n + 1]])
+                share = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[at] / mean))
+                value = np.round(np.bincount(at, weights=share, minlength=len(order)), digits) + 0.0
+                value[of_file.get(own, [])] = -np.inf
+                chosen = _best_k(value, k)
+                chosen = chosen[value[chosen] > -np.inf]
+                which = [order[x] for x in chosen.tolist()]
+                for column, more in zip(rows, ([task] * len(which), [paths[i] for i in which], [numbers[i] for i in which], value[chosen].tolist()), strict=True):
+                    column += more
+            kinds = (some.field("task_id").type, held.field("filepath").type, pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["task_id", "filepath", "chunk_no", "score"])
+
+    task = tasks.schema["task_id"].dataType.simpleString()
+    found = in_blocks(q, c, best, f"task_id {task}, filepath string, chunk_no int, score double", block, slice_rows)
+    return top_k(found, k, [F.desc("score"), F.col("filepath"), F.col("chunk_no")])
 
 
 def with_neighbours(chunks: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ def test_bm25_of_a_repository_is_bm25_of_its_candidates(spark, files):
     near = retrieval.pairs(tasks, chunks).select("task_id", F.struct("chunk_filepath", "chunk_chunk_no").alias("chunk_id"), F.col("chunk_tokens").alias("tokens"))
     plain = retrieval.top_k(retrieval.bm25(near, terms).withColumn("score", F.round("score", 6)), 4, [F.desc("score"), F.col("chunk_id")])
     want = {(r.task_id, r["rank"]): (*r.chunk_id, r.score) for r in plain.collect()}
-    got = {(r.task_id, r["rank"]): (r.filepath, r.chunk_no, r.score) for r in retrieval.rank_bm25(terms, tasks, chunks, 4).collect()}
+    got = {(r.task_id, r["rank"]): (r.filepath, r.chunk_no, r.score) for r in retrieval.rank_bm25(terms, tasks, chunks, 4, block=2, slice_rows=2).collect()}
     assert want and got == want
 
 
