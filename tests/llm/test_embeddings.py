@@ -62,25 +62,26 @@ def test_same_as_sql(spark, sf_dir):
     assert_same(dedup.op5_embedding_dedup(spark, sf_dir), connect(sf_dir), dedup.OP5_SQL)
 
 
+def met(index, x, y):
+    """Of each pair: whether a table and the compared code bring it together."""
+    a, b = index.on(x), index.on(y)
+    differ = a != b
+    return np.any([~differ[:, t].any(1) for t in index.tables], axis=0) & (dedup._apart(index.code(a), index.code(b)) <= index.most)
+
+
 def test_tables_find_pairs_at_the_threshold():
-    """Recall of tables and code distance for pairs with a cosine of 0.93 to 0.94."""
+    """Recall for isotropic pairs at a cosine of 0.935; codes are balanced; tables are disjoint and apart from the compared code."""
     r = np.random.default_rng(2)
     x = dedup._unit(r.standard_normal((4000, 64)))
-    mean, projection = dedup.fit_rotation(x, 64)
-    other = dedup._unit(r.standard_normal((4000, 64)))
-    other = dedup._unit(other - (other * x).sum(1, keepdims=True) * x)
-    y = 0.935 * x + np.sqrt(1 - 0.935**2) * other
-    a, b = ((v - mean) @ projection >= 0 for v in (x, y))
-    tables = dedup.table_bits(64, 5000, np.arccos(0.93) / np.pi)
-    differ = a != b
-    met = np.any([~differ[:, t].any(1) for t in tables], axis=0) & (differ.sum(1) <= int(dedup.MOST_BITS * 64))
-    assert met.mean() > 0.98
-    balance = a.mean(0)
-    assert (abs(balance - 0.5) < 0.06).all()
+    index = dedup.index_for(x, 64, 5000, 0.93)
+    assert met(index, x, partners(r, x, 0.935)).mean() > 0.997
+    assert (abs(index.on(x).mean(0) - 0.5) < 0.08).all()
+    columns = np.concatenate(index.tables)
+    assert len(np.unique(columns)) == len(columns) and (not len(columns) or columns.min() >= index.words * index.bits)
 
 
 def test_spread_reaches_chains():
-    codes = np.array([0, 1, 3, 7, 2**63, 15], np.uint64)
+    codes = np.array([[0, 0], [0, 1], [0, 3], [4, 3], [2**63, 0], [4, 7]], np.uint64)
     pairs = dedup.spread(np.arange(6), codes, 1)
     assert brute.components(range(6), pairs) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
     assert brute.components(range(6), dedup.spread(np.arange(6), codes, 0)) == {k: k for k in range(6)}
@@ -100,16 +101,47 @@ def partners(r, x, cosine):
 def test_tables_find_pairs_around_a_common_mean():
     """Planted pairs at a cosine of 0.935 meet in a table at 5,000 to 1,000,000 vectors a label, whatever mean they share."""
     r = np.random.default_rng(3)
-    for norm in (0.0, 0.7, 0.8, 0.9):
+    for norm in (0.0, 0.8, 0.9):
         sample, x = (lambda v: (v[:8192], v[8192:]))(with_mean(r, 12_192, norm))
         y = partners(r, x, 0.935)
-        mean, projection = dedup.fit_rotation(sample, 64)
-        differ = ((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0)
-        for size in (5_000, 65_536, 1_000_000):
-            tables, most = dedup.index_for(sample, mean, projection, size, 0.93)
-            met = np.any([~differ[:, t].any(1) for t in tables], axis=0) & (differ.sum(1) <= most)
-            assert met.mean() > 0.997, (norm, size, len(tables), met.mean())
-            assert len(tables) < 10_000
+        for size in (5_000, 100_000, 1_000_000):
+            index = dedup.index_for(sample, 64, size, 0.93)
+            found = met(index, x, y).mean()
+            assert found > 0.996, (norm, size, len(index.tables), found)
+
+
+def test_unrelated_vectors_form_no_families():
+    """Vectors of one label without links: few candidates, and none that would make a family, so families can't grow with the label."""
+    r = np.random.default_rng(5)
+    for norm in (0.0, 0.85):
+        x = with_mean(r, 40_000, norm)
+        index = dedup.index_for(x[:8192], 64, len(x), 0.93)
+        on = index.on(x)
+        code = index.code(on)
+        pairs = families = 0
+        for chosen in index.tables:
+            key = (on[:, chosen] * (np.uint64(1) << np.arange(len(chosen), dtype=np.uint64))).sum(1, dtype=np.uint64)
+            order = np.argsort(key, kind="stable")
+            a, _, dense = dedup.candidates(key[order], order, code[order], index.most)
+            pairs += len(a)
+            families += int(dense.sum())
+        assert not families and pairs < 20 * len(x), (norm, pairs, families, len(index.tables))
+
+
+def test_candidates_of_runs():
+    r = np.random.default_rng(6)
+    keys = np.sort(r.integers(0, 60, 200))
+    codes = r.integers(0, 2, (200, 2)).astype(np.uint64)
+    a, b, _ = dedup.candidates(keys, np.arange(200), codes, 0)
+    plain = [(i, j) for i in range(200) for j in range(i + 1, 200) if keys[i] == keys[j] and (codes[i] == codes[j]).all()]
+    assert brute.components(range(200), zip(a.tolist(), b.tolist(), strict=True)) == brute.components(range(200), plain)
+
+
+def test_long_lists(spark, monkeypatch):
+    """Lists that a task doesn't hold whole lose no link."""
+    monkeypatch.setattr(dedup, "LONG_LIST", 10)
+    rows = table()[:200]
+    assert got(dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
 
 
 def test_planted_pairs_with_a_common_mean(spark):
