@@ -106,11 +106,14 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of `edges(a, b)`: one row (id, component_id) per end, component_id its smallest id.
 
-    Each task first contracts its own edges. Then large-star and small-star rounds alternate until stars are left, each of
+    The edges are written first, so that their contraction needs no second Python worker beside the one that finds them.
+    Each task contracts its own edges. Then large-star and small-star rounds alternate until stars are left, each of
     partial aggregations and joins, written to the shared folder. Self-loops and nulls are dropped; nodes without edges
     don't appear.
     """
-    now = scratch.keep(_contracted(edges.where("a <> b")).distinct(), "edges")
+    found = scratch.keep(edges.where("a <> b").select("a", "b"), "found_edges")
+    now = scratch.keep(_contracted(found).distinct(), "edges")
+    scratch.drop("found_edges")
     name, rounds = "edges", 0
     while True:
         # A star forest: every node is the outer end of one edge, or an inner end only.
