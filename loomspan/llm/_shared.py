@@ -75,6 +75,9 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_but(self, *tables: str) -> None:
+        self.drop(*(table for table in self.paths if table not in tables))
+
 
 def _contracted(edges: DataFrame) -> DataFrame:
     """The edges (a > b) with the parts that one task's edges join as stars around their smallest ids: no part is lost, chains get short."""

@@ -126,6 +126,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     moved = scratch.keep(linked.join(least, F.col("part") == F.col("p")).select(F.col("rep").alias("i"), "least"), "moved")
     named = by_set.join(moved, F.col("rep") == F.col("i"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n_shingles").alias("m"), F.coalesce("least", "low").alias("component_id"))
     named = scratch.keep(named, "named")
+    scratch.drop_but("signed", "named")
     out = signed.select("id", "n_shingles", "h1", "h2").join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n_shingles") == F.col("m")), "left")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
