@@ -43,6 +43,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(least) if rows.rdd.getNumPartitions() < least else rows
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the files that a table read back by `Scratch.keep` has, from the file listing."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 #: Set while a table is written: the shuffle files below it go as soon as it stands, not when the driver collects garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import langid, line_dedup, mixing, ngram_join, packing
-from loomspan.llm._shared import Scratch, spread
+from loomspan.llm._shared import Scratch, spread, stored_bytes
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 WORDS, NUM, DEN = 5, 80, 100
 
 
+#: Stored bytes of the mix's input for each task that writes a part of a shard.
+TASK_BYTES = 32 << 20
+
+
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a key of each row in __row, written, so that every reading has the same."""
     return Scratch(docs.sparkSession, name).keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
@@ -57,9 +61,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORD})")), 1, F.col("__words").cast("int")), " ")
     text = F.when(whole, F.col("text")).otherwise(cut)
     rows = rows.withColumn("__text", text).select("__shard", "__position", *(F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
-    # A shard is written by a few tasks, each with its draws in their order.
-    parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // mixing.SHARDS))
-    return rows.repartition(F.col("__shard"), F.pmod("__position", F.lit(parts))).sortWithinPartitions("__shard", "__position").drop("__shard", "__position")
+    # A shard is written by as many tasks as its size asks for, each with its part of the shard's draws in their order.
+    parts = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // mixing.SHARDS), -(-stored_bytes(numbered) // (mixing.SHARDS * TASK_BYTES)))
+    task = (F.col("__shard") * parts + F.pmod("__position", F.lit(parts))).cast("int")
+    return rows.repartitionById(mixing.SHARDS * parts, task).sortWithinPartitions("__position").drop("__shard", "__position")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
