@@ -55,7 +55,7 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Scratch:
     """Tables written to the shared folder; each one cuts lineage and survives lost executors.
 
-    `keep` writes a DataFrame and reads it back. `drop` deletes tables that no later step reads;
+    `keep` writes a DataFrame and reads it back, by the session's codec or a given one. `drop` deletes tables that no later step reads;
     tables below a returned DataFrame stay, as that one is evaluated by the caller.
     """
 
@@ -63,13 +63,13 @@ class Scratch:
         small_batches(spark)
         self.spark, self.base, self.paths, self.written = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}, 0
 
-    def keep(self, df: DataFrame, table: str) -> DataFrame:
+    def keep(self, df: DataFrame, table: str, codec: str | None = None) -> DataFrame:
         self.written += 1
         path = self.paths[table] = f"{self.base}/{self.written}-{table}"
         before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.options(**({"compression": codec} if codec else {})).parquet(path)
         finally:
             self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

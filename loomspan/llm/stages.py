@@ -38,7 +38,7 @@ TASK_BYTES = 32 << 20
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a key of each row in __row, written, so that every reading has the same."""
-    return Scratch(docs.sparkSession, name).keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return Scratch(docs.sparkSession, name).keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", codec="zstd")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
