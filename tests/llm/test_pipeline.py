@@ -126,3 +126,12 @@ def test_null_and_repeated_ids(spark):
     assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
     mixed = stages.mixed(spark, docs, "")
     assert mixed.columns == docs.columns and sorted(((r.doc_id, r.text) for r in mixed.collect()), key=key) == sorted(rows, key=key)
+
+
+def test_mix_is_written_by_more_tasks_when_it_is_larger(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = stages.mixed(spark, docs, sf_dir)
+    monkeypatch.setattr(stages, "TASK_BYTES", 1 << 10)
+    many = stages.mixed(spark, docs, sf_dir)
+    assert many.rdd.getNumPartitions() > few.rdd.getNumPartitions()
+    assert sorted((r.doc_id, r.text) for r in many.collect()) == sorted((r.doc_id, r.text) for r in few.collect())
