@@ -16,6 +16,7 @@ from loomspan.functions import text as tx
 from loomspan.functions import tokens as tk
 from loomspan.operators import benchmark, chunking, evaluation, labels, retrieval, sampling
 from loomspan.operators import queries as qb
+from loomspan.sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -895,6 +896,35 @@ def token_counts(spark, sf_dir):
     return evaluation.token_counts(rows)
 
 
+# ---- record files: written, then read ---------------------------------------------------------------------------------
+
+
+@register("package_records", f"WITH {_FILES} SELECT repo, filepath, content FROM files")
+def package_records(spark, sf_dir):
+    """Every document as a package record in JSON lines, read back as files."""
+    part = F.struct(F.lit("code").alias("type"), F.lit("text").alias("lang"), "content")
+    path = jsonl.shared_path(spark, "packages")
+    jsonl.write(files(spark, sf_dir).select(F.col("repo").alias("repository"), "filepath", F.array(part).alias("content")), path)
+    return jsonl.package_files(jsonl.read(spark, path, jsonl.PACKAGE))
+
+
+@register("task_records", f"WITH {_TASKS} SELECT task_id, repo, filepath, prompt, groundtruth, right_context FROM tasks")
+def task_records(spark, sf_dir):
+    """Every task as a record in JSON lines, read back with its metadata."""
+    path = jsonl.shared_path(spark, "tasks")
+    jsonl.write(tasks(spark, sf_dir).select("prompt", "groundtruth", "right_context", F.struct("task_id", "filepath", F.col("repo").alias("repository")).alias("metadata")), path)
+    return jsonl.read(spark, path, jsonl.TASK).select("metadata.task_id", F.col("metadata.repository").alias("repo"), "metadata.filepath", "prompt", "groundtruth", "right_context")
+
+
+@register("token_records", f"SELECT array_to_string(list_transform({_WORDS.format('coalesce(text, chr(10))')}, lambda w: len(w) + 100), ' ') AS ids FROM documents")
+def token_records(spark, sf_dir):
+    """Token rows in Parquet, of which training reads one column."""
+    path = jsonl.shared_path(spark, "tokens")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.word_tokens(F.col("text")), lambda w: F.length(w) + 100).alias("token_ids"))
+    jsonl.write(rows, path, "parquet")
+    return jsonl.token_dataset(spark, path).select(F.array_join("input_ids", " ").alias("ids"))
+
+
 # ---- without an equivalent in SQL ------------------------------------------------------------------------------------
 
 

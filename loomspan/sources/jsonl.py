@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +84,17 @@ def write_splits(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("split").parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share; in local mode and without it, a temporary one."""
+    key = "spark.checkpoint.dir"
+    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {key} to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="loomspan-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def output_path(source: str, suffix: str, base_predictions: str | None = None) -> str:
     """Beside the input, or beside the base predictions, with the suffix before the extension."""
     folder = (base_predictions or source).rpartition("/")[0]
