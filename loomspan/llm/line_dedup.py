@@ -2,8 +2,8 @@
 
 A line's 8-character shingles give one MinHash value for each of 40 bins of one permutation; 10 bands of 4 bins route the
 line, with a sketch of a bit for each bin. Lines that share a band and whose sketches can't rule out the
-similarity are candidates; families of candidates meet with their texts, where exact Jaccard decides and a union-find
-links. Spark joins the links to components; of each component's lines the first by document and line number stays.
+similarity are candidates; families of candidates meet with their texts, which a filter of fixed size picks as lines are
+listed, and there exact Jaccard decides and a union-find links. Spark joins the links to components; of each component's lines the first by document and line number stays.
 
 Equal lines have one id (a 63-bit hash of the trimmed line), so a line that stands in a third of all documents travels
 once for each task that read it. A pair at the threshold 0.8 misses all bands with a chance of 0.5 %, at 0.9 of 2e-5.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._families import _edges, family_links
+from loomspan.llm._families import family_links, groups
 from loomspan.llm._shared import Scratch, components, mix64, spread
 
 CHARS = 8
@@ -102,11 +102,35 @@ def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), bits.sum(1, dtype=np.uint64).view(np.int64)
 
 
+#: A band's row in a bucket: the low half of its key, the line's id, the sketch's 40 bits.
+_BAND = np.dtype([("key", "<u4"), ("id", "<i8"), ("low", "<u4"), ("high", "u1")])
+#: A key's high bits name its bucket: 4,096 buckets, whose rows a task holds one bucket at a time. Rows a task packs at once.
+BUCKET_BITS = 12
+PACKED = 1 << 19
+
+
+def _packed(keys: np.ndarray, ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    """(bucket, rows) of band keys (line, band): a bucket's rows as bytes, so that JVM and shuffle see few rows."""
+    flat = keys.view(np.uint64).ravel()
+    bucket = (flat >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    line, words = order // BANDS, words.view(np.uint64)
+    rows = np.empty(len(flat), _BAND)
+    rows["key"], rows["id"] = flat[order].astype(np.uint32), ids[line]
+    rows["low"], rows["high"] = words[line].astype(np.uint32), (words[line] >> np.uint64(32)).astype(np.uint8)
+    counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+    some = np.flatnonzero(counts)
+    ends = (np.append(0, np.cumsum(counts[some])) * _BAND.itemsize).astype(np.int32)
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(rows.view(np.uint8))])
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), blobs], names=["bucket", "rows"])
+
+
 def _bands(docs: DataFrame) -> DataFrame:
-    """(key, id, word) of each line that a task sees for the first time."""
+    """(bucket, rows) of the bands of each line that a task sees for the first time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 new: dict[int, str] = {}
@@ -117,10 +141,14 @@ def _bands(docs: DataFrame) -> DataFrame:
                             new[k] = line
                 if new:
                     keys, words = sketches(list(new.values()))
-                    ids = np.fromiter(new, np.int64, len(new))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(words, BANDS))], names=["key", "id", "word"])
+                    held.append((keys, np.fromiter(new, np.int64, len(new)), words))
+                if sum(keys.size for keys, _, _ in held) > PACKED:
+                    yield _packed(*map(np.concatenate, zip(*held, strict=True)))
+                    held.clear()
+        if held:
+            yield _packed(*map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.select("text").mapInArrow(cut, "key long, id long, word long")
+    return docs.select("text").mapInArrow(cut, "bucket int, rows binary")
 
 
 def near_in_band(ids: np.ndarray, words: np.ndarray) -> set[tuple[int, int]]:
@@ -140,68 +168,81 @@ def near_in_band(ids: np.ndarray, words: np.ndarray) -> set[tuple[int, int]]:
     return pairs
 
 
+def _pairs_of_bucket(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs (pair, 2) of the lines that share a band and whose sketches can't rule out the similarity."""
+    rows = rows[np.lexsort((rows["id"], rows["key"]))]
+    key, ids = rows["key"], rows["id"]
+    rows = rows[np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))]
+    key, ids = rows["key"], np.ascontiguousarray(rows["id"])
+    words = rows["low"].astype(np.uint64) | (rows["high"].astype(np.uint64) << np.uint64(32))
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    two = starts[sizes == 2]  # most bands that meet hold two lines
+    near = two[np.bitwise_count(words[two] ^ words[two + 1]) <= MOST_DIFFERENT]
+    yield np.stack([ids[near], ids[near + 1]], axis=1)
+    for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        if found := near_in_band(ids[at : at + n], words[at : at + n]):
+            yield np.array(list(found), np.int64)
+
+
 def _candidates(bands: DataFrame) -> DataFrame:
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
 
-        def close(group: np.ndarray) -> None:
-            if len(group) > 1:
-                pairs.update(near_in_band(group[:, 0], group[:, 1]))
+        def distinct() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, rows = batch.column(0).to_numpy(), np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
-            edges = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, ends = np.append(0, edges), np.append(edges, len(key))
-            if last is not None and key[0] != last:
-                close(np.concatenate(held))
-                held = []
-            if len(edges):  # the first group may have begun before, the last may go on
-                close(np.concatenate([*held, rows[: ends[0]]]))
-                for k in np.flatnonzero(ends - starts > 1).tolist():
-                    if 0 < k < len(starts) - 1:
-                        close(rows[starts[k] : ends[k]])
-                held = [rows[starts[-1] :]]
-            else:
-                held.append(rows)
-            last = key[-1]
-            if len(pairs) > 100_000:
-                yield _edges(list(pairs))
-                pairs.clear()
+        for table in groups(batches, "bucket"):
+            held += _pairs_of_bucket(np.frombuffer(b"".join(table["rows"].to_pylist()), _BAND))
+            if sum(map(len, held)) > 100_000:
+                yield distinct()
+                held.clear()
         if held:
-            close(np.concatenate(held))
-        if pairs:
-            yield _edges(list(pairs))
+            yield distinct()
 
-    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(traverse, "a long, b long")
+    return bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(traverse, "a long, b long")
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                rows = [(doc, k, copy, line_id(line)) for doc, copy, text in zip(*(c.to_pylist() for c in part.columns), strict=True) if doc is not None for k, line in lines_of(text)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc", "line", "copy", "id"])
+#: Bits of the filter that finds the lines of families, at most: 4 MB. Beyond some millions of lines it lets more lines through, which a join drops.
+FILTER_BITS = 25
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit for each value of the ids' (column i) low bits, as 64-bit words."""
+    bits = 1 << min(FILTER_BITS, max(16, (16 * ids.count()).bit_length()))
+    found = ids.groupBy(F.expr(f"shiftrightunsigned(i & {bits - 1}L, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(i & 63 AS INT)))").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found["at"].to_numpy()] = found["word"].to_numpy()
+    return words.view(np.uint64)
+
 
-    return docs.select("doc", "copy", "text").mapInArrow(list_lines, "doc long, line int, copy long, id long")
+def _may_hold(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    low = ids & (len(words) * 64 - 1)
+    return (words[low >> 6] >> (low & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def _members(wanted: DataFrame) -> DataFrame:
-    """(id, family, text) from `wanted(text, at)`, `at` listing line numbers with ids and families."""
+def _occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(doc, line, copy, id, text) of each line; a task gives the text of a line that `wanted` may hold, once."""
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                rows = [(x["id"], x["family"], lines[x["line"]].strip()) for text, at in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for lines in [text.split("\n")] for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["id", "family", "text"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows = [(doc, k, copy, line) for doc, copy, text in zip(*(c.to_pylist() for c in part.columns), strict=True) if doc is not None for k, line in lines_of(text)]
+                if not rows:
+                    continue
+                doc, line, copy, text = zip(*rows, strict=True)
+                ids = np.fromiter(map(line_id, text), np.int64, len(text))
+                shown: list[str | None] = [None] * len(text)
+                for k in np.flatnonzero(_may_hold(wanted, ids)).tolist():
+                    if (i := int(ids[k])) not in seen:
+                        seen.add(i)
+                        shown[k] = text[k]
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(copy, pa.int64()), pa.array(ids), pa.array(shown, pa.string())], names=["doc", "line", "copy", "id", "text"])
 
-    return wanted.select("text", "at").mapInArrow(take, "id long, family long, text string")
+    return docs.select("doc", "copy", "text").mapInArrow(list_lines, "doc long, line int, copy long, id long, text string")
 
 
 def repeated_lines(scratch: Scratch, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -209,23 +250,22 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, num: int = NUM, den: int =
     docs = docs.select("doc", F.xxhash64("text").alias("copy"), "text")
     candidates = _candidates(_bands(docs.where("doc IS NOT NULL")))
     families = scratch.keep(components(scratch, candidates).select(F.col("id").alias("i"), F.col("component_id").alias("family")), "families")
-    lines = scratch.keep(_occurrences(docs), "lines")
+    lines = scratch.keep(_occurrences(docs, _filter_of(families)), "lines")
     # First and last place of each line, by partial sums before any join: a line may stand in a third of all documents.
     place = F.struct("doc", "line", "copy")
     places = scratch.keep(lines.groupBy("id").agg(F.min(place).alias("m"), F.max(place).alias("last")), "places")
-    wanted = places.join(families, F.col("id") == F.col("i")).groupBy(F.col("m.doc").alias("d"), F.col("m.copy").alias("c")).agg(F.collect_list(F.struct("m.line", "id", "family")).alias("at"))
-    wanted = scratch.keep(wanted, "wanted")
-    members = scratch.keep(_members(docs.join(wanted.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("copy") == F.col("c")))).dropDuplicates(["id"]), "members")
+    texts = lines.where("text IS NOT NULL").select("id", "text").dropDuplicates(["id"])
+    members = scratch.keep(texts.join(families, F.col("id") == F.col("i")).select("id", "family", "text"), "members")
     links = family_links(scratch, members, char_shingles, num, den)
     linked = scratch.keep(components(scratch, links).select(F.col("id").alias("i"), F.col("component_id").alias("part")), "linked")
-    scratch.drop("members", "wanted", "families")
+    scratch.drop("members", "families")
     # The place that stays: of a component's lines the first one, of a line without links its own; then one join with all lines.
     joined = places.join(linked, F.col("id") == F.col("i"))
     first = joined.groupBy(F.col("part").alias("p")).agg(F.min("m").alias("stays"))
     stays = linked.join(first, F.col("part") == F.col("p")).select("i", "stays")
     stays = stays.unionByName(places.where("m <> last").join(linked, F.col("id") == F.col("i"), "left_anti").select(F.col("id").alias("i"), F.col("m").alias("stays")))
     stays = scratch.keep(stays, "stays")
-    return lines.join(stays.hint("merge"), F.col("id") == F.col("i")).where(place != F.col("stays")).groupBy("doc", "copy").agg(F.collect_set("line").alias("lines"))
+    return lines.join(stays.hint("shuffle_hash"), F.col("id") == F.col("i")).where(place != F.col("stays")).groupBy("doc", "copy").agg(F.collect_set("line").alias("lines"))
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -235,10 +275,10 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     gone = scratch.keep(repeated_lines(scratch, plain, num, den).select(F.col("doc").alias("d"), F.col("copy").alias("c"), F.col("lines").alias("gone")), "gone")
     scratch.drop("stays", "places", "lines")
-    # The caller's columns travel as one struct, so that none of their names meets ours.
+    # The caller's columns travel as one struct, so that none of their names meets ours. What goes is hashed, so texts are not sorted.
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
     text = F.col("row").getField(text_col)
-    both = rows.join(gone.hint("merge"), (F.col("row").getField(id_col).cast("long") == F.col("d")) & (F.xxhash64(text) == F.col("c")), "left")
+    both = rows.join(gone.hint("shuffle_hash"), (F.col("row").getField(id_col).cast("long") == F.col("d")) & (F.xxhash64(text) == F.col("c")), "left")
     lines = F.split(text, "\n")
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("gone"), k)), "\n"))
     return both.select(*(kept.alias(n) if n == text_col else F.col("row").getField(n).alias(n) for n in names), F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("__removed"))

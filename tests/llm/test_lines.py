@@ -85,3 +85,27 @@ def test_rows_of_one_id(spark):
     rows = [(1, "a\nb\nc\n" + line), (1, line), (2, f"own text of the first row\n{line}"), (2, "one\ntwo\nthree\nfour\nfive"), (1, line), (2, "a\nsix")]
     got = sorted((r.doc_id, r.text) for r in line_dedup.without_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, "a\nb\nc"), (1, line), (1, line), (2, "one\ntwo\nthree\nfour\nfive"), (2, "own text of the first row"), (2, "six")]
+
+
+def test_bands_travel_in_buckets(spark, make_docs):
+    """A task gives at most a row for each bucket, not one for each band, and no line's text is sought by a join with all documents."""
+    some = [f"line {k} of the table, with words {k * k} and {k * 7919} of its own" for k in range(3000)]
+    docs = make_docs(["\n".join(some[k : k + 100]) for k in range(0, 3000, 100)]).coalesce(1)
+    assert line_dedup._bands(docs).count() <= 1 << line_dedup.BUCKET_BITS
+    found = [r.i for r in spark.range(0, 10**6, 7).selectExpr("xxhash64(id) & 9223372036854775807 AS i").collect()]
+    words = line_dedup._filter_of(spark.createDataFrame([(i,) for i in found[:1000]], "i long"))
+    assert line_dedup._may_hold(words, np.array(found[:1000])).all()
+    assert line_dedup._may_hold(words, np.array(found[1000:])).mean() < 0.15
+
+
+def test_bucket_pairs_are_those_of_bands():
+    """The pairs of two lines taken at once and those of larger bands are what each band by itself gives."""
+    r = np.random.default_rng(3)
+    keys, ids = r.integers(0, 300, 1000), r.integers(0, 400, 1000)
+    of = r.integers(0, 1 << 40, 400, dtype=np.uint64) & np.uint64(0xFF000001FF)
+    rows = np.empty(1000, line_dedup._BAND)
+    rows["key"], rows["id"], rows["low"], rows["high"] = keys, ids, of[ids].astype(np.uint32), (of[ids] >> np.uint64(32)).astype(np.uint8)
+    want = set()
+    for k in range(300):
+        want |= line_dedup.near_in_band(ids[keys == k], of[ids[keys == k]].view(np.int64))
+    assert want and {tuple(p) for some in line_dedup._pairs_of_bucket(rows) for p in some.tolist()} == want
