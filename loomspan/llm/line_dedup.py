@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._families import family_links, groups
+from loomspan.llm._families import BLOCK, family_links, groups
 from loomspan.llm._shared import Scratch, components, mix64, spread
 
 CHARS = 8
@@ -69,8 +69,8 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
     return [(k, line) for k, line in enumerate(map(str.strip, (text or "").split("\n"))) if line]
 
 
-def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (line, band) and a sketch of 40 bits for each line, of 8 characters or more."""
+def sketches(lines: list[str], wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (line, band) and a sketch of 40 bits for each line, of 8 characters or more; `wide` adds ten bands that deal the bins otherwise."""
     n = len(lines)
     least = np.full(n * BINS, _EMPTY, np.uint32)
     lengths = np.array([len(x) for x in lines])
@@ -98,6 +98,11 @@ def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64) * _B
     for r in range(ROWS):
         keys = mix64(keys * _B + mixed[:, r::ROWS])
+    if wide:
+        more = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, 2 * BANDS, dtype=np.uint64) * _B
+        for r in range(ROWS):
+            more = mix64(more * _B + mixed[:, r * BANDS : (r + 1) * BANDS])
+        keys = np.concatenate([keys, more], axis=1)
     bits = ((mixed >> np.uint64(40)) & np.uint64(1)) << np.arange(BINS, dtype=np.uint64)
     return keys.view(np.int64), bits.sum(1, dtype=np.uint64).view(np.int64)
 
@@ -245,6 +250,43 @@ def _occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("doc", "copy", "text").mapInArrow(list_lines, "doc long, line int, copy long, id long, text string")
 
 
+def _keys(members: DataFrame) -> DataFrame:
+    """(key, id) of twice the bands for each line of members(id, text): by these alone a pair at 0.8 is missed with some 3e-5."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                keys, _ = sketches(part.column(1).to_pylist(), wide=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "id"])
+
+    return members.select("id", "text").mapInArrow(cut, "key long, id long")
+
+
+def line_links(scratch: Scratch, members: DataFrame, num: int, den: int, most: int = BLOCK) -> DataFrame:
+    """Links (a, b) of the lines of families; `members` (id, family, text) is read more than once.
+
+    Chance candidates chain families of one size to ever larger ones as a corpus grows, and to compare a family's blocks
+    with each other grows with its square. So a family above `most` is taken apart again: its lines meet by bands, of groups
+    with the same lines one. A line is in twenty groups at most, so the work grows with the lines.
+    """
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    large = scratch.keep(sizes.where(F.col("n") > most).select("family"), "chained")
+    if not large.limit(1).count():
+        return family_links(scratch, members, char_shingles, num, den)
+    whole = family_links(scratch, members.join(large, "family", "left_anti"), char_shingles, num, den)
+    apart = scratch.keep(members.join(large, "family", "left_semi").select("id", "text"), "apart")
+    keys = scratch.keep(_keys(apart), "keys")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("same")).where("n > 1").groupBy("n", "same").agg(F.min("key").alias("key"))
+    # A line stands in several groups, so its place in one has an id of its own.
+    places = scratch.keep(keys.join(met.select("key"), "key").select(F.xxhash64("key", "id").alias("place"), "key", "id"), "band_places")
+    grouped = scratch.keep(places.join(apart, "id").select(F.col("place").alias("id"), F.col("key").alias("family"), "text"), "band_members")
+    found = scratch.keep(family_links(scratch, grouped, char_shingles, num, den), "band_links")
+    name = lambda end: places.select(F.col("place").alias(f"{end}_place"), F.col("id").alias(f"{end}_id"))
+    named = found.join(name("a"), F.col("a") == F.col("a_place")).join(name("b"), F.col("b") == F.col("b_place"))
+    return whole.unionByName(named.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+
+
 def repeated_lines(scratch: Scratch, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc, copy, lines): the numbers of the lines that go from each of `docs(doc, text)`; copy is the text's hash."""
     docs = docs.select("doc", F.xxhash64("text").alias("copy"), "text")
@@ -256,7 +298,7 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, num: int = NUM, den: int =
     places = scratch.keep(lines.groupBy("id").agg(F.min(place).alias("m"), F.max(place).alias("last")), "places")
     texts = lines.where("text IS NOT NULL").select("id", "text").dropDuplicates(["id"])
     members = scratch.keep(texts.join(families, F.col("id") == F.col("i")).select("id", "family", "text"), "members")
-    links = family_links(scratch, members, char_shingles, num, den)
+    links = line_links(scratch, members, num, den)
     linked = scratch.keep(components(scratch, links).select(F.col("id").alias("i"), F.col("component_id").alias("part")), "linked")
     scratch.drop("members", "families")
     # The place that stays: of a component's lines the first one, of a line without links its own; then one join with all lines.

@@ -109,3 +109,24 @@ def test_bucket_pairs_are_those_of_bands():
     for k in range(300):
         want |= line_dedup.near_in_band(ids[keys == k], of[ids[keys == k]].view(np.int64))
     assert want and {tuple(p) for some in line_dedup._pairs_of_bucket(rows) for p in some.tolist()} == want
+
+
+def test_chained_families_are_taken_apart(spark):
+    """One family of unlike lines costs rows in proportion to them, and its links are those that all pairs give."""
+    import random
+
+    from loomspan.llm._shared import Scratch, components
+
+    r = random.Random(4)
+    lines = {}
+    for k in range(120):
+        base = [r.choice("abcdefghijklmnop") for _ in range(200)]
+        for v in range(r.choice([1, 1, 2, 5])):
+            some = list(base)
+            some[r.randrange(200)] = "X"
+            lines[len(lines) + 1] = "".join(some) + str(v)
+    scratch = Scratch(spark, "t")
+    members = scratch.keep(spark.createDataFrame([(i, 7, x) for i, x in lines.items()], "id long, family long, text string"), "members")
+    want, got = ({(x.id, x.component_id) for x in components(scratch, links).collect()} for links in (line_dedup.family_links(scratch, members, line_dedup.char_shingles, 80, 100), line_dedup.line_links(scratch, members, 80, 100, most=50)))
+    assert len(want) > 100 and got == want
+    assert spark.read.parquet(scratch.paths["band_members"]).count() <= 2 * line_dedup.BANDS * len(lines) / 2
