@@ -197,32 +197,36 @@ def rank_bm25(query_terms: DataFrame, tasks: DataFrame, chunks: DataFrame, k: in
     """Top k of `bm25` where the candidates are all chunks of the repository's other files: task_id, filepath, chunk_no, score, rank.
 
     query_terms: task_id, term, weight. tasks: task_id, repo, filepath. chunks: repo, filepath, chunk_no, tokens. Counts of a
-    repository less those of the own file give each task's document frequencies, and a histogram of them its mean inverse
-    frequency. Queries then meet the chunks in blocks, by postings of terms (64-bit hashes) with their counts.
+    repository less those of the own file give each task's document frequencies; a histogram of them, with what the own file's
+    terms change, its mean inverse frequency, so no file meets the histogram. Terms are 64-bit hashes. Queries then meet the
+    chunks in blocks, by postings of terms with their counts.
     """
     one = F.count(F.lit(1))
     length = F.size("tokens").cast("double")
-    tf = chunks.select("repo", "filepath", "chunk_no", length.alias("len"), F.explode("tokens").alias("term")).groupBy("repo", "filepath", "chunk_no", "len", "term").agg(one.cast("double").alias("tf"))
-    by_file = tf.groupBy("repo", "filepath", "term").agg(one.alias("df_file"))
+    hashed = F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t)))
+    by_file = chunks.select("repo", "filepath", F.explode(hashed).alias("term")).groupBy("repo", "filepath", "term").agg(one.alias("df_file"))
     by_repo = by_file.groupBy("repo", "term").agg(F.sum("df_file").alias("df_repo"))
     size_file = chunks.groupBy("repo", "filepath").agg(one.alias("n_file"), F.sum(length).alias("len_file"))
     size_repo = size_file.groupBy("repo").agg(F.sum("n_file").alias("n_repo"), F.sum("len_file").alias("len_repo"))
     own = tasks.select("repo", "filepath").distinct().join(size_repo, "repo").join(size_file, ["repo", "filepath"], "left")
     own = own.select("repo", "filepath", (F.col("n_repo") - F.coalesce("n_file", F.lit(0))).cast("double").alias("n"), (F.col("len_repo") - F.coalesce("len_file", F.lit(0.0))).alias("total")).where("n > 0").withColumn("avg_len", F.col("total") / F.col("n"))
 
-    # How many terms have each document frequency, for each file left out.
+    # The mean over all terms of the repository, once for each number of chunks left; then what a left-out file's own terms change.
+    # A term of more chunks than are left stands in that file, which takes out what was put in for it.
+    raw = lambda df: F.ln(F.greatest(F.col("n") - df + 0.5, F.lit(0.5))) - F.ln(df + 0.5)
     histogram = by_repo.groupBy("repo", F.col("df_repo").alias("df")).agg(one.alias("terms"))
-    less = own.select("repo", "filepath").join(by_file, ["repo", "filepath"]).join(by_repo, ["repo", "term"])
-    change = less.select("repo", "filepath", F.explode(F.array(F.struct(F.col("df_repo").alias("df"), F.lit(-1).cast("long").alias("terms")), F.struct((F.col("df_repo") - F.col("df_file")).alias("df"), F.lit(1).cast("long").alias("terms")))).alias("c")).select("repo", "filepath", "c.*")
-    left = own.select("repo", "filepath").join(histogram, "repo").select("repo", "filepath", "df", "terms").unionByName(change).groupBy("repo", "filepath", "df").agg(F.sum("terms").alias("terms")).where("df > 0 AND terms > 0")
-    raw = lambda: F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    mean = left.join(own, ["repo", "filepath"]).groupBy("repo", "filepath").agg((F.sum(F.col("terms") * raw()) / F.sum("terms")).alias("mean"))
-
-    weights = query_terms.groupBy("task_id", "term").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    all_terms = own.select("repo", "n").distinct().join(histogram, "repo").groupBy("repo", "n").agg(F.sum(F.col("terms") * raw(F.col("df"))).alias("raws"), F.sum("terms").alias("terms"))
+    rest = F.col("df_repo") - F.col("df_file")
+    less = own.select("repo", "filepath", "n").join(by_file, ["repo", "filepath"]).join(by_repo, ["repo", "term"])
+    change = less.groupBy("repo", "filepath").agg(F.sum(F.when(rest > 0, raw(rest)).otherwise(0.0) - raw(F.col("df_repo"))).alias("more_raws"), F.sum(F.when(rest > 0, 0).otherwise(-1)).alias("more_terms"))
+    left = own.select("repo", "filepath", "n").join(all_terms, ["repo", "n"]).join(change, ["repo", "filepath"], "left").withColumn("left", F.col("terms") + F.coalesce("more_terms", F.lit(0)))
+    mean = left.where("left > 0").select("repo", "filepath", ((F.col("raws") + F.coalesce("more_raws", F.lit(0.0))) / F.col("left")).alias("mean"))
+
+    weights = query_terms.groupBy("task_id", F.xxhash64("term").alias("term")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
     asked = weights.join(tasks.select("task_id", "repo", "filepath"), "task_id").join(own.drop("total"), ["repo", "filepath"]).join(mean, ["repo", "filepath"])
     asked = asked.join(by_repo, ["repo", "term"]).join(by_file, ["repo", "filepath", "term"], "left").withColumn("df", (F.col("df_repo") - F.coalesce("df_file", F.lit(0))).cast("double")).where("df > 0")
-    asked = asked.withColumn("idf", F.when(raw() < 0, epsilon * F.col("mean")).otherwise(raw())).select("task_id", "repo", "term", "weight", "idf", "avg_len", F.col("filepath").alias("own"))
-    terms = asked.groupBy("task_id").agg(F.first("avg_len").alias("avg_len"), F.collect_list(F.struct(F.xxhash64("term").alias("term"), (F.col("weight") * F.col("idf")).alias("weight"))).alias("terms"))
+    asked = asked.withColumn("idf", F.when(raw(F.col("df")) < 0, epsilon * F.col("mean")).otherwise(raw(F.col("df")))).select("task_id", "repo", "term", "weight", "idf", "avg_len", F.col("filepath").alias("own"))
+    terms = asked.groupBy("task_id").agg(F.first("avg_len").alias("avg_len"), F.collect_list(F.struct("term", (F.col("weight") * F.col("idf")).alias("weight"))).alias("terms"))
     q = tasks.select("task_id", "repo", "filepath").join(terms, "task_id", "left").select("repo", F.struct("task_id", "filepath", F.coalesce("avg_len", F.lit(1.0)).alias("avg_len"), F.coalesce(F.transform("terms", lambda t: t["term"]), F.array().cast("array<bigint>")).alias("words"), F.coalesce(F.transform("terms", lambda t: t["weight"]), F.array().cast("array<double>")).alias("weights")).alias("q"))
     c = chunks.select("repo", F.struct("filepath", F.col("chunk_no").cast("int").alias("chunk_no"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("words")).alias("c"))
 

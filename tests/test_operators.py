@@ -228,6 +228,26 @@ def test_bm25_of_a_repository_is_bm25_of_its_candidates(spark, files):
     assert want and got == want
 
 
+def _most_rows(plan) -> int:
+    """The greatest number of rows that a node of an executed plan gave."""
+    inner = [getattr(plan, name)() for name, kind in (("executedPlan", "AdaptiveSparkPlan"), ("plan", "QueryStage")) if kind in plan.nodeName()]
+    children = plan.children()
+    below = [*inner, *(children.apply(k) for k in range(children.size()))]
+    rows = plan.metrics().get("numOutputRows")
+    return max([rows.get().value() if rows.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_bm25_statistics_grow_with_words(spark):
+    """No file meets each of its repository's document frequencies: rows stay below a few times the words."""
+    rows = [("r", f"r/{k}", 0, [f"own{k}", *(f"in{j}" for j in range(1, 61) if k < j)]) for k in range(400)]
+    chunks = spark.createDataFrame(rows, "repo string, filepath string, chunk_no int, tokens array<string>")
+    tasks = chunks.select(F.col("filepath").alias("task_id"), "repo", "filepath")
+    terms = tasks.select("task_id", F.lit("in3").alias("term"), F.lit(1.0).alias("weight"))
+    found = retrieval.rank_bm25(terms, tasks, chunks, 2)
+    assert len(found.collect()) == 800
+    assert 0 < _most_rows(found._jdf.queryExecution().executedPlan()) <= 2 * sum(len(r[3]) for r in rows)
+
+
 def test_blocks_and_slices_find_what_all_pairs_find(spark, files):
     """Blocks of 2 chunks and slices of 3 queries give the best of all pairs, by sets and by vectors."""
     from loomspan.functions import scores
