@@ -19,6 +19,13 @@ from loomspan.functions import text as tx
 
 BLOCK = 8_192
 SLICE = 65_536
+#: Chunks of a block of word sets, which travel as codes: each query goes to each block, so few blocks keep the disk small.
+SET_BLOCK = 65_536
+#: Words that have a code of 2 bytes; one in so many files is asked for them, and at most so many chunks. Words that are bits in a block.
+CODES, CODE_SAMPLE, CODE_ROWS = 65_536, 64, 32_768
+BITS, FIRST_BITS = 256, 128
+#: Of every 16th set, as many bounds tell how great a bound the first compared sets have.
+LEADERS = 8
 
 #: Name -> score of arrays (words in common, words of the query, words of the chunk); register to extend.
 SET_SCORERS: dict[str, Callable] = {
@@ -60,13 +67,14 @@ def _numbers(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def in_blocks(queries: DataFrame, chunks: DataFrame, best, result: str, block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
+def in_blocks(queries: DataFrame, chunks: DataFrame, best, result: str, block: int = BLOCK, slice_rows: int = SLICE, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rows of `best(chunks, queries)` for each block of a repository's chunks and each slice of its queries.
 
     queries: repo, q (struct); chunks: repo, c (struct). `best` gets a block's structs as an Arrow array, and an iterator of arrays of
-    queries; it yields record batches of the schema `result`.
+    queries; it yields record batches of the schema `result`. counted: the same rows with repo only, where counting these is dear.
     """
-    blocks, slices = _parts_of(chunks, block, "blocks"), _parts_of(queries, slice_rows, "slices")
+    ask, hold = counted or (queries, chunks)
+    blocks, slices = _parts_of(hold, block, "blocks"), _parts_of(ask, slice_rows, "slices")
     sizes = blocks.join(slices, "repo").select(F.col("repo").alias("r"), "blocks", "slices")
     place = lambda rows, n: rows.join(sizes, F.col("repo") == F.col("r")).withColumn("own", F.pmod(F.xxhash64(*rows.columns[1:]), F.col(n)).cast("int"))
     c = place(chunks, "blocks").select("repo", F.col("own").alias("block"), _numbers(F.col("slices")).alias("slice"), "c")
@@ -119,54 +127,155 @@ def _best_k(score: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((chosen, -score[chosen]))]
 
 
-def rank_sets(queries: DataFrame, chunks: DataFrame, k: int, scorer: str = "jaccard_sim", threshold: float = 0.0, ties: str = "path", block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
+def _codebook(sets: DataFrame) -> np.ndarray:
+    """Sorted hashes of the most frequent words in the sets of a bounded sample of files. It only shortens what travels: other words keep their hash."""
+    some = sets.where(F.pmod(F.xxhash64("filepath"), F.lit(CODE_SAMPLE)) == 0).select("words").limit(CODE_ROWS)
+    counts = some.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return np.sort(np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(CODES).collect()], np.int64))
+
+
+def _coded(sets: DataFrame, name: str, book: np.ndarray) -> DataFrame:
+    """(repo, name): a struct of the other columns, the number of words, codes of the book's words (2 bytes each) and hashes of the others."""
+    kept = [c for c in sets.columns if c not in ("repo", "words")]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, starts = _flat(batch.column("words"))
+            place = np.searchsorted(book, values)
+            known = book[np.minimum(place, len(book) - 1)] == values if len(book) else np.zeros(len(values), bool)
+            before = np.append(0, np.cumsum(known))[starts]
+            binary = lambda data, at: pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+            columns = [*(batch.column(c) for c in kept), pa.array(np.diff(starts), pa.int32()), binary(place[known].astype(np.uint16), before * 2), binary(values[~known], (starts - before) * 8)]
+            yield pa.RecordBatch.from_arrays([batch.column("repo"), pa.StructArray.from_arrays(columns, [*kept, "size", "codes", "others"])], names=["repo", name])
+
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
+    fields = ", ".join([*(f"{c}: {kinds[c]}" for c in kept), "size: int, codes: binary, others: binary"])
+    return sets.mapInArrow(code, f"repo {kinds['repo']}, {name} struct<{fields}>")
+
+
+def _numbers_of(sets: pa.Array, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the binary field of structs, and where each row's begin, and the last ends."""
+    data = sets.field(name)
+    _, at, values = data.buffers()
+    starts = np.frombuffer(at, np.int32)[data.offset : data.offset + len(data) + 1]
+    return np.frombuffer(values or b"", np.uint8)[starts[0] : starts[-1]].view(kind), (starts - starts[0]) // np.dtype(kind).itemsize
+
+
+class SetBlock:
+    """Word sets of a block in an order that breaks ties, and the best of them for a query's set.
+
+    The block's `BITS` most frequent words are bits of each set, all others have postings. Postings and the first bits give the words
+    in common with each set but for the later bits; with as many of these as both have, that bounds the score, which must not fall as
+    words in common grow. Only sets whose bound comes up to the k-th score of some with great bounds are compared by their later bits, and
+    scored in double precision.
+    """
+
+    def __init__(self, sets: pa.Array, order: list[int], files: list[str], score: Callable) -> None:
+        self.score, n = score, len(order)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
+        self.sizes = sets.field("size").to_numpy()[order].astype(np.float64)
+        self.rough_sizes = self.sizes.astype(np.float32)
+        codes, starts = _numbers_of(sets, "codes", np.uint16)
+        by = np.argsort(codes, kind="stable")
+        self.owner = np.repeat(rank, np.diff(starts))[by]
+        del by
+        counts = np.bincount(codes, minlength=CODES)
+        self.first = np.append(0, np.cumsum(counts))
+        frequent = np.argsort(-counts, kind="stable")[:BITS]
+        self.bit = np.full(CODES, -1, np.int64)
+        self.bit[frequent] = np.arange(len(frequent))
+        self.bits = np.zeros((BITS // 64, n), np.uint64)
+        for k, word in enumerate(frequent.tolist()):
+            self.bits[k // 64, self.owner[self.first[word] : self.first[word + 1]]] |= np.uint64(1 << k % 64)
+        self.n_later = np.bitwise_count(self.bits[FIRST_BITS // 64 :]).sum(0).astype(np.float32)
+        others, starts = _numbers_of(sets, "others", np.int64)
+        by = np.argsort(others, kind="stable")
+        self.others, self.other_owner = others[by], np.repeat(rank, np.diff(starts))[by]
+        self.of_file: dict[str, list[int]] = {}
+        for at, i in enumerate(order):
+            self.of_file.setdefault(files[i], []).append(at)
+        self.most = max(map(len, self.of_file.values()))
+        self.empty: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def best_of_empty(self, own: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For a query without words: one list for all, long enough to leave out any file."""
+        if k not in self.empty:
+            value = self.score(np.zeros(len(self.sizes)), 0.0, self.sizes)
+            chosen = _best_k(value, k + self.most)
+            self.empty[k] = chosen, value[chosen]
+        chosen, value = self.empty[k]
+        left = ~np.isin(chosen, own)
+        return chosen[left][:k], value[left][:k]
+
+    def best(self, asked: pa.Array, files: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and scores of each query's k best sets of other files."""
+        sizes = asked.field("size").to_numpy()
+        codes, starts = _numbers_of(asked, "codes", np.uint16)
+        others, other_starts = _numbers_of(asked, "others", np.int64)
+        low, high = (np.searchsorted(self.others, others, side) for side in ("left", "right"))
+        for n, own in enumerate(files):
+            own = self.of_file.get(own, [])
+            if not sizes[n]:
+                yield self.best_of_empty(own, k)
+                continue
+            mine = codes[starts[n] : starts[n + 1]]
+            bit = self.bit[mine]
+            posted, bit = mine[bit < 0], bit[bit >= 0]
+            mask = np.zeros(BITS // 64, np.uint64)
+            np.bitwise_or.at(mask, bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+            found = [self.owner[a:b] for a, b in zip(self.first[posted].tolist(), self.first[posted.astype(np.int64) + 1].tolist(), strict=True) if a < b]
+            found += [self.other_owner[a:b] for a, b in zip(low[other_starts[n] : other_starts[n + 1]].tolist(), high[other_starts[n] : other_starts[n + 1]].tolist(), strict=True) if a < b]
+            shared = np.bincount(np.concatenate(found), minlength=len(self.sizes)).astype(np.float32) if found else np.zeros(len(self.sizes), np.float32)
+            for w in range(FIRST_BITS // 64):
+                shared += np.bitwise_count(self.bits[w] & mask[w])
+            size, later = float(sizes[n]), np.float32((bit >= FIRST_BITS).sum())
+            exact = lambda at: self.score(sum((np.bitwise_count(self.bits[w, at] & mask[w]) for w in range(FIRST_BITS // 64, BITS // 64)), shared[at].astype(np.float64)), size, self.sizes[at])  # noqa: E731, B023
+            bound = self.score(shared + np.minimum(self.n_later, later), size, self.rough_sizes)
+            bound[own] = -1.0
+            # What is surely reached: by the sets whose bounds are about the greatest, as every 16th tells.
+            some = bound[::16]
+            some = np.flatnonzero(bound >= max(0.0, np.partition(some, -LEADERS)[-LEADERS] if len(some) > LEADERS else 0.0))
+            least = np.partition(exact(some), -k)[-k] if len(some) >= k else 0.0
+            able = np.flatnonzero(bound >= max(0.0, least - 1e-5 * max(1.0, abs(least))))
+            value = exact(able)
+            chosen = _best_k(value, k)
+            yield able[chosen], value[chosen]
+
+
+def rank_sets(queries: DataFrame, chunks: DataFrame, k: int, scorer: str = "jaccard_sim", threshold: float = 0.0, ties: str = "path", block: int = SET_BLOCK, slice_rows: int = SLICE, shown: Column | None = None) -> DataFrame:
     """Top k chunks of the repository's other files by a score of word sets: task_id, chunk_filepath, chunk_chunk_no, chunk_text, score, rank.
 
-    queries: task_id, repo, filepath, query; chunks: repo, filepath, chunk_no, text.
-    ties: "path" (file, then chunk number) or "text_desc" (chunk text, descending).
+    queries: task_id, repo, filepath, query; chunks: repo, filepath, chunk_no, text. Either may bring its word set as `words` (`word_ids`).
+    ties: "path" (file, then chunk number) or "text_desc" (chunk text, descending). shown: what is given as chunk_text, such as a digest.
     """
-    q = queries.select("repo", F.struct("task_id", "filepath", word_ids(F.col("query")).alias("words")).alias("q"))
-    c = chunks.select("repo", F.struct("filepath", F.col("chunk_no").cast("int").alias("chunk_no"), "text", word_ids(F.col("text")).alias("words")).alias("c"))
-    score = SET_SCORERS[scorer]
-
-    def best(block: pa.Array, asked: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
-        path, number, text = (block.field(n) for n in ("filepath", "chunk_no", "text"))
-        paths, texts = path.to_pylist(), text.to_pylist()
-        order = sorted(range(len(block)), key=lambda i: (paths[i], number[i].as_py()))
+    words = lambda rows, text: F.col("words") if "words" in rows.columns else word_ids(F.col(text))
+    q = queries.select("repo", "task_id", "filepath", words(queries, "query").alias("words"))
+    c = chunks.select("repo", "filepath", F.col("chunk_no").cast("int").alias("chunk_no"), (F.col("text") if shown is None else shown).alias("text"), words(chunks, "text").alias("words"))
+    book, score = _codebook(c), SET_SCORERS[scorer]
+
+    def best(held: pa.Array, asked: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
+        path, number, text = (held.field(n) for n in ("filepath", "chunk_no", "text"))
+        paths, numbers = path.to_pylist(), number.to_pylist()
+        order = sorted(range(len(held)), key=lambda i: (paths[i], numbers[i]))
         if ties == "text_desc":
+            texts = text.to_pylist()
             order.sort(key=lambda i: texts[i] or "", reverse=True)
-        place = np.array(order)
-        values, starts = _flat(block.field("words"))
-        sizes = np.diff(starts)[place]
-        rank = np.empty(len(place), np.int64)
-        rank[place] = np.arange(len(place))
-        distinct, inverse = np.unique(values, return_inverse=True)
-        owner = np.repeat(rank, np.diff(starts))
-        postings = owner[np.argsort(inverse, kind="stable")]
-        first = np.append(0, np.cumsum(np.bincount(inverse, minlength=len(distinct))))
-        of_file: dict[str, list[int]] = {}
-        for at, i in enumerate(order):
-            of_file.setdefault(paths[i], []).append(at)
-        for some in asked:
-            words, bounds = _flat(some.field("words"))
-            rows: list[list] = [[], [], [], [], []]
-            for n, (task, own) in enumerate(zip(some.field("task_id").to_pylist(), some.field("filepath").to_pylist(), strict=True)):
-                mine = words[bounds[n] : bounds[n + 1]]
-                at = np.searchsorted(distinct, mine) if len(distinct) else np.empty(0, np.int64)
-                at = at[distinct[np.minimum(at, len(distinct) - 1)] == mine] if len(at) else at
-                found = np.concatenate([postings[first[x] : first[x + 1]] for x in at.tolist()]) if len(at) else np.empty(0, np.int64)
-                value = score(np.bincount(found, minlength=len(order)).astype(np.float64), float(len(mine)), sizes)
-                value[of_file.get(own, [])] = -1.0
-                chosen = _best_k(value, k)
-                chosen = chosen[value[chosen] >= (threshold or 0.0)]
-                which = place[chosen].tolist()
-                for column, more in zip(rows, ([task] * len(which), [paths[i] for i in which], [number[i].as_py() for i in which], [texts[i] for i in which], value[chosen].tolist()), strict=True):
-                    column += more
-            kinds = (some.field("task_id").type, path.type, pa.int32(), text.type, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["task_id", "chunk_filepath", "chunk_chunk_no", "chunk_text", "score"])
-
-    task = queries.schema["task_id"].dataType.simpleString()
-    found = in_blocks(q, c, best, f"task_id {task}, chunk_filepath string, chunk_chunk_no int, chunk_text string, score double", block, slice_rows)
+        sets, place = SetBlock(held, order, paths, score), np.array(order)
+        for whole in asked:
+            for at in range(0, len(whole), 1024):
+                some = whole.slice(at, 1024)
+                chosen = list(sets.best(some, some.field("filepath").to_pylist(), k))
+                value = np.concatenate([v for _, v in chosen])
+                kept = value >= (threshold or 0.0)
+                which = pa.array(place[np.concatenate([p for p, _ in chosen])[kept]])
+                task = pa.array(np.repeat(np.arange(len(some)), [len(p) for p, _ in chosen])[kept])
+                columns = [some.field("task_id").take(task), path.take(which), number.take(which), text.take(which), pa.array(value[kept])]
+                yield pa.RecordBatch.from_arrays(columns, names=["task_id", "chunk_filepath", "chunk_chunk_no", "chunk_text", "score"])
+
+    task, given = queries.schema["task_id"].dataType.simpleString(), c.schema["text"].dataType.simpleString()
+    parts = q.select("repo"), c.select("repo")
+    found = in_blocks(_coded(q, "q", book), _coded(c, "c", book), best, f"task_id {task}, chunk_filepath string, chunk_chunk_no int, chunk_text {given}, score double", block, slice_rows, parts)
     order = [F.desc("score"), *([F.desc("chunk_text")] if ties == "text_desc" else []), F.col("chunk_filepath"), F.col("chunk_chunk_no")]
     return top_k(found, k, order)
 

@@ -267,6 +267,55 @@ def test_blocks_and_slices_find_what_all_pairs_find(spark, files):
     assert one[0, 1] == 15 and one[15, 1] == 0
 
 
+def _exchanged(plan) -> int:
+    """Bytes that the shuffles of an executed plan wrote."""
+    inner = [getattr(plan, name)() for name, kind in (("executedPlan", "AdaptiveSparkPlan"), ("plan", "QueryStage")) if kind in plan.nodeName()]
+    children = plan.children()
+    below = [*inner, *(children.apply(k) for k in range(children.size()))]
+    size = plan.metrics().get("dataSize") if plan.nodeName() == "Exchange" else None
+    return (size.get().value() if size is not None and size.isDefined() else 0) + sum(map(_exchanged, below))
+
+
+def test_selected_chunks_travel_without_their_texts(spark, tmp_path):
+    """dedupe_selected compares digests: neither chunks nor the ten chunks of each query carry texts through a shuffle."""
+    from sql_compare import assert_same, connect
+
+    from loomspan.queries import QUERIES, SQL
+
+    docs = [(k, "\n".join(f"w{k % 7} x{(k + j) % 5} " * 300 for j in range(12)), "en", f"src{k % 2}") for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    found = QUERIES["dedupe_selected"](spark, str(tmp_path))
+    assert assert_same(found, connect(str(tmp_path)), SQL["dedupe_selected"]) > 60
+    assert len(found.collect()) > 60
+    assert 0 < _exchanged(found._jdf.queryExecution().executedPlan()) < sum(len(d[1]) for d in docs) / 4
+
+
+@pytest.mark.parametrize("name, ties, sample", [("jaccard_sim", "path", 1), ("containment", "path", 3), ("jaccard_sim", "text_desc", 1_000_000)])
+def test_bounds_lose_no_chunk(spark, monkeypatch, name, ties, sample):
+    """Bits, codes, bounds and leaders give what all pairs give: skewed words, equal sets, small sets and queries without words."""
+    import random
+
+    monkeypatch.setattr(retrieval, "CODE_SAMPLE", sample)
+    rng = random.Random(5)
+    some = lambda n: {f"w{int(3000 ** rng.random())}" for _ in range(n)}
+    chunks = [("r", f"f{k // 3:04}", k % 3, " ".join(sorted(some(rng.choice([1, 4, 30, 90]))))) for k in range(3000)]
+    asked = [(f"t{k}", "r", f"f{k:04}", "" if k % 9 == 0 else "none" if k % 9 == 1 else chunks[3 * k][3] if k % 9 == 2 else " ".join(some(rng.choice([3, 60])))) for k in range(90)]
+    q = spark.createDataFrame(asked, "task_id string, repo string, filepath string, query string")
+    c = spark.createDataFrame(chunks, "repo string, filepath string, chunk_no int, text string")
+    got = {}
+    for r in retrieval.rank_sets(q, c, 10, name, ties=ties).orderBy("task_id", "rank").collect():
+        got.setdefault(r.task_id, []).append((r.chunk_filepath, r.chunk_chunk_no, r.score))
+    sets = [(p, n, t, set(t.split())) for _, p, n, t in chunks]
+    for task, _, own, text in asked:
+        mine = set(text.split())
+        rated = [((x := len(mine & w)) / (max(len(mine | w), 1) if name == "jaccard_sim" else max(len(mine), 1)), t, p, n) for p, n, t, w in sets if p != own]
+        rated.sort(key=lambda r: r[2:])
+        if ties == "text_desc":
+            rated.sort(key=lambda r: r[1], reverse=True)
+        rated.sort(key=lambda r: -r[0])
+        assert got[task] == [(p, n, s) for s, _, p, n in rated[:10]], task
+
+
 def test_files_within_and_first_candidates(spark):
     paths = ["r/a/x", "r/a/y", "r/b/x", "r/b/c/x", "r/z"]
     f = spark.createDataFrame([("r", p) for p in paths] + [("s", "s/x")], "repo string, filepath string")
