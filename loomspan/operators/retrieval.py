@@ -89,7 +89,9 @@ def in_blocks(queries: DataFrame, chunks: DataFrame, best, result: str, block: i
 
         def answer() -> Iterator[pa.RecordBatch]:
             if held and asked:
-                yield from best(pa.concat_arrays(held), iter(asked))
+                whole = [pa.concat_arrays(held)]
+                held.clear()
+                yield from best(whole.pop(), iter(asked))
             asked.clear()
 
         for batch in batches:
@@ -177,10 +179,16 @@ class SetBlock:
         self.sizes = sets.field("size").to_numpy()[order].astype(np.float64)
         self.rough_sizes = self.sizes.astype(np.float32)
         codes, starts = _numbers_of(sets, "codes", np.uint16)
-        by = np.argsort(codes, kind="stable")
-        self.owner = np.repeat(rank, np.diff(starts))[by]
-        del by
-        counts = np.bincount(codes, minlength=CODES)
+        # Code and place in one number, sorted where it stands, as a block's words are most of a worker's memory.
+        shift = (n - 1).bit_length()
+        kind = np.uint32 if shift <= 16 else np.uint64
+        keys = codes.astype(kind)
+        keys <<= kind(shift)
+        keys |= np.repeat(rank.astype(kind), np.diff(starts))
+        keys.sort()
+        keys &= kind((1 << shift) - 1)
+        self.owner = keys.astype(np.int32, copy=False) if kind is np.uint64 else keys.view(np.int32)
+        counts = sum((np.bincount(codes[a : a + (1 << 20)], minlength=CODES) for a in range(0, len(codes), 1 << 20)), np.zeros(CODES, np.int64))
         self.first = np.append(0, np.cumsum(counts))
         frequent = np.argsort(-counts, kind="stable")[:BITS]
         self.bit = np.full(CODES, -1, np.int64)
@@ -262,6 +270,7 @@ def rank_sets(queries: DataFrame, chunks: DataFrame, k: int, scorer: str = "jacc
             texts = text.to_pylist()
             order.sort(key=lambda i: texts[i] or "", reverse=True)
         sets, place = SetBlock(held, order, paths, score), np.array(order)
+        del held
         for whole in asked:
             for at in range(0, len(whole), 1024):
                 some = whole.slice(at, 1024)
