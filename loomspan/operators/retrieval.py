@@ -1,7 +1,7 @@
 """Cross-file retrieval: candidates of a repository, scores, top k, neighbours and context text.
 
 Candidates never leave a repository. Queries meet them in blocks: a task holds an inverted index, or a matrix, of at most
-`BLOCK` chunks of one repository, streams queries past it and gives the best k of each; a large repository has many blocks,
+`BLOCK` (word sets: `SET_BLOCK`) chunks of one repository, streams queries past it and gives the best k of each; a large repository has many blocks,
 and a large set of queries many slices of `SLICE`, so neither meets in one task. The best of all blocks follow by a window.
 """
 
