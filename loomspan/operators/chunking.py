@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as tx
 
 
+def kept_windows(lines: Column, window: int, stride: int) -> Column:
+    """A file's windows in order, as an array of structs start_i, end_i, text."""
+    start = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(stride))
+    starts = F.when(F.size(lines) > 0, start).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("start_i"), (i + window).alias("end_i"), F.array_join(F.slice(lines, i + 1, window), "\n").alias("text")))
+    return F.filter(cut, lambda c: c["text"].rlike(tx.WORD))
+
+
 def windows(files: DataFrame, window: int, stride: int, lines: str = "lines") -> DataFrame:
     """One row per window: starts 0, stride, ... below the number of lines; short tails stay; end_i = start_i + window.
 
     Windows without a word token are dropped; chunk_no counts the kept ones of a file.
     """
-    start = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(stride))
-    starts = F.when(F.size(lines) > 0, start).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(starts, lambda i: F.struct(i.alias("start_i"), (i + window).alias("end_i"), F.array_join(F.slice(lines, i + 1, window), "\n").alias("text")))
-    kept = F.filter(cut, lambda c: c["text"].rlike(tx.WORD))
+    kept = kept_windows(F.col(lines), window, stride)
     return files.select(*(c for c in files.columns if c != lines), F.posexplode(kept).alias("chunk_no", "c")).select("*", "c.start_i", "c.end_i", "c.text").drop("c")
 
 

@@ -7,15 +7,18 @@ and a large set of queries many slices of `SLICE`, so neither meets in one task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import python_code, scores
 from loomspan.functions import text as tx
+from loomspan.tables import Scratch, mix64
 
 BLOCK = 8_192
 SLICE = 65_536
@@ -79,7 +82,11 @@ def in_blocks(queries: DataFrame, chunks: DataFrame, best, result: str, block: i
     place = lambda rows, n: rows.join(sizes, F.col("repo") == F.col("r")).withColumn("own", F.pmod(F.xxhash64(*rows.columns[1:]), F.col(n)).cast("int"))
     c = place(chunks, "blocks").select("repo", F.col("own").alias("block"), _numbers(F.col("slices")).alias("slice"), "c")
     q = place(queries, "slices").select("repo", _numbers(F.col("blocks")).alias("block"), F.col("own").alias("slice"), "q")
-    both = c.unionByName(q, allowMissingColumns=True).select(F.xxhash64("repo", "block", "slice").alias("task"), F.col("q").isNotNull().alias("asks"), "c", "q")
+    return _met(c.unionByName(q, allowMissingColumns=True).select(F.xxhash64("repo", "block", "slice").alias("task"), F.col("q").isNotNull().alias("asks"), "c", "q"), best, result)
+
+
+def _met(both: DataFrame, best, result: str) -> DataFrame:
+    """Rows of `best` for each task. both: task, asks, c or q (structs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by task, chunks before queries; a task's rows are held: a block and a slice."""
@@ -290,6 +297,18 @@ def rank_sets(queries: DataFrame, chunks: DataFrame, k: int, scorer: str = "jacc
 
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Chunks of a block of counted words: each query goes to each block, so few blocks keep the disk small.
+TERM_BLOCK, TERM_SLICE = 65_536, 262_144
+#: Words of files whose counts one task adds up.
+COUNTED = 8_000_000
+#: Repositories whose sizes go to all tasks; those of more are joined.
+MANY = 65_536
+#: Words in so large a share of a block's chunks, and at most so many, are rows of a matrix; the others have postings.
+DENSE, DENSE_WORDS = 0.09, 384
+#: Queries that a block answers at once. Blocks of at most so many texts score each of them as it stands.
+AT_ONCE, PLAIN = 128, 256
+#: What 32 bits may change in a score, as a part of it and besides.
+ROUGH, ROUGH_LEAST = 1e-4, 4e-6
 
 
 def bm25(candidates: DataFrame, query_terms: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
@@ -310,86 +329,512 @@ def bm25(candidates: DataFrame, query_terms: DataFrame, k1: float = K1, b: float
     hits = counted.join(idf.join(weights, ["task_id", "term"]), ["task_id", "term"]).groupBy("task_id", "chunk_id").agg(F.sum(part).alias("score"))
     return candidates.select("task_id", "chunk_id").join(hits, ["task_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
+def _mixed(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """One number for each word and owner."""
+    return mix64(words.view(np.uint64) + (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _owners(starts: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of all spans, one after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of so many numbers each."""
+    at = np.append(0, np.cumsum(counts)) * data.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _chunks_of(files: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of arrays (chunk_no, words): where each row's chunks begin, the chunks' numbers, all words, and where each chunk's begin."""
+    files = files.fill_null([]) if files.null_count else files
+    offsets = files.offsets.to_numpy()
+    inner = files.values.slice(offsets[0], offsets[-1] - offsets[0])
+    words, starts = _flat(inner.field("words"))
+    return offsets - offsets[0], inner.field("chunk_no").to_numpy(), words, starts
+
+
+def _file_counts(offsets: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word, number of the row's chunks with the word, and the sorted `_mixed` of row and word."""
+    chunk = _owners(starts)
+    _, first = np.unique(_mixed(words, chunk), return_index=True)
+    words, file = words[first], _owners(offsets)[chunk[first]]
+    keys, first, times = np.unique(_mixed(words, file), return_index=True, return_counts=True)
+    return file[first], words[first], times, keys
+
+
+def _packed(known: np.ndarray, n: int, owner: np.ndarray, codes: np.ndarray, others: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """Rows of codes, of hashes of other words, and of each of the values: codes' first."""
+    order = np.lexsort((np.where(known, codes, 0), ~known, owner))
+    owner, known = owner[order], known[order]
+    return [
+        _binary(codes[order][known].astype(np.uint16), np.bincount(owner[known], minlength=n)),
+        _binary(others[order][~known], np.bincount(owner[~known], minlength=n)),
+        *(_binary(v[order], np.bincount(owner, minlength=n)) for v in values),
+    ]
+
+
+def _codes(book: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the book, and whether the word stands there."""
+    place = np.searchsorted(book, words)
+    return place, (book[np.minimum(place, len(book) - 1)] == words if len(book) else np.zeros(len(words), bool))
+
+
+_STAT = "kind int, repo long, a binary, b binary, c binary"
+_FILE, _HISTOGRAM, _WORD = range(3)
+#: Rows that a block gets: its chunks, and of the repository in how many chunks words are, and files' mean inverse frequencies.
+_CHUNK, _COUNTS, _MEANS = range(3)
+
+
+_DEALT = "bucket int, r binary, f binary, n binary, sizes binary, words binary, times binary"
+_FILES = -1
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Each file's words, with the number of its chunks that have them, in buckets by the word (`_DEALT`: many files a row).
+
+    rows: r and f (hashes of repository and file), chunks, asked. Bucket `_FILES` has the files: chunks in n, queries in sizes, tokens in words.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _DEALT.split(", ")]
+        for batch in batches:
+            r, f = (batch.column(x).to_numpy() for x in range(2))
+            offsets, _, words, starts = _chunks_of(batch.column(2))
+            n, length, asked = np.diff(offsets), np.diff(starts[offsets]), batch.column(3).to_numpy().astype(np.int32)
+            whole = [_binary(x, np.array([len(r)])) for x in (r, f, n.astype(np.int64), asked, length.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([_FILES], pa.int32()), *whole, pa.array([b""])], names=names)
+            file, words, times, _ = _file_counts(offsets, words, starts)
+            if not len(words):
+                continue
+            bucket = ((words.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            key = (bucket << 32) | file
+            order = np.argsort(key, kind="stable")
+            key, words, times = key[order], words[order], times[order].astype(np.int32)
+            entry = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(entry, len(key))).astype(np.int32)
+            of, file = key[entry] >> 32, key[entry] & 0xFFFFFFFF
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            entries, counts = np.diff(np.append(first, len(of))), np.add.reduceat(sizes, first)
+            columns = [*(_binary(x, entries) for x in (r[file], f[file], n[file].astype(np.int64), sizes)), _binary(words, counts), _binary(times, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(of[first], pa.int32()), *columns], names=names)
+
+    return rows.select("r", "f", "chunks", "asked").mapInArrow(deal, _DEALT)
+
+
+def _word_statistics(dealt: DataFrame, sizes: DataFrame, buckets: int) -> DataFrame:
+    """Counts of words in packed rows (`_STAT`), each of one kind.
+
+    `_FILE`: hashes of files, what leaving the file out adds to the sum of all words' inverse frequencies, and how many words it takes out.
+    `_HISTOGRAM`: numbers of a repository's chunks, and how many words are in so many. `_WORD`: words in over one chunk, and in how many.
+    sizes: r, n_repo; they go to each bucket.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        now = None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if not rows:
+                return
+            whole = pa.Table.from_batches(rows)
+            rows.clear()
+            sized = whole.filter(pc.is_null(whole["f"]))
+            whole = whole.filter(pc.is_valid(whole["f"]))
+            if not len(whole):
+                return
+            part = lambda rows, at, kind: np.concatenate([np.frombuffer(x, kind) for x in rows.column(at).to_pylist()])
+            r, f, n, sizes, words, times = (part(whole, at, kind) for at, kind in enumerate((np.int64, np.int64, np.int64, np.int32, np.int64, np.int32), 1))
+            known, chunks = part(sized, 1, np.int64), part(sized, 3, np.int64)
+            by = np.argsort(known)
+            n = chunks[by][np.searchsorted(known[by], r)] - n
+            del whole, sized
+            entry = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            _, first, word = np.unique(_mixed(words, r[entry]), return_index=True, return_inverse=True)
+            df = np.bincount(word, weights=times, minlength=len(first)).astype(np.int64)
+            every = df[word]
+            rest, left = every - times, n[entry]
+            raw = lambda x: np.log(np.maximum(left - x + 0.5, 0.5)) - np.log(x + 0.5)
+            more = np.bincount(entry, weights=np.where(rest > 0, raw(rest), 0.0) - raw(every), minlength=len(sizes))
+            gone = np.bincount(entry, weights=rest == 0, minlength=len(sizes)).astype(np.int32)
+            found = [(_FILE, 0, f.tobytes(), more.tobytes(), gone.tobytes())]
+            repo = r[entry[first]]
+            order = np.lexsort((df, repo))
+            repo, df, words = repo[order], df[order].astype(np.int32), words[first[order]]
+            edges = [*np.flatnonzero(np.append(True, repo[1:] != repo[:-1])).tolist(), len(repo)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                value, times = np.unique(df[a:z], return_counts=True)
+                found.append((_HISTOGRAM, int(repo[a]), value.tobytes(), times.astype(np.int32).tobytes(), None))
+                often = a + int(np.searchsorted(df[a:z], 2))
+                found.append((_WORD, int(repo[a]), words[often:z].tobytes(), df[often:z].tobytes(), None))
+            for row in found:
+                yield pa.RecordBatch.from_pylist([dict(zip(("kind", "repo", "a", "b", "c"), row, strict=True))], pa.schema([("kind", pa.int32()), ("repo", pa.int64()), *((x, pa.binary()) for x in "abc")]))
+
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                if a < z:
+                    if of[a] != now:
+                        yield from counted()
+                        now = of[a]
+                    rows.append(batch.slice(a, z - a))
+        yield from counted()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_binary(batch.column(x).to_numpy(), np.array([len(batch)])) for x in range(2)], names=["r", "n"])
+
+    packed = sizes.select("r", "n_repo").mapInArrow(pack, "r binary, n binary")
+    each = packed.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "r", "n")
+    every = dealt.where(F.col("bucket") != _FILES).unionByName(each, allowMissingColumns=True)
+    return every.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _STAT)
+
+
+def _unpacked(stats: DataFrame, kind: int, kinds: list[type], result: str) -> DataFrame:
+    """The packed rows of a kind, one by one, with their repository."""
+    names = [x.split()[0] for x in result.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                columns = [np.frombuffer(row[x], t) for x, t in zip("abcde", kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), row["repo"])), *map(pa.array, columns)], names=names)
+
+    return stats.where(F.col("kind") == kind).mapInArrow(rows, result)
+
+
+class TermBlock:
+    """Counted words of a block's texts, and the best of them for a query.
 
-def rank_bm25(query_terms: DataFrame, tasks: DataFrame, chunks: DataFrame, k: int, digits: int = 6, k1: float = K1, b: float = B, epsilon: float = EPSILON, block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
+    Equal texts are one, at their first place. The rough score, in 32 bits and with the mean length of the first query, is a product with the matrix
+    of frequent words and a sum over the postings of the others; what comes up to the k-th best but for the error is scored in double precision.
+    """
+
+    def __init__(self, held: pa.Array, book: np.ndarray, mean_length: float, k1: float, b: float, epsilon: float, digits: int, plain: int = PLAIN) -> None:
+        self.k1, self.b, self.epsilon, self.digits, self.plain, self.mean_length = k1, b, epsilon, digits, plain, mean_length
+        kinds = held.field("kind").to_numpy()
+        of_kind = lambda k: held.filter(pa.array(kinds == k))
+        rows = of_kind(_CHUNK)
+        paths, numbers = rows.field("filepath").to_pylist(), rows.field("chunk_no").to_pylist()
+        self.order = sorted(range(len(rows)), key=lambda i: (paths[i], numbers[i]))
+        codes, code_at = _numbers_of(rows, "codes", np.uint16)
+        others, other_at = _numbers_of(rows, "others", np.int64)
+        times, time_at = _numbers_of(rows, "times", np.int32)
+        seen: dict[bytes, int] = {}
+        firsts: list[int] = []
+        self.members: list[list[int]] = []
+        of_path: dict[str, dict[int, int]] = {}
+        for place, i in enumerate(self.order):
+            digest = hashlib.blake2b(b"".join(x.tobytes() for x in (code_at[i + 1 : i + 2] - code_at[i], codes[code_at[i] : code_at[i + 1]], others[other_at[i] : other_at[i + 1]], times[time_at[i] : time_at[i + 1]])), digest_size=16).digest()
+            at = seen.setdefault(digest, len(firsts))
+            if at == len(firsts):
+                firsts.append(i)
+                self.members.append([])
+            self.members[at].append(place)
+            mine = of_path.setdefault(paths[i], {})
+            mine[at] = mine.get(at, 0) + 1
+        self.n, self.paths = len(firsts), [paths[i] for i in self.order]
+        #: A file's chunks, and the texts that stand in no other.
+        self.own = {p: (sum(mine.values()), np.array([at for at, n in mine.items() if n == len(self.members[at])], np.int64)) for p, mine in of_path.items()}
+        del seen, of_path, paths, numbers
+
+        # By text: codes, then the other words, as the counts are.
+        pick = np.array(firsts, np.int64)
+        n_codes, n_others = np.diff(code_at)[pick], np.diff(other_at)[pick]
+        self.starts = np.append(0, np.cumsum(n_codes + n_others))
+        self.ids = np.empty(self.starts[-1], np.int32)
+        self.ids[_spans(self.starts[:-1], self.starts[:-1] + n_codes)] = codes[_spans(code_at[:-1][pick], code_at[1:][pick])]
+        self.others, inverse = np.unique(others[_spans(other_at[:-1][pick], other_at[1:][pick])], return_inverse=True)
+        self.ids[_spans(self.starts[:-1] + n_codes, self.starts[1:])] = inverse + CODES
+        del inverse
+        self.times = times[_spans(time_at[:-1][pick], time_at[1:][pick])]
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.starts))
+        self.sizes = np.bincount(owner, weights=self.times, minlength=self.n)
+        n_words = CODES + len(self.others)
+        self.weight_of = np.zeros(n_words)
+        counts = np.bincount(self.ids, minlength=n_words)
+        self.df = (counts > 0).astype(np.int32)
+        for x in of_kind(_COUNTS).to_pylist():
+            words, df = np.frombuffer(x["others"], np.int64), np.frombuffer(x["times"], np.int32)
+            at = self.place(book, words)
+            self.df[at[at >= 0]] = df[at >= 0]
+        means = of_kind(_MEANS).to_pylist()
+        file, mean = (np.concatenate([np.empty(0, t), *(np.frombuffer(x[name], t) for x in means)]) for name, t in (("others", np.int64), ("times", np.float64)))
+        by = np.argsort(file)
+        self.files, self.means = file[by], mean[by]
+        self.matrix = None
+        if self.n <= plain:
+            return
+
+        # By word.
+        by = np.argsort(self.ids, kind="stable")
+        self.owner = owner[by]
+        del owner
+        self.impact = self.times[by].astype(np.float32)
+        del by
+        self.impact *= np.float32(k1 + 1) / (self.impact + (k1 * (1 - b + b * self.sizes / mean_length)).astype(np.float32)[self.owner])
+        self.first = np.append(0, np.cumsum(counts))
+        frequent = np.argsort(-counts, kind="stable")[:DENSE_WORDS]
+        frequent = frequent[counts[frequent] > DENSE * self.n]
+        self.row = np.full(n_words, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.width = -(-self.n // 64) * 64
+        self.matrix = np.zeros((max(len(frequent), 1), self.width), np.float32)
+        for k, word in enumerate(frequent.tolist()):
+            self.matrix[k, self.owner[self.first[word] : self.first[word + 1]]] = self.impact[self.first[word] : self.first[word + 1]]
+
+    def place(self, book: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Numbers of words in this block, -1 for others."""
+        code, known = _codes(book, words)
+        at = self.other_place(words)
+        return np.where(known, code, at)
+
+    def other_place(self, words: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.others, words)
+        same = self.others[np.minimum(at, len(self.others) - 1)] == words if len(self.others) else np.zeros(len(words), bool)
+        return np.where(same, at + CODES, -1)
+
+    def scores(self, texts: np.ndarray, ids: np.ndarray, weights: np.ndarray, mean_length: float) -> np.ndarray:
+        self.weight_of[ids] = weights
+        at = _spans(self.starts[texts], self.starts[texts + 1])
+        owner = np.repeat(np.arange(len(texts)), np.diff(self.starts)[texts])
+        weight = self.weight_of[self.ids[at]]
+        self.weight_of[ids] = 0.0
+        hit = np.flatnonzero(weight)
+        owner, times = owner[hit], self.times[at[hit]].astype(np.float64)
+        share = weight[hit] * times * (self.k1 + 1) / (times + self.k1 * (1 - self.b + self.b * self.sizes[texts][owner] / mean_length))
+        return np.round(np.bincount(owner, weights=share, minlength=len(texts)), self.digits) + 0.0
+
+    def weighed(self, asked: pa.Array, means: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of this block, their weights in the score, and where each query's begin."""
+        codes, code_at = _numbers_of(asked, "codes", np.uint16)
+        others, other_at = _numbers_of(asked, "others", np.int64)
+        levels, level_at = _numbers_of(asked, "levels", np.float64)
+        level, starts = _numbers_of(asked, "level", np.int32)
+        less, _ = _numbers_of(asked, "less", np.int32)
+        n_codes = np.diff(code_at)
+        ids = np.empty(len(level), np.int64)
+        ids[_spans(starts[:-1], starts[:-1] + n_codes)] = codes
+        ids[_spans(starts[:-1] + n_codes, starts[1:])] = self.other_place(others)
+        query = _owners(starts)
+        df = (self.df[ids] - less).astype(np.float64)
+        kept = np.flatnonzero((ids >= 0) & (df > 0))
+        ids, query, df, weight = ids[kept], query[kept], df[kept], levels[level_at[query] + level][kept]
+        raw = np.log(np.maximum(asked.field("n").to_numpy()[query] - df + 0.5, 0.5)) - np.log(df + 0.5)
+        weight = weight * np.where(raw < 0, self.epsilon * means[query], raw)
+        return ids, weight, np.append(0, np.cumsum(np.bincount(query, minlength=len(asked))))
+
+    def best(self, asked: pa.Array, k: int) -> Iterator[tuple[list[int], list[float]]]:
+        """Places and scores of each query's k best chunks of other files."""
+        # A file without a mean leaves no word to its queries.
+        at = np.searchsorted(self.files, file := asked.field("file").to_numpy()).clip(0, max(len(self.files) - 1, 0))
+        means = np.where(self.files[at] == file, self.means[at], 0.0) if len(self.files) else np.zeros(len(asked))
+        ids, weights, starts = self.weighed(asked, means)
+        lengths, paths = asked.field("avg_len").to_numpy(), asked.field("filepath").to_pylist()
+        nothing = np.empty(0, np.int64)
+        if self.matrix is not None:
+            row, query = self.row[ids], _owners(starts)
+            posted, dense = row < 0, np.zeros((len(asked), len(self.matrix)), np.float32)
+            dense[query[~posted], row[~posted]] = weights[~posted]
+            rough = np.empty((len(asked), self.width), np.float32)
+            for a in range(0, self.width, 4096):
+                np.matmul(dense, self.matrix[:, a : a + 4096], out=rough[:, a : a + 4096])
+        for q, path in enumerate(paths):
+            n_own, own = self.own.get(path, (0, nothing))
+            a, z = starts[q], starts[q + 1]
+            off = abs(lengths[q] / self.mean_length - 1)
+            texts = None
+            if a == z:
+                texts = np.arange(min(self.n, k + n_own + len(own)))
+                value = np.zeros(len(texts))
+            elif self.matrix is not None and means[q] >= 0 and off < 0.2:
+                score = rough[q]
+                mine = posted[a:z]
+                word, weight = ids[a:z][mine], weights[a:z][mine]
+                low, high = self.first[word], self.first[word + 1]
+                if len(word):
+                    spans = [slice(x, y) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                    share = np.concatenate([self.impact[x] for x in spans])
+                    share *= np.repeat(weight.astype(np.float32), high - low)
+                    score[: self.n] += np.bincount(np.concatenate([self.owner[x] for x in spans]), weights=share, minlength=self.n)
+                score[self.n :] = -np.inf
+                score[own] = -np.inf
+                groups = score.reshape(64, -1)
+                most = groups.max(0)
+                least = float(np.partition(most, -k)[-k]) if len(most) >= k else -np.inf
+                least -= least * (ROUGH + 4 * off) + ROUGH_LEAST
+                if least > ROUGH_LEAST:
+                    at = np.flatnonzero(most >= least)
+                    some, group = np.nonzero(groups[:, at] >= least)
+                    texts = np.sort(some * groups.shape[1] + at[group])
+                    value = self.scores(texts, ids[a:z], weights[a:z], lengths[q])
+            if texts is None:
+                texts = np.arange(self.n)
+                value = self.scores(texts, ids[a:z], weights[a:z], lengths[q])
+            if len(own):
+                texts, value = texts[left := ~np.isin(texts, own)], value[left]
+            if len(texts) > k:
+                # Of equal scores as many texts, in order of their first places, as surely hold the first k chunks.
+                least = np.partition(value, -k)[-k]
+                chosen = np.append(np.flatnonzero(value > least), np.flatnonzero(value == least)[: k + n_own])
+                texts, value = texts[chosen], value[chosen]
+            found = []
+            for text, score in zip(texts.tolist(), value.tolist(), strict=True):
+                found += [(-score, x) for x in self.members[text][: k + n_own] if self.paths[x] != path]
+            found.sort()
+            yield [x for _, x in found[:k]], [-x for x, _ in found[:k]]
+
+
+def rank_words(rows: DataFrame, k: int, digits: int = 6, k1: float = K1, b: float = B, epsilon: float = EPSILON, block: int = TERM_BLOCK, slice_rows: int = TERM_SLICE) -> DataFrame:
     """Top k of `bm25` where the candidates are all chunks of the repository's other files: task_id, filepath, chunk_no, score, rank.
 
-    query_terms: task_id, term, weight. tasks: task_id, repo, filepath. chunks: repo, filepath, chunk_no, tokens. Counts of a
-    repository less those of the own file give each task's document frequencies; a histogram of them, with what the own file's
-    terms change, its mean inverse frequency, so no file meets the histogram. Terms are 64-bit hashes. Queries then meet the
-    chunks in blocks, by postings of terms with their counts.
+    rows: repo, filepath, chunks (array of structs chunk_no, words), asked (array of structs task_id, terms, weights); one row a file, words and terms
+    as hashes; n_asked spares asked where queries are only counted. Rows are read twice. First, words are counted in buckets, over the whole table: counts of a repository less those of the own
+    file give each task's document frequencies, a histogram of them with what the own file's words change its mean inverse frequency. Then
+    queries travel with the weights and the own file's counts of their words only, as codes where a small job's book has them, and meet the
+    chunks in blocks, to which each word's count comes once.
     """
-    one = F.count(F.lit(1))
-    length = F.size("tokens").cast("double")
-    hashed = F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t)))
-    by_file = chunks.select("repo", "filepath", F.explode(hashed).alias("term")).groupBy("repo", "filepath", "term").agg(one.alias("df_file"))
-    by_repo = by_file.groupBy("repo", "term").agg(F.sum("df_file").alias("df_repo"))
-    size_file = chunks.groupBy("repo", "filepath").agg(one.alias("n_file"), F.sum(length).alias("len_file"))
-    size_repo = size_file.groupBy("repo").agg(F.sum("n_file").alias("n_repo"), F.sum("len_file").alias("len_repo"))
-    own = tasks.select("repo", "filepath").distinct().join(size_repo, "repo").join(size_file, ["repo", "filepath"], "left")
-    own = own.select("repo", "filepath", (F.col("n_repo") - F.coalesce("n_file", F.lit(0))).cast("double").alias("n"), (F.col("len_repo") - F.coalesce("len_file", F.lit(0.0))).alias("total")).where("n > 0").withColumn("avg_len", F.col("total") / F.col("n"))
-
-    # The mean over all terms of the repository, once for each number of chunks left; then what a left-out file's own terms change.
-    # A term of more chunks than are left stands in that file, which takes out what was put in for it.
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "bm25")
+    keys = F.xxhash64("repo").alias("r"), F.xxhash64("repo", "filepath").alias("f")
+    sets = rows.select("filepath", F.array_distinct(F.flatten(F.transform("chunks", lambda c: c["words"]))).alias("words"))
+    book = _codebook(sets)
+    usual = sets.where(F.pmod(F.xxhash64("filepath"), F.lit(CODE_SAMPLE)) == 0).agg(F.avg(F.size("words"))).first()[0] or 256
+    buckets = max(spark.sparkContext.defaultParallelism, int(rows.count() * usual / COUNTED) + 1)
+    dealt = scratch.keep(_dealt(rows.select(*keys, "chunks", (F.col("n_asked") if "n_asked" in rows.columns else F.size("asked")).alias("asked")), buckets), "dealt", "zstd")
+    files = _unpacked(dealt.where(F.col("bucket") == _FILES).select(F.lit(_FILES).alias("kind"), F.lit(0).cast("long").alias("repo"), F.col("r").alias("a"), F.col("f").alias("b"), F.col("n").alias("c"), F.col("sizes").alias("d"), F.col("words").alias("e")), _FILES, [np.int64, np.int64, np.int64, np.int32, np.int64], "repo long, r long, f long, n_file long, asked int, len long")
+    files = scratch.keep(files.drop("repo"), "files")
+    sizes = files.groupBy("r").agg(F.sum("n_file").alias("n_repo"), F.sum("len").alias("len_repo"), F.sum("asked").alias("asked")).where("n_repo > 0 AND asked > 0")
+    part = lambda n, most, name: F.ceil(F.col(n) / F.lit(most)).cast("int").alias(name)
+    sizes = scratch.keep(sizes.select("r", "n_repo", "len_repo", part("n_repo", block, "blocks"), part("asked", slice_rows, "slices")), "sizes")
+    stats = scratch.keep(_word_statistics(dealt, files.groupBy("r").agg(F.sum("n_file").alias("n_repo")), buckets), "stats", "zstd")
+    scratch.drop("dealt")
+
+    # The mean over all words of the repository, once for each number of chunks left; then what a left-out file's own words change.
+    # A word of more chunks than are left stands in that file, which takes out what was put in for it.
     raw = lambda df: F.ln(F.greatest(F.col("n") - df + 0.5, F.lit(0.5))) - F.ln(df + 0.5)
-    histogram = by_repo.groupBy("repo", F.col("df_repo").alias("df")).agg(one.alias("terms"))
-    all_terms = own.select("repo", "n").distinct().join(histogram, "repo").groupBy("repo", "n").agg(F.sum(F.col("terms") * raw(F.col("df"))).alias("raws"), F.sum("terms").alias("terms"))
-    rest = F.col("df_repo") - F.col("df_file")
-    less = own.select("repo", "filepath", "n").join(by_file, ["repo", "filepath"]).join(by_repo, ["repo", "term"])
-    change = less.groupBy("repo", "filepath").agg(F.sum(F.when(rest > 0, raw(rest)).otherwise(0.0) - raw(F.col("df_repo"))).alias("more_raws"), F.sum(F.when(rest > 0, 0).otherwise(-1)).alias("more_terms"))
-    left = own.select("repo", "filepath", "n").join(all_terms, ["repo", "n"]).join(change, ["repo", "filepath"], "left").withColumn("left", F.col("terms") + F.coalesce("more_terms", F.lit(0)))
-    mean = left.where("left > 0").select("repo", "filepath", ((F.col("raws") + F.coalesce("more_raws", F.lit(0.0))) / F.col("left")).alias("mean"))
-
-    weights = query_terms.groupBy("task_id", F.xxhash64("term").alias("term")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
-    asked = weights.join(tasks.select("task_id", "repo", "filepath"), "task_id").join(own.drop("total"), ["repo", "filepath"]).join(mean, ["repo", "filepath"])
-    asked = asked.join(by_repo, ["repo", "term"]).join(by_file, ["repo", "filepath", "term"], "left").withColumn("df", (F.col("df_repo") - F.coalesce("df_file", F.lit(0))).cast("double")).where("df > 0")
-    asked = asked.withColumn("idf", F.when(raw(F.col("df")) < 0, epsilon * F.col("mean")).otherwise(raw(F.col("df")))).select("task_id", "repo", "term", "weight", "idf", "avg_len", F.col("filepath").alias("own"))
-    terms = asked.groupBy("task_id").agg(F.first("avg_len").alias("avg_len"), F.collect_list(F.struct("term", (F.col("weight") * F.col("idf")).alias("weight"))).alias("terms"))
-    q = tasks.select("task_id", "repo", "filepath").join(terms, "task_id", "left").select("repo", F.struct("task_id", "filepath", F.coalesce("avg_len", F.lit(1.0)).alias("avg_len"), F.coalesce(F.transform("terms", lambda t: t["term"]), F.array().cast("array<bigint>")).alias("words"), F.coalesce(F.transform("terms", lambda t: t["weight"]), F.array().cast("array<double>")).alias("weights")).alias("q"))
-    c = chunks.select("repo", F.struct("filepath", F.col("chunk_no").cast("int").alias("chunk_no"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("words")).alias("c"))
+    histogram = _unpacked(stats, _HISTOGRAM, [np.int32, np.int32], "r long, df int, terms int").groupBy("r", "df").agg(F.sum("terms").alias("terms"))
+    files = files.where("asked > 0").join(sizes, "r").select("r", "f", (F.col("n_repo") - F.col("n_file")).cast("double").alias("n"))
+    every = files.select("r", "n").distinct().join(histogram, "r").groupBy("r", "n").agg(F.sum(F.col("terms") * raw(F.col("df"))).alias("raws"), F.sum("terms").alias("terms"))
+    change = _unpacked(stats, _FILE, [np.int64, np.float64, np.int32], "r long, f long, more double, gone int").groupBy("f").agg(F.sum("more").alias("more"), F.sum("gone").alias("gone"))
+    left = files.join(every, ["r", "n"]).join(change, "f", "left").withColumn("left", F.col("terms") - F.coalesce("gone", F.lit(0)))
+    mean = left.where("left > 0").select("r", "f", ((F.col("raws") + F.coalesce("more", F.lit(0.0))) / F.col("left")).alias("mean"))
+    means = scratch.keep(mean, "means")
+    scratch.drop("files")
+
+    row = "kind int, filepath string, chunk_no int, codes binary, others binary, times binary"
+    task = rows.schema["asked"].dataType.elementType["task_id"].dataType.simpleString()
+    query = f"task_id {task}, filepath string, file long, n long, len long, codes binary, others binary, levels binary, level binary, less binary"
+    names, query_names = ([x.split()[0] for x in fields.split(", ")] for fields in (row, query))
+    result = f"r long, c struct<{row.replace(' ', ': ').replace(',:', ',')}>, q struct<{query.replace(' ', ': ').replace(',:', ',')}>"
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, numbers, words, starts = _chunks_of(batch.column("chunks"))
+            own_times, own_keys = _file_counts(offsets, words, starts)[2:]
+            own = np.diff(offsets), np.diff(starts[offsets])
+            chunk, file, n = _owners(starts), _owners(offsets), len(numbers)
+            _, first, times = np.unique(_mixed(words, chunk), return_index=True, return_counts=True)
+            # Words in an order of their own, so that equal texts have equal rows.
+            words, chunk = words[first], chunk[first]
+            by = np.argsort(words, kind="stable")
+            words, chunk, times = words[by], chunk[by], times[by].astype(np.int32)
+            place, known = _codes(book, words)
+            columns = [pa.array(np.zeros(n, np.int32)), batch.column("filepath").take(pa.array(file)), pa.array(numbers, pa.int32()), *_packed(known, n, chunk, place, words, times)]
+            held = pa.StructArray.from_arrays(columns, names)
+
+            asked = batch.column("asked")
+            at = asked.offsets.to_numpy()
+            inner, file_of = asked.values.slice(at[0], at[-1] - at[0]), _owners(at)
+            n_asked = len(inner)
+            words, starts = _flat(inner.field("terms"))
+            weights, _ = _flat(inner.field("weights"))
+            _, first, inverse = np.unique(_mixed(words, owner := _owners(starts)), return_index=True, return_inverse=True)
+            words, owner, weights = words[first], owner[first], np.bincount(inverse, weights=weights, minlength=len(first))
+            mine = _mixed(words, file_of[owner])
+            at = np.searchsorted(own_keys, mine)
+            same = own_keys[np.minimum(at, len(own_keys) - 1)] == mine if len(own_keys) else np.zeros(len(mine), bool)
+            less = np.zeros(len(mine), np.int32)
+            less[same] = own_times[at[same]]
+            # Few weights differ in a query.
+            by = np.lexsort((weights, owner))
+            new = np.append(True, (weights[by][1:] != weights[by][:-1]) | (owner[by][1:] != owner[by][:-1])) if len(by) else np.zeros(0, bool)
+            levels, n_levels = weights[by][new], np.bincount(owner[by][new], minlength=n_asked)
+            level = np.empty(len(by), np.int32)
+            level[by] = np.cumsum(new) - 1 - (np.cumsum(n_levels) - n_levels)[owner[by]]
+            place, known = _codes(book, words)
+            codes, others, level, less = _packed(known, n_asked, owner, place, words, level, less)
+            whole = [batch.column(x).take(pa.array(file_of)) for x in ("filepath", "f")]
+            columns = [inner.field("task_id"), *whole, *(pa.array(x[file_of], pa.int64()) for x in own), codes, others, _binary(levels, n_levels), level, less]
+            asks = pa.StructArray.from_arrays(columns, query_names)
+            yield pa.RecordBatch.from_arrays([batch.column("r").take(pa.array(file)), held, pa.nulls(n, asks.type)], names=["r", "c", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column("r").take(pa.array(file_of)), pa.nulls(n_asked, held.type), asks], names=["r", "c", "q"])
+
+    def code_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            repo, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            order, n = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(repo))
+            columns = [pa.array(repo), pa.array(np.full(len(repo), _MEANS, np.int32)), *(_binary(batch.column(x).to_numpy()[order], n) for x in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["r", "kind", "a", "b"])
+
+    coded = rows.select(*keys, "filepath", "chunks", "asked").mapInArrow(code, result)
+    dfs = stats.where(F.col("kind") == _WORD).select(F.col("repo").alias("r"), F.lit(_COUNTS).alias("kind"), "a", "b")
+    shared = dfs.unionByName(means.select("r", "f", "mean").mapInArrow(code_means, "r long, kind int, a binary, b binary"))
+    fields = {"kind": F.col("kind"), "others": F.col("a"), "times": F.col("b")}
+    kinds = dict(x.split() for x in row.split(", "))
+    shared = shared.select("r", F.struct(*(fields.get(n, F.lit(None).cast(kinds[n])).alias(n) for n in names)).alias("c"))
+
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = lambda column, n: F.array(F.pmod(F.xxhash64(column), F.col(n)).cast("int"))
+    asks, whole = F.col("q").isNotNull(), F.coalesce(F.col("c.kind"), F.lit(0)) != 0
+    place = F.when(asks | whole, every("blocks")).otherwise(one("c", "blocks")), F.when(asks, one("q", "slices")).otherwise(every("slices"))
+    both = coded.unionByName(shared, allowMissingColumns=True).join(F.broadcast(sizes) if sizes.count() <= MANY else sizes, "r")
+    left = F.col("n_repo") - F.col("q.n")
+    q = F.when(asks, F.col("q").withField("avg_len", F.coalesce(F.nullif((F.col("len_repo") - F.col("q.len")) / F.nullif(left, F.lit(0)), F.lit(0.0)), F.lit(1.0))).withField("n", left.cast("double")))
+    both = both.select("r", F.explode(place[0]).alias("block"), place[1].alias("slices"), asks.alias("asks"), "c", q.alias("q")).select("r", "block", F.explode("slices").alias("slice"), "asks", "c", "q")
 
     def best(held: pa.Array, some_asked: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
-        paths, numbers = held.field("filepath").to_pylist(), held.field("chunk_no").to_pylist()
-        order = sorted(range(len(held)), key=lambda i: (paths[i], numbers[i]))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words, starts = _flat(held.field("words"))
-        size = np.diff(starts)[order].astype(np.float64)
-        owner = np.repeat(rank, np.diff(starts))
-        by = np.lexsort((owner, words))
-        words, owner = words[by], owner[by]
-        new = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (owner[1:] != owner[:-1]))) if len(words) else np.empty(0, np.int64)
-        times = np.diff(np.append(new, len(words))).astype(np.float64)
-        words, owner = words[new], owner[new]
-        of_file: dict[str, list[int]] = {}
-        for at, i in enumerate(order):
-            of_file.setdefault(paths[i], []).append(at)
+        texts = None
         for some in some_asked:
-            mine, bounds = _flat(some.field("words"))
-            weights, _ = _flat(some.field("weights"))
-            low, high = np.searchsorted(words, mine, "left"), np.searchsorted(words, mine, "right")
-            rows: list[list] = [[], [], [], []]
-            for n, (task, own, mean) in enumerate(zip(*(some.field(x).to_pylist() for x in ("task_id", "filepath", "avg_len")), strict=True)):
-                spans = [slice(low[x], high[x]) for x in range(bounds[n], bounds[n + 1])]
-                at = np.concatenate([np.empty(0, np.int64), *(owner[x] for x in spans)])
-                tf = np.concatenate([np.empty(0), *(times[x] for x in spans)])
-                weight = np.repeat(weights[bounds[n] : bounds[n + 1]], high[bounds[n] : bounds[n + 1]] - low[bounds[n] : bounds[n + 1]])
-                share = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[at] / mean))
-                value = np.round(np.bincount(at, weights=share, minlength=len(order)), digits) + 0.0
-                value[of_file.get(own, [])] = -np.inf
-                chosen = _best_k(value, k)
-                chosen = chosen[value[chosen] > -np.inf]
-                which = [order[x] for x in chosen.tolist()]
-                for column, more in zip(rows, ([task] * len(which), [paths[i] for i in which], [numbers[i] for i in which], value[chosen].tolist()), strict=True):
-                    column += more
-            kinds = (some.field("task_id").type, held.field("filepath").type, pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["task_id", "filepath", "chunk_no", "score"])
-
-    task = tasks.schema["task_id"].dataType.simpleString()
-    found = in_blocks(q, c, best, f"task_id {task}, filepath string, chunk_no int, score double", block, slice_rows)
+            if texts is None:
+                texts = TermBlock(held, book, float(np.median(some.field("avg_len").to_numpy())), k1, b, epsilon, digits)
+                chunk = held.filter(pa.array(held.field("kind").to_numpy() == _CHUNK))
+                path, number, order = chunk.field("filepath"), chunk.field("chunk_no"), np.array(texts.order, np.int64)
+                del held, chunk
+            for a in range(0, len(some), AT_ONCE):
+                part = some.slice(a, AT_ONCE)
+                found = list(texts.best(part, k))
+                which = pa.array(order[np.array([x for places, _ in found for x in places], np.int64)])
+                task = pa.array(np.repeat(np.arange(len(part)), [len(places) for places, _ in found]))
+                yield pa.RecordBatch.from_arrays([part.field("task_id").take(task), path.take(which), number.take(which), pa.array([x for _, values in found for x in values], pa.float64())], names=["task_id", "filepath", "chunk_no", "score"])
+
+    found = _met(both.select(F.xxhash64("r", "block", "slice").alias("task"), "asks", "c", "q"), best, f"task_id {task}, filepath string, chunk_no int, score double")
     return top_k(found, k, [F.desc("score"), F.col("filepath"), F.col("chunk_no")])
 
 
+def word_hashes(text: Column) -> Column:
+    return F.transform(tx.word_tokens(text), lambda w: F.xxhash64(w))
+
+
+def rank_bm25(query_terms: DataFrame, tasks: DataFrame, chunks: DataFrame, k: int, digits: int = 6, k1: float = K1, b: float = B, epsilon: float = EPSILON, block: int = TERM_BLOCK, slice_rows: int = TERM_SLICE) -> DataFrame:
+    """`rank_words` of other forms: query_terms (task_id, term, weight), tasks (task_id, repo, filepath), chunks (repo, filepath, chunk_no, tokens)."""
+    each = F.struct(F.col("chunk_no").cast("int").alias("chunk_no"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("words"))
+    held = chunks.groupBy("repo", "filepath").agg(F.collect_list(each).alias("chunks"))
+    terms = query_terms.groupBy("task_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), F.col("weight").cast("double").alias("weight"))).alias("t"))
+    part = lambda name, kind: F.coalesce(F.transform("t", lambda x: x[name]), F.array().cast(f"array<{kind}>")).alias(name + "s")
+    asked = tasks.select("task_id", "repo", "filepath").join(terms, "task_id", "left").select("repo", "filepath", F.struct("task_id", part("term", "bigint"), part("weight", "double")).alias("q"))
+    asked = asked.groupBy("repo", "filepath").agg(F.collect_list("q").alias("asked"))
+    rows = held.join(asked, ["repo", "filepath"], "full")
+    rows = rows.select("repo", "filepath", *(F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in ("chunks", "asked")))
+    return rank_words(rows, k, digits, k1, b, epsilon, block, slice_rows)
+
+
 def with_neighbours(chunks: DataFrame) -> DataFrame:
     """chunks with next_text and previous_text of the same file, the own text where there is none."""
     w = Window.partitionBy("repo", "filepath").orderBy("chunk_no")

@@ -248,6 +248,33 @@ def test_bm25_statistics_grow_with_words(spark):
     assert 0 < _most_rows(found._jdf.queryExecution().executedPlan()) <= 2 * sum(len(r[3]) for r in rows)
 
 
+def test_bm25_rows_follow_files(spark):
+    """Words, queries' terms and counts travel packed, a row for many: rows stay below a few times the files."""
+    rows = [("r", f"r/{k}", 0, [f"own{k}", *(f"in{j}" for j in range(1, 61) if k < j)]) for k in range(400)]
+    chunks = spark.createDataFrame(rows, "repo string, filepath string, chunk_no int, tokens array<string>")
+    terms = chunks.where("filepath < 'r/3'").select(F.col("filepath").alias("task_id"), F.explode("tokens").alias("term"), F.lit(1.0).alias("weight"))
+    found = retrieval.rank_bm25(terms, chunks.select(F.col("filepath").alias("task_id"), "repo", "filepath"), chunks, 2)
+    assert len(found.collect()) == 800
+    assert 0 < _most_rows(found._jdf.queryExecution().executedPlan()) <= 4 * len(rows)
+
+
+def test_bm25_rough_scores_lose_no_chunk(spark):
+    """A block above `PLAIN` texts, with equal texts in several files and within one, frequent and rare words, and queries without a word."""
+    import random
+
+    deal = random.Random(5)
+    texts = [[f"w{int(deal.random() ** 3 * 300)}" for _ in range(deal.randint(1, 25))] for _ in range(330)]
+    rows = [("r", f"f{k // 2 % 150:03d}", k % 2 + 2 * (k // 300), texts[k] if k % 9 else texts[0]) for k in range(330)]
+    chunks = spark.createDataFrame(rows, "repo string, filepath string, chunk_no int, tokens array<string>")
+    tasks = chunks.select("repo", "filepath").distinct().select(F.col("filepath").alias("task_id"), "repo", "filepath")
+    terms = chunks.where("chunk_no = 0 AND filepath > 'f004'").select(F.col("filepath").alias("task_id"), F.explode("tokens").alias("term"), (F.lit(1.0) / (F.length("filepath") + F.pmod(F.xxhash64("filepath"), F.lit(3)))).alias("weight"))
+    near = retrieval.pairs(tasks, chunks).select("task_id", F.struct("chunk_filepath", "chunk_chunk_no").alias("chunk_id"), F.col("chunk_tokens").alias("tokens"))
+    plain = retrieval.top_k(retrieval.bm25(near, terms).withColumn("score", F.round("score", 6)), 5, [F.desc("score"), F.col("chunk_id")])
+    want = {(r.task_id, r["rank"]): (*r.chunk_id, r.score) for r in plain.collect()}
+    got = {(r.task_id, r["rank"]): (r.filepath, r.chunk_no, r.score) for r in retrieval.rank_bm25(terms, tasks, chunks, 5).collect()}
+    assert len(want) == 750 and got == want
+
+
 def test_blocks_and_slices_find_what_all_pairs_find(spark, files):
     """Blocks of 2 chunks and slices of 3 queries give the best of all pairs, by sets and by vectors."""
     from loomspan.functions import scores
