@@ -298,7 +298,7 @@ def rank_sets(queries: DataFrame, chunks: DataFrame, k: int, scorer: str = "jacc
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Chunks of a block of counted words: each query goes to each block, so few blocks keep the disk small.
-TERM_BLOCK, TERM_SLICE = 65_536, 262_144
+TERM_BLOCK, TERM_SLICE = 32_768, 131_072
 #: Words of files whose counts one task adds up.
 COUNTED = 8_000_000
 #: Repositories whose sizes go to all tasks; those of more are joined.
@@ -341,7 +341,10 @@ def _owners(starts: np.ndarray) -> np.ndarray:
 def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places of all spans, one after the other."""
     sizes = ends - starts
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    kind = np.int32 if len(ends) and max(int(ends.max()), int(sizes.sum())) < 1 << 31 else np.int64
+    places = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
+    places += np.arange(len(places), dtype=kind)
+    return places
 
 
 def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
